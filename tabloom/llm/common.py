@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of text that a vectorised kernel takes at once; bounds a Python worker's memory.
 KERNEL_BYTES = 4 << 20
@@ -164,3 +167,25 @@ def batches_of(schema: pa.Schema, rows: Iterable[dict], most: int = 8 << 20) ->
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.Array], dict]], column: str = "text") -> DataFrame:
+    """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, a few megabytes at a time.
+
+    `kernel()` is called once a task; what it returns gets the texts as UTF-8 bytes (null: empty) and the text
+    column, and returns a list or array for each added column."""
+    kept = docs.select(*keep).schema
+    schema = StructType(kept.fields + StructType.fromDDL(added).fields)
+    names = StructType.fromDDL(added).names
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernel()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for a, b, raw in text_slices(texts):
+                made = f(raw, texts.slice(a, b - a))
+                columns = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(made[n], type=arrow.field(n).type) for n in names], schema=arrow)
+
+    return docs.select(*keep, F.col(column).alias("tabloom_text_")).mapInArrow(run, schema)
