@@ -169,11 +169,11 @@ def batches_of(schema: pa.Schema, rows: Iterable[dict], most: int = 8 << 20) ->
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.Array], dict]], column: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.RecordBatch], dict]], column: str = "text") -> DataFrame:
     """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, a few megabytes at a time.
 
-    `kernel()` is called once a task; what it returns gets the texts as UTF-8 bytes (null: empty) and the text
-    column, and returns a list or array for each added column."""
+    `kernel()` is called once a task; what it returns gets the texts as UTF-8 bytes (null: empty) and their rows
+    (the text last), and returns a list or array for each added column."""
     kept = docs.select(*keep).schema
     schema = StructType(kept.fields + StructType.fromDDL(added).fields)
     names = StructType.fromDDL(added).names
@@ -184,7 +184,7 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[],
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for a, b, raw in text_slices(texts):
-                made = f(raw, texts.slice(a, b - a))
+                made = f(raw, batch.slice(a, b - a))
                 columns = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(made[n], type=arrow.field(n).type) for n in names], schema=arrow)
 

@@ -109,7 +109,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     return {"langs": langs, "idf": idf, "centroids": np.concatenate(parts), "owner": owner, "limit": limit}
 
 
-def _sparse(raw: list[bytes], _: pa.Array) -> dict:
+def _sparse(raw: list[bytes], _: pa.RecordBatch) -> dict:
     at, n = [], []
     for a in range(0, len(raw), 1024):
         for row in term_counts(raw[a : a + 1024]):
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
         m = shared.value
         owner, limit = np.array(m["owner"], int), np.array(m["limit"])
 
-        def judge(raw: list[bytes], _: pa.Array) -> dict:
+        def judge(raw: list[bytes], _: pa.RecordBatch) -> dict:
             lang, score, rejected = ["und"] * len(raw), np.zeros(len(raw)), np.ones(len(raw), bool)
             for a in range(0, len(raw), 1024):
                 part = raw[a : a + 1024]

@@ -185,7 +185,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     parts = rows.filter("size > 0").select("row_key", "src_no", "size", "at", F.explode(F.sequence(first, last)).alias("block"))
     start, stop = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0)), F.col("at") + F.col("size") - F.col("block") * block_words
-    parts = parts.withColumns({"a": start, "z": stop}).join(took, ["src_no", "block"])
+    parts = parts.withColumns({"a": start, "z": stop}).join(took.hint("merge"), ["src_no", "block"])
     given = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.least(w, F.col("z")) - F.col("a"), F.lit(0)))
     taken = parts.groupBy("row_key").agg(F.sum(given).alias("taken"))
     return rows.join(taken, "row_key", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import language, mixing, sharding, toxicity
+from tabloom.llm import decontamination, language, mixing, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op5_topk": topk.op5_topk,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op8_language": language.op8_language,
+    "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLES: dict[str, Callable[[], str]] = {"op2_sharding": sharding.oracle}
+ORACLES: dict[str, Callable[[], str]] = {
+    "op2_sharding": sharding.oracle,
+    "op5_topk": topk.oracle,
+    "op6_decontamination": decontamination.oracle,
+}

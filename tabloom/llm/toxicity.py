@@ -61,7 +61,7 @@ def sentence_bounds(ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return first, np.bincount(owner[first], minlength=len(counts)) if len(first) else np.zeros(len(counts), int)
 
 
-def _bags(raw: list[bytes], _: pa.Array) -> dict:
+def _bags(raw: list[bytes], _: pa.RecordBatch) -> dict:
     tokens, words, sizes = Tokens(), [], []
     for text in raw:
         x = np.array([tokens[w] for w in text.split()], np.int64).reshape(-1, 4)
@@ -153,7 +153,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
             values[token] = out = complex(w[a] + w[b] + w[c], end)
             return out
 
-        def judge(raw: list[bytes], _: pa.Array) -> dict:
+        def judge(raw: list[bytes], _: pa.RecordBatch) -> dict:
             per_token, counts = [], []
             for text in raw:
                 words = text.split()
