@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, language, mixing, sharding, simhash, topk, toxicity
+from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
+    "op3_pii": pii.op3_pii,
     "op5_topk": topk.op5_topk,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_language": language.op8_language,
