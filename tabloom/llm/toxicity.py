@@ -144,21 +144,22 @@ def score_texts(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
     def kernel():
         w = np.zeros((1 << BITS) + 1)
         w[shared.value[0]] = shared.value[1]
-        values: dict[bytes, complex] = {}
+        class Values(dict):  # real: what a token adds to a sentence; imaginary: 1 if it ends one
+            def __missing__(self, token: bytes) -> complex:
+                if len(self) >= VOCABULARY:
+                    self.clear()
+                a, b, c, end = features(token)
+                self[token] = out = complex(w[a] + w[b] + w[c], end)
+                return out
 
-        def value(token: bytes) -> complex:  # real: what it adds to a sentence; imaginary: 1 if it ends one
-            if len(values) >= VOCABULARY:
-                values.clear()
-            a, b, c, end = features(token)
-            values[token] = out = complex(w[a] + w[b] + w[c], end)
-            return out
+        value = Values().__getitem__
 
         def judge(raw: list[bytes], _: pa.RecordBatch) -> dict:
             per_token, counts = [], []
             for text in raw:
                 words = text.split()
                 counts.append(len(words))
-                per_token.append(np.array([values.get(t) or value(t) for t in words], complex))
+                per_token.append(np.fromiter(map(value, words), complex, len(words)))
             x, counts = np.concatenate(per_token), np.array(counts)
             first, n = sentence_bounds(x.imag > 0, counts)
             if not len(first):
