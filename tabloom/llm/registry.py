@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, topk, toxicity
+from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, substrings, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
+    "op4_substrings": substrings.op4_substrings,
     "op5_topk": topk.op5_topk,
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_language": language.op8_language,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op2_sharding": sharding.oracle,
+    "op4_substrings": substrings.oracle,
     "op5_topk": topk.oracle,
     "op6_decontamination": decontamination.oracle,
 }
