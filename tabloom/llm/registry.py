@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, substrings, topk, toxicity
+from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, substrings, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": substrings.op4_substrings,
     "op5_topk": topk.op5_topk,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op8_language": language.op8_language,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
