@@ -184,3 +184,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_texts(docs, fit(docs, labels), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").cast("long").alias("n_offending"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:
+    """`docs` without the rows that score `at` or more; same columns."""
+    weights = fit(docs, labels)
+    names = {c: f"kept_{i}_" for i, c in enumerate(docs.columns)}
+    marked = docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"]))
+    return score_texts(marked, weights, list(names.values())).filter(F.col("score") < at).select(*[F.col(n).alias(c) for c, n in names.items()])
