@@ -1,0 +1 @@
+"""Nothing streams: all inputs are bounded tables, so this package defines no streaming operator."""
