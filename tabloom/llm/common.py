@@ -173,7 +173,9 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[],
     """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, a few megabytes at a time.
 
     `kernel()` is called once a task; what it returns gets the texts as UTF-8 bytes (null: empty) and their rows
-    (the text last), and returns a list or array for each added column."""
+    (the text last), and returns a list or array for each added column. A kept column of an added one's name is
+    replaced."""
+    keep = [c for c in keep if c not in StructType.fromDDL(added).names]
     kept = docs.select(*keep).schema
     schema = StructType(kept.fields + StructType.fromDDL(added).fields)
     names = StructType.fromDDL(added).names

@@ -127,7 +127,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         KINDS.index(kind), len(span), len(digits), len(groups), *sizes[:4], max(sizes),
         sum(c.isalpha() for c in span), span.count("-"), span.count(" "), span.count("."), span.count("("), float(span[:1] == "("),
         float(luhn(digits)) if digits else 0.0, float(digits[:1] or -1), len(set(digits)),
-        float("at" in span.lower()), float("dot" in span.lower()),
+        float("at" in span.lower()), float("dot" in span.lower()), len(re.split(r"[^A-Za-z]+", span)[-1]),
         max((float(c in before) for c in _CUES[kind]), default=0.0), sum(c in before for k in KINDS for c in _CUES[k] if k != kind), sum(c in before for c in _AGAINST),
         float(before[-1:].isspace() or not before), float(before[-1:] in "$€£#=/:"), float(before[-1:] == "+"), float(after[:1] in "%€$/"), float(after[:1].isspace() or not after),
         float(bool(re.match(r"(19|20)[0-9]{2}\b", span))), float(bool(re.search(r"[0-9]{3}[\x20.)-]{1,2}[0-9]{3}[\x20.-][0-9]{4}\Z", span))),
@@ -229,7 +229,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
             ])
             cue = r.choice(["order ", "version ", "total ", "isbn ", "invoice #", "", "", "", "on ", "ticket "])
         head = " ".join(word() for _ in range(r.randint(1, 5))) + " " + cue
-        text = head + s + r.choice([" ", ".", ", "]) + word()
+        text = head + s + r.choice([" ", ". ", ", "]) + word()
         for k, a, z in candidates(text):
             if k == kind and a < len(head) + len(s) and z > len(head):
                 out.append((text, k, a, z, int(good)))
