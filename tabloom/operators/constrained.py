@@ -101,12 +101,6 @@ class Sequencer:
                 yield [min(max(v, row["lo_"]), row["hi_"]) for v in x], p / p.sum()
             return
         values, p = row["values_"], np.array(row["p_"], float)
-        if size == 1:
-            cdf = np.cumsum(p) / p.sum()
-            for attempt in range(tries):
-                k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
-                yield [values[k]], np.ones(1)
-            return
         for attempt in range(tries):
             part = slice(size * attempt, size * (attempt + 1))
             if len(values[part]):
@@ -114,6 +108,8 @@ class Sequencer:
 
     def choose(self, others: dict, row: dict, tid: int, stream: str, first: bool):
         """A value for one cell; if no page has a clean candidate, the first page's unweighted shares decide."""
+        if self.settings.sampler == "ar" and not self.numeric:
+            return self.accept(others, row, tid, stream)
         fallback = None
         for attempt, (values, p) in enumerate(self.pages(row, tid, stream)):
             fallback = fallback or (values, p)
@@ -127,6 +123,18 @@ class Sequencer:
                 return self.pick(values, q, tid, stream, first)
         return self.pick(*fallback, tid, stream, first)
 
+    def accept(self, others: dict, row: dict, tid: int, stream: str):
+        """Draw and accept with probability exp(-load); each value's load is worked out once. The last draw stays if none is accepted."""
+        values, p, loads = row["values_"], np.array(row["p_"], float), {}
+        cdf = np.cumsum(p) / p.sum()
+        for attempt in range(AR_TRIES):
+            k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
+            if k not in loads:
+                loads[k] = math.exp(-min(self.load(others, row, [values[k]])[0], 700))
+            if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
+                break
+        return values[k]
+
     def pick(self, values: list, q: np.ndarray, tid: int, stream: str, first: bool):
         if self.greedy or first:
             return values[int(np.argmax(q))]

@@ -29,15 +29,31 @@ def full_histogram(df: DataFrame, columns: Sequence[str], domains: dict[str, Seq
     return cells.join(found, list(columns), "left").select(*columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def distribution(weights: DataFrame, value: str = "value", weight: str = "noisy") -> DataFrame:
-    """(value, p, lo, hi): shares and their running sums by value; one row for each value of the domain."""
+def distribution(weights: DataFrame, value: str = "value", weight: str = "noisy", in_one: int = 100_000) -> DataFrame:
+    """(value, p, lo, hi): shares and their running sums by value.
+
+    A domain of at most `in_one` values is summed in one task; a larger one in ranges of values, between bounds taken
+    from the domain itself, whose sums (one row for each range) are added up first."""
     total = weights.agg(F.sum(weight).alias("total_"))
     shares = weights.join(F.broadcast(total)).filter("total_ > 0").select(F.col(value).alias("value"), (F.col(weight) / F.col("total_")).alias("p")).filter("p > 0")
-    upto = F.sum("p").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = shares.withColumn("hi", upto)
-    out = out.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("value")), F.lit(0.0)))
-    last = F.lead("value").over(Window.orderBy("value")).isNull()  # open-ended, whatever rounding leaves
-    return out.withColumn("hi", F.when(last, F.lit(2.0)).otherwise(F.col("hi")))
+    size = shares.count()
+    if size <= in_one:
+        shares = shares.withColumn("range_", F.lit(0))
+    else:
+        picked = [r[0] for r in shares.orderBy(F.xxhash64("value"), "value").limit(min(1000, size // in_one + 1)).select("value").collect()]
+        bounds = F.array(*[F.lit(v) for v in sorted(picked)])
+        shares = shares.withColumn("range_", F.size(F.filter(bounds, lambda x: x <= F.col("value"))))
+    by, all_ = Window.partitionBy("range_").orderBy("value"), Window.orderBy("range_")
+    sums = shares.groupBy("range_").agg(F.sum("p").alias("sum_"))
+    sums = sums.select(F.col("range_").alias("r_"), F.coalesce(F.sum("sum_").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("base_"))
+    upto = F.col("base_") + F.sum("p").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = shares.join(F.broadcast(sums), F.col("range_") == F.col("r_")).withColumn("hi", upto).drop("base_", "r_")
+    # a range begins where the one before it ends, to the last bit; the very last is open-ended, whatever rounding leaves
+    ends = out.groupBy("range_").agg(F.max("hi").alias("end_"))
+    ends = ends.select(F.col("range_").alias("r_"), F.coalesce(F.lag("end_").over(all_), F.lit(0.0)).alias("from_"), F.lead("end_").over(all_).isNull().alias("last_"))
+    out = out.join(F.broadcast(ends), F.col("range_") == F.col("r_"))
+    out = out.withColumn("lo", F.coalesce(F.lag("hi").over(by), F.col("from_"))).withColumn("final_", F.col("last_") & F.lead("value").over(by).isNull())
+    return out.select("value", "p", "lo", F.when(F.col("final_"), F.lit(2.0)).otherwise(F.col("hi")).alias("hi"))
 
 
 def draw(rows: DataFrame, dist: DataFrame, name: str, seed: int, stream: str, tid: str = "tid") -> DataFrame:
@@ -80,14 +96,26 @@ def subsample(df: DataFrame, n: int, seed: int, tid: str = "tid") -> DataFrame:
     return df.withColumn("u_", u).orderBy("u_", tid).limit(n).drop("u_")
 
 
+def ranked(df: DataFrame, tid: str = "tid", each: int = 100_000) -> DataFrame:
+    """With ``rank_``: 0, 1, ... in the order of tid. Ranges of tid of about `each` rows are ranked apart, from the sizes of those before."""
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(tid), F.max(tid)).first()
+    parts = max(1, -(-n // each))
+    width = (hi - lo) // parts + 1 if n else 1
+    rows = df.withColumn("part_", F.floor((F.col(tid) - F.lit(lo or 0)) / F.lit(width)).cast("long"))
+    sizes = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("part_").alias("p_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    out = rows.join(sizes, F.col("part_") == F.col("p_"))
+    return out.withColumn("rank_", F.col("before_") + F.row_number().over(Window.partitionBy("part_").orderBy(tid)) - 1).drop("part_", "p_", "before_")
+
+
 def upsample(df: DataFrame, n: int, seed: int, tid: str = "tid") -> DataFrame:
     """n rows with replacement; tid is numbered anew. Rows of the table are found by their rank in the order of tid."""
-    rows, size = df.withColumnRenamed(tid, "old_"), df.count()
-    at = Window.orderBy("old_")
-    ranked = rows.withColumn("i_", F.row_number().over(at) - 1).drop("old_")
+    size = df.count()
+    rows = ranked(df, tid).drop(tid)
     wanted = df.sparkSession.range(n).withColumnRenamed("id", tid)
-    wanted = wanted.withColumn("i_", F.floor(rng.uniform(seed, "upsample", F.col(tid)) * size).cast("int"))
-    return wanted.join(ranked, "i_").drop("i_")
+    wanted = wanted.withColumn("rank_", F.floor(rng.uniform(seed, "upsample", F.col(tid)) * size))
+    return wanted.join(rows, "rank_").drop("rank_")
 
 
 def poisson_batch(df: DataFrame, rate: float, seed: int, step: int, tid: str = "tid") -> DataFrame:

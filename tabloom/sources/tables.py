@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,11 +20,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def with_tid(df: DataFrame, key: str | None = None) -> DataFrame:
     """With the row number `tid`: a key column, or else 0, 1, ... in the order of the files.
 
-    Without a key the rows of each partition are counted first (one job), then numbered from the partition's start."""
+    Without a key the rows of each partition are counted first (one row for each partition), then numbered from the partition's start."""
     if key:
         return df.withColumn("tid", F.col(key).cast("long"))
-    schema = StructType(df.schema.fields).add("tid", "long")
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    rows = df.withColumn("id_", F.monotonically_increasing_id())
+    part, offset = F.shiftright("id_", 33), F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    return rows.join(F.broadcast(sizes), part == F.col("part_")).withColumn("tid", F.col("before_") + offset).drop("id_", "part_", "before_")
 
 
 def save_table(df: DataFrame, path: str, kind: str = "parquet", columns: list[str] | None = None) -> None:
