@@ -97,24 +97,22 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], importance: dict[int,
     if not bags:
         return weights
     y = np.array([b[0] for b in bags], float)
-    sentences = np.array([len(b[2]) for b in bags])
-    words = np.concatenate([b[2] for b in bags]).astype(np.int64)
-    x = np.concatenate([b[1] for b in bags])
-    owner = np.repeat(np.arange(len(words)), words)
-    doc = np.repeat(np.arange(len(bags)), sentences)
     # features of fewer than three documents, or no commoner in toxic ones, stay at zero
-    of = doc[owner]
-    held = {0: np.zeros(1 << BITS), 1: np.zeros(1 << BITS)}
-    pairs = np.unique(np.concatenate([of * np.int64(1 << BITS) + x[:, j] for j in range(3)]))
-    for k in held:
-        sel = y[pairs >> BITS] == k
-        held[k] = np.bincount(pairs[sel] & ((1 << BITS) - 1), minlength=1 << BITS)
+    held = {k: np.zeros(1 << BITS) for k in (0, 1)}
+    for label, x, _ in bags:
+        held[int(label > 0)][np.unique(x)] += 1
     p, n = max(1, y.sum()), max(1, (1 - y).sum())
     usable = (held[0] + held[1] >= 3) & ((held[1] + 0.1) / p > 1.5 * (held[0] + 0.1) / n)
     usable[0] = False
-    col = x.ravel()
-    keep = usable[col]
-    row, col = np.repeat(owner, 3)[keep], col[keep]
+    rows, cols, at = [], [], 0
+    for _, x, sizes in bags:
+        keep = usable[x]
+        rows.append((np.repeat(np.arange(at, at + len(sizes)), sizes)[:, None] * np.ones(3, np.int64))[keep].astype(np.int32))
+        cols.append(x[keep])
+        at += len(sizes)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    words = np.zeros(at)
+    doc = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
     names, col = np.unique(col, return_inverse=True)
     w, b = np.zeros(len(names)), START
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
