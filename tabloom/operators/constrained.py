@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.sources.shared import checkpoint
+from tabloom.functions import rng
 from tabloom.operators import dependency, sampling
 from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, most_informative
 from tabloom.operators.profile import attribute_roles, attribute_sequence
@@ -58,6 +59,67 @@ def sequence_keys(dcs: Sequence[DenialConstraint], target: str) -> list[str]:
     return sorted(set.intersection(*common)) if common else []
 
 
+class Tally:
+    """Violations of one constraint among the rows seen so far, by value of the target.
+
+    If the other predicates all ask for equality, values are counted by key; else the rows seen are compared."""
+
+    def __init__(self, dc: DenialConstraint, target: str):
+        self.mine = [p.oriented for p in dc.predicates if p.same_attribute == target]
+        self.rest = [(p.same_attribute, p.oriented) for p in dc.predicates if p.same_attribute != target]
+        self.by_key = all(op == "=" for _, op in self.rest) and all(op in ("=", "<>") for op in self.mine)
+        self.counts: dict[tuple, dict] = {}
+        self.sizes: dict[tuple, int] = {}
+        self.n, self.columns = 0, [np.empty(64, object) for _ in range(len(self.rest) + 1)]
+
+    def _key(self, row: dict) -> tuple:
+        return tuple(row[a] for a, _ in self.rest)
+
+    def add(self, row: dict, value, n: int = 1) -> None:
+        key = self._key(row)
+        if self.by_key:
+            counts = self.counts.setdefault(key, {})
+            counts[value] = counts.get(value, 0) + n
+            self.sizes[key] = self.sizes.get(key, 0) + n
+            return
+        if n > 0:
+            if self.n == len(self.columns[0]):
+                self.columns = [np.concatenate([c, np.empty_like(c)]) for c in self.columns]
+            if not self.n:  # numbers compare faster as such
+                self.columns = [np.empty(64, float if isinstance(v, (int, float)) else object) for v in (*key, value)]
+            for c, v in zip(self.columns, (*key, value)):
+                c[self.n] = v
+            self.n += 1
+            return
+        same = np.ones(self.n, bool)
+        for c, v in zip(self.columns, (*key, value)):
+            same &= c[: self.n] == v
+        at = int(np.flatnonzero(same)[0])
+        self.n -= 1
+        for c in self.columns:
+            c[at] = c[self.n]
+
+    def violations(self, row: dict, values: list) -> list[int]:
+        """For each candidate value, the rows seen that violate with it, those as t1."""
+        key = self._key(row)
+        if self.by_key:
+            counts, size = self.counts.get(key, {}), self.sizes.get(key, 0)
+            equal, unequal = "=" in self.mine, "<>" in self.mine
+            return [0 if equal and unequal else counts.get(v, 0) if equal else size - counts.get(v, 0) for v in values]
+        columns = [c[: self.n] for c in self.columns]
+        ok = np.ones(self.n, bool)
+        for (_, op), mine, known in zip(self.rest, key, columns):
+            ok &= _TEST[op](known, mine).astype(bool)
+        seen = columns[-1][ok]
+        out = []
+        for v in values:
+            hit = np.ones(len(seen), bool)
+            for op in self.mine:
+                hit &= _TEST[op](seen, v).astype(bool)
+            out.append(int(hit.sum()))
+        return out
+
+
 class Sequencer:
     """The sequential part, for the rows of one key."""
 
@@ -65,26 +127,11 @@ class Sequencer:
         self.target, self.dcs, self.weights, self.settings, self.numeric = target, list(dcs), list(weights), settings, numeric
         self.greedy = any(dc.is_fd for dc in dcs)
 
-    def load(self, others: dict[str, np.ndarray], row: dict, values: list) -> np.ndarray:
-        """Weighted violations of each candidate value with the other rows, those as t1."""
+    def load(self, seen: list[Tally], row: dict, values: list) -> np.ndarray:
+        """Weighted violations of each candidate value with the rows seen, those as t1."""
         total = np.zeros(len(values))
-        for dc, w in zip(self.dcs, self.weights):
-            ok, mine = None, []
-            for p in dc.predicates:
-                a = p.same_attribute
-                if a == self.target:
-                    mine.append(p)
-                    continue
-                hit = _TEST[p.oriented](others[a], row[a])
-                ok = hit if ok is None else ok & hit
-            seen = others[self.target] if ok is None else others[self.target][ok]
-            if not len(seen):
-                continue
-            for i, v in enumerate(values):
-                hit = np.ones(len(seen), bool)
-                for p in mine:
-                    hit &= _TEST[p.oriented](seen, v).astype(bool)
-                total[i] += w * hit.sum()
+        for tally, w in zip(seen, self.weights):
+            total += w * np.array(tally.violations(row, values), float)
         return total
 
     def pages(self, row: dict, tid: int, stream: str):
@@ -106,14 +153,14 @@ class Sequencer:
             if len(values[part]):
                 yield list(values[part]), p[part]
 
-    def choose(self, others: dict, row: dict, tid: int, stream: str, first: bool):
+    def choose(self, seen: list[Tally], row: dict, tid: int, stream: str, first: bool):
         """A value for one cell; if no page has a clean candidate, the first page's unweighted shares decide."""
         if self.settings.sampler == "ar" and not self.numeric:
-            return self.accept(others, row, tid, stream)
+            return self.accept(seen, row, tid, stream)
         fallback = None
         for attempt, (values, p) in enumerate(self.pages(row, tid, stream)):
             fallback = fallback or (values, p)
-            load = self.load(others, row, values)
+            load = self.load(seen, row, values)
             if self.settings.sampler == "ar":
                 if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < math.exp(-min(load[0], 700)):
                     return values[0]
@@ -123,14 +170,14 @@ class Sequencer:
                 return self.pick(values, q, tid, stream, first)
         return self.pick(*fallback, tid, stream, first)
 
-    def accept(self, others: dict, row: dict, tid: int, stream: str):
+    def accept(self, seen: list[Tally], row: dict, tid: int, stream: str):
         """Draw and accept with probability exp(-load); each value's load is worked out once. The last draw stays if none is accepted."""
         values, p, loads = row["values_"], np.array(row["p_"], float), {}
         cdf = np.cumsum(p) / p.sum()
         for attempt in range(AR_TRIES):
             k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
             if k not in loads:
-                loads[k] = math.exp(-min(self.load(others, row, [values[k]])[0], 700))
+                loads[k] = math.exp(-min(self.load(seen, row, [values[k]])[0], 700))
             if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
                 break
         return values[k]
@@ -143,19 +190,20 @@ class Sequencer:
 
     def fill(self, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tid", kind="stable").reset_index(drop=True)
-        needed = {a for dc in self.dcs for a in dc.attributes} - {self.target}
-        columns = {a: pdf[a].to_numpy() for a in needed}
         target = np.empty(len(pdf), float if self.numeric else object)
-        rows = pdf.to_dict("records")
+        rows, seen = pdf.to_dict("records"), [Tally(dc, self.target) for dc in self.dcs]
         for i, row in enumerate(rows):
-            others = {a: x[:i] for a, x in columns.items()} | {self.target: target[:i]}
-            target[i] = self.choose(others, row, row["tid"], f"fill.{self.target}", i == 0)
+            target[i] = self.choose(seen, row, row["tid"], f"fill.{self.target}", i == 0)
+            for tally in seen:
+                tally.add(row, target[i])
         if self.settings.sampler == "mcmc" and len(rows) > 1:
             for step in range(math.ceil(self.settings.steps * len(rows))):
                 i = min(int(keyed(self.settings.seed, f"mcmc.{self.target}", f"{rows[0]['tid']}.{step}") * len(rows)), len(rows) - 1)
-                rest = np.arange(len(rows)) != i
-                others = {a: x[rest] for a, x in columns.items()} | {self.target: target[rest]}
-                target[i] = self.choose(others, rows[i], rows[i]["tid"], f"mcmc.{self.target}.{step}", False)
+                for tally in seen:
+                    tally.add(rows[i], target[i], -1)
+                target[i] = self.choose(seen, rows[i], rows[i]["tid"], f"mcmc.{self.target}.{step}", False)
+                for tally in seen:
+                    tally.add(rows[i], target[i])
         return pdf.assign(**{self.target: target})
 
 
@@ -191,11 +239,17 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
     types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes) + f", `{target}` {made}"
     names = syn.columns + [target]
     keys = sequence_keys(dcs, target)
+    if not dcs and not numeric and settings.sampler != "ar":  # one keyed draw from the first page
+        page = F.slice(F.col("p_"), 1, PAGE)
+        upto = F.transform(F.sequence(F.lit(1), F.size(page)), lambda i: F.aggregate(F.slice(page, F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
+        point = rng.uniform(settings.seed, f"fill.{target}.pick", F.col("tid")) * F.element_at(upto, -1)
+        at = F.size(F.filter(upto, lambda x: x <= point))
+        return rows.select(*syn.columns, F.element_at("values_", F.least(at, F.size(page) - 1) + 1).alias(target))
     if not dcs:  # rows don't interact
 
         def independent(batches):
             for pdf in batches:
-                out = [work.choose({target: np.empty(0)}, row, row["tid"], f"fill.{target}", False) for row in pdf.to_dict("records")]
+                out = [work.choose([], row, row["tid"], f"fill.{target}", False) for row in pdf.to_dict("records")]
                 yield pdf.assign(**{target: out})[names]
 
         return rows.select(*syn.columns, *extra).mapInPandas(independent, types)

@@ -5,8 +5,9 @@ counts take the row as t1 against all others. A comparison with null never holds
 
 Constraints without order predicates never form a pair: counts of equal groups, one for each subset of the <> attributes,
 are combined by inclusion and exclusion. With order predicates, keys of few rows are joined with a residual
-filter; keys of many rows (or no key at all) are cut into blocks, and pairs of blocks are compared in vectorised tiles, so no
-task holds a whole key.
+filter; keys of many rows (or no key at all) are cut into blocks of neighbouring tids, and pairs of blocks are compared in
+tiles, so no task holds a whole key. In a tile, up to two order predicates are counted by sorting; more, or <> besides, by comparing
+in strips.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.plans.constraint import DenialConstraint, shape
+from tabloom.sources.shared import checkpoint
 
 #: Keys of more rows than this are compared in tiles of TILE_ROWS by TILE_ROWS.
-JOIN_ROWS, TILE_ROWS, STRIP = 1024, 16_384, 1 << 21
+JOIN_ROWS, TILE_ROWS, STRIP = 1024, 32_768, 1 << 21
 _TEST = {"=": np.equal, "<>": np.not_equal, "<": np.less, ">": np.greater, "<=": np.less_equal, ">=": np.greater_equal}
 
 
@@ -64,29 +66,87 @@ def _subsets(eq: Sequence[str], iq: Sequence[str]) -> tuple[list[tuple[str, ...]
     return [s for s, g in sets.items() if g], [g for g in sets.values() if g]
 
 
-def _tile(t: pa.Table, dc: DenialConstraint, mode: str, per_row: bool) -> pa.Table:
-    """Compare two blocks of one key: part 0 with part 1 (both ways), or a block with itself."""
-    side = t.column("side_").to_numpy()
-    columns = {}
-    for i, p in enumerate(dc.predicates):
-        x = t.column(f"p{i}").to_pandas().to_numpy()
-        columns[i] = np.unique(x, return_inverse=True)[1] if x.dtype == object else x
-    tid = t.column("tid_").to_numpy()
-    a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    total = np.zeros(t.num_rows, np.int64)
-
-    def against(one: np.ndarray, two: np.ndarray) -> None:
-        step = max(1, STRIP // max(1, len(two)))
+def _dominated(qx: np.ndarray, rx: np.ndarray, side_x: str, qy: np.ndarray, ry: np.ndarray, side_y: str) -> np.ndarray:
+    """For each query the points with x below it and y below it (sides: left for <, right for <=).
+
+    Points are sorted by x; a query's prefix splits into blocks of powers of two, which are sorted by y."""
+    order = np.argsort(rx, kind="stable")
+    ry = ry[order]
+    prefix = np.searchsorted(rx[order], qx, side_x)
+    low = min(int(ry.min(initial=0)), int(qy.min(initial=0)))
+    ry, qy = ry - low, qy - low
+    big = max(int(ry.max(initial=0)), int(qy.max(initial=0))) + 2
+    out, size, at = np.zeros(len(qx), np.int64), 1, np.arange(len(ry))
+    while size <= len(ry):
+        sel = np.flatnonzero(prefix & size)
+        if len(sel):
+            start = prefix[sel] // (2 * size) * (2 * size)
+            blocks = np.sort(at // size * big + ry)
+            out[sel] += np.searchsorted(blocks, start // size * big + qy[sel], side_y) - start
+        size *= 2
+    return out
+
+
+class _Comparison:
+    """Counts, for rows as t1, the rows as t2 that violate with them; keys are equal already, attributes are rank codes."""
+
+    def __init__(self, dc: DenialConstraint, columns: list[np.ndarray], tid: np.ndarray):
+        self.tid, self.columns = tid, columns
+        self.tests = [(i, p.oriented) for i, p in enumerate(dc.predicates) if p.oriented != "="]
+        self.sorted = len(self.tests) <= 2 and all(op != "<>" for _, op in self.tests)
+
+    def all_pairs(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whatever their tids."""
+        if self.sorted:
+            # t1 < t2 asks for points above: codes are negated
+            turned = [(-self.columns[i] if op[0] == "<" else self.columns[i], "right" if op[-1] == "=" else "left") for i, op in self.tests]
+            (x, sx), (y, sy) = turned if len(turned) == 2 else (turned[0], (np.zeros_like(self.columns[0]), "right"))
+            return _dominated(x[one], x[two], sx, y[one], y[two], sy)
+        out, step = np.zeros(len(one), np.int64), max(1, STRIP // max(1, len(two)))
         for k in range(0, len(one), step):
             r = one[k : k + step]
-            ok = tid[r][:, None] < tid[two][None, :] if mode == "tid_ordered" else tid[r][:, None] != tid[two][None, :]
-            for i, p in enumerate(dc.predicates):
-                ok &= _TEST[p.oriented](columns[i][r][:, None], columns[i][two][None, :])
-            total[r] += ok.sum(1)
-
-    against(a, b)
-    if (side == 1).any():  # two different blocks
-        against(b, a)
+            ok = np.ones((len(r), len(two)), bool)
+            for i, op in self.tests:
+                ok &= _TEST[op](self.columns[i][r][:, None], self.columns[i][two][None, :])
+            out[k : k + step] = ok.sum(1)
+        return out
+
+    def within(self, rows: np.ndarray, mode: str) -> np.ndarray:
+        """Pairs of one block, in the order of `rows`."""
+        if mode == "ordered":
+            itself = np.ones(len(rows), bool)
+            for i, op in self.tests:
+                itself &= _TEST[op](self.columns[i][rows], self.columns[i][rows])
+            return self.all_pairs(rows, rows) - itself
+        order = rows[np.argsort(self.tid[rows], kind="stable")]
+        out = np.zeros(len(self.tid), np.int64)
+        size = 256
+        for a in range(0, len(order), size):  # small pieces outright, then doubled ones half against half
+            part = order[a : a + size]
+            ok = self.tid[part][:, None] < self.tid[part][None, :]
+            for i, op in self.tests:
+                ok &= _TEST[op](self.columns[i][part][:, None], self.columns[i][part][None, :])
+            out[part] += ok.sum(1)
+        while size < len(order):
+            for a in range(0, len(order) - size, 2 * size):
+                first, second = order[a : a + size], order[a + size : a + 2 * size]
+                out[first] += self.all_pairs(first, second)
+            size *= 2
+        return out[rows]
+
+
+def _tile(t: pa.Table, dc: DenialConstraint, mode: str, per_row: bool) -> pa.Table:
+    """Compare two blocks of one key, of which part 0 has the lower tids, or (part 2) a block with itself."""
+    side, tid = t.column("side_").to_numpy(), t.column("tid_").to_numpy()
+    codes = [np.unique(t.column(f"p{i}").to_pandas().to_numpy(), return_inverse=True)[1].astype(np.int64) for i in range(len(dc.predicates))]
+    compare, total = _Comparison(dc, codes, tid), np.zeros(t.num_rows, np.int64)
+    whole, a, b = np.flatnonzero(side == 2), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if len(whole):
+        total[whole] += compare.within(whole, mode)
+    elif len(a) and len(b):
+        total[a] += compare.all_pairs(a, b)
+        if mode == "ordered":
+            total[b] += compare.all_pairs(b, a)
     if per_row:
         sel = np.flatnonzero(total)
         return pa.table({"tid": tid[sel], "n": total[sel]})
@@ -103,7 +163,7 @@ def _ordered_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, pe
         sizes = rows.groupBy(*keys).count().withColumnRenamed("count", "size_")
         rows = rows.join(sizes, keys)
     else:
-        rows = rows.withColumn("size_", F.lit(rows.count()).cast("long"))
+        rows = rows.withColumn("size_", F.lit(0))
     parts = []
     if eq:
         small = rows.filter(F.col("size_") <= join_rows)
@@ -116,14 +176,17 @@ def _ordered_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, pe
         counted = pairs.groupBy(F.col("l.tid_").alias("tid")).agg(F.count(F.lit(1)).alias("n")) if per_row else pairs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n")
         parts.append(counted)
         rows = rows.filter(F.col("size_") > join_rows)
-    blocks = F.ceil(F.col("size_") / F.lit(tile_rows)).cast("int")
-    rows = rows.withColumn("of_", blocks).withColumn("block_", F.pmod(F.xxhash64("tid_"), F.col("of_")).cast("int"))
-    rows = rows.withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("of_") - 1)))
+    # blocks are ranges of (key, tid), so that of two blocks of a key one has all the lower tids; their bounds are
+    # sampled, so the rows are written before anything is built on them
+    n = max(1, -(-rows.count() // tile_rows))
+    rows = checkpoint(rows.drop("size_").repartitionByRange(n, *keys, "tid_").withColumn("block_", F.spark_partition_id()))
+    met = rows.groupBy(*keys).agg(F.collect_set("block_").alias("others_"))
+    rows = rows.join(met.hint("merge"), keys) if keys else rows.join(F.broadcast(met))
+    rows = rows.withColumn("other_", F.explode("others_")).drop("others_")
     rows = rows.withColumn("i_", F.least("block_", "other_")).withColumn("j_", F.greatest("block_", "other_"))
     rows = rows.withColumn("side_", F.when(F.col("i_") == F.col("j_"), 2).when(F.col("block_") == F.col("i_"), 0).otherwise(1).cast("int"))
-    # a block meets itself once; side 2 stands on both sides
     work = lambda t: _tile(t, dc, mode, per_row)
-    parts.append(rows.drop("size_", "of_", "block_", "other_").groupBy(*keys, "i_", "j_").applyInArrow(work, "tid long, n long"))
+    parts.append(rows.drop("block_", "other_").groupBy(*keys, "i_", "j_").applyInArrow(work, "tid long, n long"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
