@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from tabloom.operators.marginals import average, marginal_report
 from tabloom.operators.profile import numeric_columns
 from tabloom.operators.violations import violation_report
 from tabloom.plans.constraint import DenialConstraint
+from tabloom.sources.shared import checkpoint
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,8 @@ class Target:
         return transform.positive(F.lower(x.cast("string")), self.labels) if self.labels is not None else transform.positive(x.cast("double"), None, self.lo, self.hi)
 
 
-#: Trees all of whose features may be split on stand for bagging; boosted trees for both kinds of gradient boosting.
-MODELS = ("logistic", "forest", "bagging", "boosted", "bayes", "tree", "perceptron")
+#: Trees all of whose features may be split on stand for bagging; deeper trees and smaller steps for the second kind of gradient boosting.
+MODELS = ("logistic", "adaptive", "boosted", "boosted_deep", "forest", "bayes", "tree", "bagging", "perceptron")
 
 
 def _classifier(name: str, width: int, seed: int):
@@ -41,16 +43,41 @@ def _classifier(name: str, width: int, seed: int):
         "forest": lambda: c.RandomForestClassifier(numTrees=20, seed=seed),
         "bagging": lambda: c.RandomForestClassifier(numTrees=10, featureSubsetStrategy="all", seed=seed),
         "boosted": lambda: c.GBTClassifier(maxIter=20, seed=seed),
-        "bayes": lambda: c.NaiveBayes(modelType="gaussian"),
+        "boosted_deep": lambda: c.GBTClassifier(maxIter=20, maxDepth=6, stepSize=0.3, subsamplingRate=0.8, seed=seed),
+        "bayes": lambda: c.NaiveBayes(modelType="bernoulli", featuresCol="binary"),
         "tree": lambda: c.DecisionTreeClassifier(seed=seed),
         "perceptron": lambda: c.MultilayerPerceptronClassifier(layers=[width, 16, 2], maxIter=50, seed=seed),
     }
     return kinds[name]()
 
 
+def adaptive(train: DataFrame, test: DataFrame, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """(label, prediction, p): boosting of one-split trees by reweighting what they got wrong (discrete AdaBoost)."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    train = train.withColumn("w_", F.lit(1.0))
+    test = test.withColumn("vote_", F.lit(0.0))
+    used = 0.0
+    for step in range(rounds):
+        stump = DecisionTreeClassifier(maxDepth=1, weightCol="w_", seed=seed + step).fit(train)
+        told = stump.transform(train).select("label", "features", "w_", (F.col("prediction") != F.col("label")).alias("wrong_"))
+        total, wrong = told.agg(F.sum("w_"), F.sum(F.when(F.col("wrong_"), F.col("w_")).otherwise(0.0))).first()
+        error = min(max(wrong / total, 1e-9), 1 - 1e-9)
+        if error >= 0.5:
+            break
+        alpha = 0.5 * math.log((1 - error) / error)
+        used += alpha
+        train = checkpoint(told.select("label", "features", (F.col("w_") * F.exp(F.when(F.col("wrong_"), alpha).otherwise(-alpha)) / F.lit(total)).alias("w_")))
+        test = checkpoint(stump.transform(test).select("label", "features", (F.col("vote_") + F.lit(alpha) * (2 * F.col("prediction") - 1)).alias("vote_")))
+        if error <= 1e-9:
+            break
+    p = (F.col("vote_") / F.lit(used or 1.0) + 1) / 2
+    return test.select("label", (F.col("vote_") > 0).cast("double").alias("prediction"), p.alias("p"))
+
+
 def features(train: DataFrame, test: DataFrame, target: Target, most: int = 50) -> tuple[DataFrame, DataFrame, int]:
     """(label, features) of both tables: numbers scaled jointly, text one-hot jointly (at most `most` commonest values of an attribute)."""
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Binarizer, VectorAssembler
 
     both = train.withColumn("of_", F.lit(0)).unionByName(test.withColumn("of_", F.lit(1))).withColumn("label", target.column().cast("double"))
     columns = [c for c in train.columns if c not in (target.attr, "tid")]
@@ -67,7 +94,8 @@ def features(train: DataFrame, test: DataFrame, target: Target, most: int = 50)
             inputs[f"x{i}"] = F.coalesce((F.lower(F.col(f"`{c}`").cast("string")) == r[0]).cast("double"), F.lit(0.0))
             i += 1
     ready = both.filter("label is not null").select("of_", "label", *[v.alias(k) for k, v in inputs.items()])
-    ready = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(ready).select("of_", "label", "features")
+    ready = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(ready)
+    ready = Binarizer(inputCol="features", outputCol="binary", threshold=0.5).transform(ready).select("of_", "label", "features", "binary")
     return ready.filter("of_ = 0").drop("of_"), ready.filter("of_ = 1").drop("of_"), i
 
 
@@ -110,6 +138,8 @@ def classifier_report(true: DataFrame, synthetic: DataFrame, targets: Sequence[T
             if len(classes) < 2:
                 constant = float(classes[0]) if classes else 0.0
                 scored = b.select("label", F.lit(constant).alias("prediction"), F.lit(constant).alias("p"))
+            elif name == "adaptive":
+                scored = adaptive(a, b, seed=seed)
             else:
                 made = _classifier(name, width, seed).fit(a).transform(b)
                 from pyspark.ml.functions import vector_to_array

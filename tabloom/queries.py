@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import privacy, probability, rng
-from tabloom.operators import constrained, dependency, evaluate, learning, marginals, model, profile, sampling, transform, violations
+from tabloom.operators import constrained, dependency, evaluate, flows, learning, marginals, model, profile, sampling, transform, violations
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
 from tabloom.sources.tables import ORDER_WIDE_SQL, order_wide
@@ -614,3 +614,52 @@ def classifier_report(spark, sf_dir):
     columns = ["tid", "c_mktsegment", "o_orderpriority", "o_orderstatus", "o_totalprice", "c_acctbal"]
     target = evaluate.Target("o_orderstatus", ("o",))
     return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [target], ("logistic", "tree", "bayes"), 2000)
+
+
+@query()
+def classifier_report_ensembles(spark, sf_dir):
+    true, syn = _halves(spark, sf_dir)
+    columns = ["tid", "c_mktsegment", "o_orderstatus", "o_totalprice", "c_acctbal"]
+    models = [m for m in evaluate.MODELS if m not in ("logistic", "tree", "bayes")]
+    return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [evaluate.Target("o_totalprice", None, 0, 150000)], models, 1000)
+
+
+# --- whole runs ----------------------------------------------------------------------------------
+
+
+@query()
+def flow_keyed(spark, sf_dir):
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment", "n_name", "o_orderpriority", "o_orderstatus", "c_acctbal", "o_totalprice"]
+    settings = constrained.Settings(seed=3, sigma_first=2.0)
+    return flows.keyed_flow(order_wide(spark, sf_dir), [dc(t) for t in FDS[:3]], [1000.0] * 3, columns, "c_custkey", ["c_mktsegment", "c_nationkey", "n_name"], NUMBERS, {"c_acctbal": 100, "o_totalprice": 100}, settings)
+
+
+@query("SELECT * FROM (VALUES (0), (0), (0)) t(n_vio)")
+def flow_keyed_keeps_dependencies(spark, sf_dir):
+    made = flow_keyed(spark, sf_dir).select("tid", "c_custkey", "c_nationkey", "c_mktsegment", "n_name").cache()
+    return violations.violation_report(made, [dc(t) for t in FDS[:3]]).select(F.col("n_vio").cast("int"))
+
+
+@query()
+def flow_grouped(spark, sf_dir):
+    columns = ["n_name", "n_regionkey", "o_orderstatus", "o_orderpriority"]
+    return flows.grouped_flow(order_wide(spark, sf_dir), [dc(FDS[3])], [1000.0], columns, {"status_priority": ["o_orderstatus", "o_orderpriority"]}, constrained.Settings(seed=3))
+
+
+@query()
+def flow_binary(spark, sf_dir):
+    flag = lambda c: F.when(c, "one").otherwise("zero")
+    wide = order_wide(spark, sf_dir).select("tid", "n_name", flag(F.col("o_totalprice") > 150000).alias("a"), flag(F.col("c_acctbal") > 5000).alias("b"), "o_orderstatus")
+    c = dc("t1&t2&EQ(t1.n_name,t2.n_name)&IQ(t1.a,t2.a)&EQ(t1.o_orderstatus,t2.o_orderstatus)")
+    return flows.binary_flow(wide, [c], ["a", "b", "n_name", "o_orderstatus"], ["a", "b"], constrained.Settings(seed=3, sigma_first=1.0))[0]
+
+
+@query("SELECT * FROM (VALUES (0), (0)) t(n_vio)")
+def flow_monotone_keeps_order(spark, sf_dir):
+    wide = order_wide(spark, sf_dir)
+    settings = constrained.Settings(seed=3)
+    start = sampling.first_attribute(spark, wide, "n_name", wide.count(), 0.0, 3).select("tid", "n_name")
+    start = constrained.fill_attribute(start, wide, "c_mktsegment", [], [], settings)
+    made = flows.monotone_flow(start, wide, "n_name", "o_totalprice", "c_acctbal", 50, settings).cache()
+    rules = ["t1&t2&EQ(t1.n_name,t2.n_name)&GT(t1.o_totalprice,t2.o_totalprice)&LT(t1.c_acctbal,t2.c_acctbal)", "t1&t2&EQ(t1.n_name,t2.n_name)&EQ(t1.o_totalprice,t2.o_totalprice)&IQ(t1.c_acctbal,t2.c_acctbal)"]
+    return violations.violation_report(made, [dc(t) for t in rules], mode="ordered").select(F.col("n_vio").cast("int"))
