@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tabloom.sources.shared import checkpoint  # noqa: F401  (used by the operators)
+
 #: Rows of text that a vectorised kernel takes at once; bounds a Python worker's memory.
 KERNEL_BYTES = 4 << 20
 #: Words a worker remembers before it starts its vocabulary afresh.
@@ -30,15 +31,6 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"/tmp/tabloom-checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def parallelism(spark: SparkSession, size: int, each: int) -> int:
     """Shuffle partitions: those configured, or more if a partition would exceed `each` bytes."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / each))
@@ -156,19 +148,6 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def batches_of(schema: pa.Schema, rows: Iterable[dict], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of dicts, cut when their binaries reach `most` bytes."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += sum(len(v) if isinstance(v, bytes) else 8 for v in row.values())
-        if size >= most:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
 def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.RecordBatch], dict]], column: str = "text") -> DataFrame:
     """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, a few megabytes at a time.
 

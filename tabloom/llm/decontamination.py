@@ -16,7 +16,6 @@ whole. Extra columns are untouched.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
