@@ -87,7 +87,7 @@ def test_sequence_and_roles():
     assert seq.relevant(dcs, ["area"], "state") == [1] and seq.relevant(dcs, [], "city") == []
     assert seq.start_categorical(["pay", "sex"], ["pay"]) == ["sex", "pay"]
     kinds = {"zip": "bigint", "pay": "double", "age": "bigint", "sex": "string", "rate": "bigint"}
-    assert seq.roles(kinds, {"age": (18, 79), "zip": (0, 99999), "rate": (0, 5000)}, dcs) == {"zip": "categorical", "pay": "numeric", "age": "categorical", "sex": "string" and "categorical", "rate": "numeric"}
+    assert seq.roles(kinds, {"age": (18, 79), "zip": (0, 99999), "rate": (0, 5000)}, dcs) == {"zip": "categorical", "pay": "numeric", "age": "categorical", "sex": "categorical", "rate": "numeric"}
 
 
 def test_files(tmp_path):
