@@ -6,7 +6,7 @@ centroid by cosine is predicted. A text farther from it than nearly all training
 is flagged as rejected.
 
 Document frequencies cover every learnable document; centroids are fitted on at most ``FIT_ROWS``
-texts of each language (a documented bound), chosen by a hash of doc_id. The model is
+texts of each language (a documented bound), chosen by a hash of doc_id, one task a language. The model is
 languages x ``CENTROIDS`` x ``DIMS`` numbers; more than ``MAX_LANGUAGES`` languages are an error.
 
 Defined results: null texts and texts without a letter give ``und``, score 0, rejected; without any learnable
@@ -93,20 +93,23 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / n))])
     picked = map_texts(learn.filter(u < share[F.col("lang")]), ["lang"], "at binary, n binary", lambda: _sparse)
-    rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in picked.collect())
-    by: dict[str, list] = {}
-    for lang, at, n in rows:
-        v = np.zeros(DIMS, np.int32)
-        v[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.int32)
-        by.setdefault(lang, []).append(v)
-    langs, parts, owner, limit = sorted(by), [], [], []
-    for i, lang in enumerate(langs):
-        x = vectors(np.array(by[lang]), idf)
-        c = cluster(x[x.any(1)], CENTROIDS) if x.any() else np.zeros((0, DIMS), np.float32)
-        parts.append(c)
-        owner += [i] * len(c)
-        limit.append(float(np.quantile((x @ c.T).max(1), 1 - INSIDE)) if len(c) else 0.0)
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(parts), "owner": owner, "limit": limit}
+
+    def clustered(t: pa.Table) -> pa.Table:  # the sampled texts of one language
+        counts = np.zeros((t.num_rows, DIMS), np.int32)
+        for row, (at, n) in zip(counts, sorted(zip(t.column("at").to_pylist(), t.column("n").to_pylist()))):
+            row[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.int32)
+        x = vectors(counts, idf)
+        x = x[x.any(1)]
+        c = cluster(x, CENTROIDS) if len(x) else x
+        limit = float(np.quantile((x @ c.T).max(1), 1 - INSIDE)) if len(c) else 0.0
+        return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * len(c), pa.string()), "centroid": pa.array([r.astype(np.float32).tobytes() for r in c], pa.binary()), "limit": pa.array([limit] * len(c), pa.float64())})
+
+    fitted = picked.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary, limit double").collect()
+    langs = sorted({r[0] for r in fitted})
+    rows = sorted((langs.index(r[0]), bytes(r[1]), r[2]) for r in fitted)
+    limits = {r[0]: r[2] for r in rows}
+    centroids = np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(-1, DIMS)
+    return {"langs": langs, "idf": idf, "centroids": centroids, "owner": [r[0] for r in rows], "limit": [limits[i] for i in range(len(langs))]}
 
 
 def _sparse(raw: list[bytes], _: pa.RecordBatch) -> dict:
