@@ -85,8 +85,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-_DOT = re.compile(r"\s+dot\s+|\s?\(dot\)\s?|\s?\[dot\]\s?", re.I)
-_AT_BEFORE = re.compile(r"([A-Za-z0-9._%+-]{1,64})(?:\s+at\s+|\s?\(at\)\s?|\s?\[at\]\s?|@)([A-Za-z0-9.-]{1,80})\Z", re.I)
+#: Blanks are bounded, so that long runs of them take linear time.
+_DOT = re.compile(r"\s{1,3}dot\s{1,3}|\s?\(dot\)\s?|\s?\[dot\]\s?", re.I)
+_AT_BEFORE = re.compile(r"([A-Za-z0-9._%+-]{1,64})(?:\s{1,3}at\s{1,3}|\s?\(at\)\s?|\s?\[at\]\s?|@)([A-Za-z0-9.-]{1,80})\Z", re.I)
 _LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{1,6}(?:[\x20().-]{1,2}[0-9]{2,6}){1,6}(?![0-9A-Za-z])")
 _LONG = re.compile(r"(?<![0-9A-Za-z])[0-9]{8,19}(?![0-9A-Za-z])")

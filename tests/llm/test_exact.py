@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,14 @@ def test_pii_rows(docs, no_docs, rows):
     assert pii.detect(no_docs, ["doc_id"]).count() == 0
 
 
+def test_pii_long_runs():
+    m = pii.cloudpickle.loads(pii.model())
+    for piece in (" ", "9", "a", "@", "a@", "1.", "+1 ", "(", "dot ", "- "):
+        start = time.time()
+        pii.find(piece * 60_000, m)
+        assert time.time() - start < 20
+
+
 def test_pii_adds_and_leaves():
     m = pii.cloudpickle.loads(pii.model())
     assert pii.find("please mail john.doe at example dot com today", m)[1] == [("email", 12, 39)]
