@@ -31,8 +31,8 @@ from tabloom.llm.common import checkpoint, table
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK_WORDS, BLOCKS_PER_SHARD, MAX_SOURCES, MAX_SHARDS, SEED = 256, 4096, 100_000, 10_000, 20
-#: Rows of one hash chunk, about.
-CHUNK_ROWS = 50_000
+#: Rows of one hash chunk of a source; the square root of the source's rows if that is more.
+CHUNK_ROWS = 5000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: float = LIMIT) -> list[float]:
@@ -107,8 +107,12 @@ def stream_offsets(docs: DataFrame) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     rows = docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id").alias("h"))
     rows = checkpoint(rows)
-    n = max(1, math.ceil(rows.count() / CHUNK_ROWS))
-    rows = rows.withColumn("chunk", F.pmod("h", F.lit(n)))
+    # one row for each source, at most MAX_SOURCES
+    sources = rows.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n_"))
+    if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sources = sources.select(F.col("source").alias("s_"), F.ceil(F.col("n_") / F.greatest(F.lit(float(CHUNK_ROWS)), F.sqrt("n_"))).cast("long").alias("chunks_"))
+    rows = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s_"))).withColumn("chunk", F.pmod("h", F.col("chunks_"))).drop("s_", "chunks_")
     within = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.count(F.lit(1)).over(within))
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
@@ -172,9 +176,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int
     """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes."""
     spark = docs.sparkSession
     rows = checkpoint(stream_offsets(docs))
-    sizes = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()]
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]  # at most MAX_SOURCES, checked above
     plan = plan_mix(sizes, block_words, per_shard, seed)
     # one row per source: at most MAX_SOURCES
     facts = spark.createDataFrame(
