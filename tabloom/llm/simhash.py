@@ -32,9 +32,15 @@ from tabloom.llm.components import forest, stars
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 MAX_SHELL, MAX_POINTS, LEAF_PAIRS = 200_000, 6, 1 << 21
+#: Shingle hashes whose bits are counted at once.
+HASHES = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _bits(hashes: list[int]) -> np.ndarray:
+    return np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """Unsigned 64-bit fingerprint of each text."""
     out = np.zeros(len(texts), np.uint64)
@@ -42,14 +48,16 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     hashes, counts, size = [], [], 0
 
     def settle(first: int) -> None:
-        h = np.array(hashes, np.uint64)
         at = np.concatenate([[0], np.cumsum(counts)])
         full = np.flatnonzero(np.diff(at))
-        if len(full):
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.int32)
-            major = ones * 2 > np.diff(at)[full][:, None]
-            out[first + full] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
+        if len(full) == 1:  # it may be very long
+            ones = sum(_bits(hashes[a : a + HASHES]).sum(0, dtype=np.int64) for a in range(0, len(hashes), HASHES))[None, :]
+        elif len(full):
+            ones = np.add.reduceat(_bits(hashes), at[:-1][full], axis=0, dtype=np.int32)
+        else:
+            return
+        major = ones * 2 > np.diff(at)[full][:, None]
+        out[first + full] = np.packbits(major, axis=1).view(">u8").ravel().astype(np.uint64)
 
     first = 0
     for i, text in enumerate(texts):
@@ -58,10 +66,13 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
             grams = [b" ".join(words)] if words else []
         else:
             grams = [b" ".join(g) for g in zip(*(words[k:] for k in range(shingle)))]
+        if size and size + len(grams) > HASHES:
+            settle(first)
+            hashes, counts, size, first = [], [], 0, i
         hashes += [hash_(g, SEED) for g in grams]
         counts.append(len(grams))
         size += len(grams)
-        if size >= 200_000:
+        if size >= HASHES:
             settle(first)
             hashes, counts, size, first = [], [], 0, i + 1
     settle(first)
@@ -161,9 +172,12 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without all but one row of each group of near duplicates; same columns."""
+    """`docs` without all but one row of each group of near duplicates: the one whose doc_id names the group; same columns.
+
+    Rows that share that doc_id with another text stay too, so no text is lost to an id that is not unique; rows
+    without an id stay if they are in a group without any."""
     kept = near_duplicates(docs.select("doc_id", "text")).select(F.col("component_id").alias("simhash_keep_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("simhash_keep_"))).drop("simhash_keep_").dropDuplicates(["doc_id"])
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("simhash_keep_"))).drop("simhash_keep_").dropDuplicates(["doc_id", "text"])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import dealing
-from tabloom.llm.common import mix, parallelism, rolling, row_starts, runs, sliding_min, slices, table, text_bytes, window_mask
+from tabloom.llm.common import mix, parallelism, rolling, row_starts, runs, sliding_min, table, text_bytes, window_mask
 
 LENGTH, GRAM, CELLS_EACH, FACTOR = 50, 16, 16, 0x9E3779B97F4A7C15
-#: Text for one block of segments, about.
-BLOCK_BYTES = 2 << 20
+#: Text for one block of segments, about; and bytes that are hashed at once.
+BLOCK_BYTES, PIECE = 2 << 20, 2 << 20
 PAYLOAD = "b int, g int, own binary, at binary, ids binary, lengths binary, text binary"
 _PAYLOAD = pa.schema([("b", pa.int32()), ("g", pa.int32())] + [(c, pa.binary()) for c in ("own", "at", "ids", "lengths", "text")])
 
@@ -113,20 +113,16 @@ def equal_strings(text: bytes, starts: np.ndarray, length: int = LENGTH) -> np.n
 
 def minimizer_runs(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first string, number of strings, minimizer) of each run of strings with one minimizer, over concatenated texts."""
-    counts = np.array([len(x) for x in raw], np.int64)
-    begin = row_starts(counts)
-    first, many, value = [], [], []
-    for a, b in slices(counts, 2 << 20):
-        x = np.frombuffer(b"".join(raw[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)
-        if len(x) < length:
-            continue
+    text, first, many, value = b"".join(raw), [], [], []
+    valid = window_mask(np.array([len(x) for x in raw], np.int64), length, len(text) - length + 1)
+    for a in range(0, len(valid), PIECE):  # whatever the lengths of the texts
+        ok = valid[a : a + PIECE]
+        x = np.frombuffer(text, np.uint8, len(ok) + length - 1, a).astype(np.uint64) + np.uint64(1)
         least = sliding_min(mix(rolling(x, gram, FACTOR)), length - gram + 1)
-        ok = window_mask(counts[a:b], length, len(least))
-        change = np.concatenate([[True], (least[1:] != least[:-1]) | ~ok[:-1]]) & ok
-        s = np.flatnonzero(change)
+        s = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | ~ok[:-1]]) & ok)
         _, ends = runs(ok)
-        e = np.minimum(np.append(s[1:], len(ok)), ends[np.searchsorted(ends, s, "right")] if len(s) else s)
-        first.append(s + begin[a])
+        e = np.minimum(np.append(s[1:], len(ok)), ends[np.searchsorted(ends, s, "right")]) if len(s) else s
+        first.append(s + a)
         many.append(e - s)
         value.append(least[s])
     joined_ = lambda p, kind: np.concatenate(p) if p else np.zeros(0, kind)

@@ -305,6 +305,23 @@ def test_simhash(docs, no_docs, rows):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_with_shared_ids(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, "a b c d e"), (1, "v w x y z")]
+
+
+def test_pieces(monkeypatch, rows):
+    texts = [(x[1] or "").encode() for x in rows]
+    whole = suffixes.minimizer_runs(texts, 12, 5)
+    covered = lambda r: sorted((i, v) for f, n, v in zip(*map(list, r)) for i in range(f, f + n))
+    monkeypatch.setattr(suffixes, "PIECE", 97)
+    assert covered(suffixes.minimizer_runs(texts, 12, 5)) == covered(whole)
+    for n in (1, 50, 200_000):
+        monkeypatch.setattr(simhash, "HASHES", n)
+        assert simhash.fingerprints_of(texts).tolist() == [slow_fingerprint(x[1]) for x in rows]
+
+
 def test_links_are_all_found(spark):
     r = random.Random(4)
     fps = [r.getrandbits(64) for _ in range(300)]
