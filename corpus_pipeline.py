@@ -4,9 +4,10 @@ Each stage is (name, function of (spark, docs, sf_dir)); what it returns is writ
 next one's docs. All stages but the last return the columns of their docs.
 
 1. toxicity: documents that the sentence model rejects go (models learn from the docs that came in).
-2. near_dedup: of each group of near duplicates the document with the smallest doc_id stays.
+2. near_dedup: of each group of near duplicates (fingerprints within 2 bits, as op9) the document with the smallest doc_id stays.
 3. decontamination: documents that hold a window of a benchmark item go.
-4. mixing: documents are repeated, kept or left out as the mix of sources takes their words.
+4. mixing: of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the
+   smallest doc_id stays, so that no copy counts in the mix; documents are repeated, kept or left out as the mix of sources takes their words.
 5. sharding: each row gets its shard.
 
 Null and empty texts pass toxicity and decontamination and are near duplicates of each other; repeated rows are
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, mixing, sharding, simhash, toxicity
+from tabloom.llm import decontamination, mixing, near_copies, sharding, simhash, toxicity
 from tabloom.llm.common import checkpoint, table
 
 
@@ -34,6 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = checkpoint(near_copies.without_copies(docs))
     return mixing.apply_mix(docs, mixing.mix_sources(docs))
 
 
