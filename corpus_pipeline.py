@@ -7,7 +7,8 @@ next one's docs. All stages but the last return the columns of their docs.
 2. near_dedup: of each group of near duplicates (fingerprints within 2 bits, as op9) the document with the smallest doc_id stays.
 3. decontamination: documents that hold a window of a benchmark item go.
 4. mixing: of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the
-   smallest doc_id stays, so that no copy counts in the mix; documents are repeated, kept or left out as the mix of sources takes their words.
+   smallest doc_id stays, so that no copy counts in the mix; documents are cut into the pieces whose
+   blocks the mix of sources draws, each as often as it is drawn.
 5. sharding: each row gets its shard.
 
 Null and empty texts pass toxicity and decontamination and are near duplicates of each other; repeated rows are
@@ -36,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = checkpoint(near_copies.without_copies(docs))
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    return mixing.Mix(docs).documents()
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ The words of a source, document after document, are one stream, cut into blocks
 Output shards draw how many blocks they take from each source (a multinomial draw on what is left, so
 that the totals are exact). The slots of a source are numbered over all shards and mapped through a
 pseudorandom permutation of the source's block indices, pass after pass; a join on (source, block)
-brings the blocks in. Only ids and sizes are shuffled; a source with a third of all rows is dealt into
-hash chunks, and its stream offsets come from per-chunk sums.
+brings the blocks in: each document is cut at the borders of its blocks, and the pieces meet the slots that take
+their block (``Mix.taken``). The mix's text by slot, its documents and the words taken of each document all come from
+that join. A source with a third of all rows is dealt into hash chunks, and its stream offsets come from per-chunk sums.
 
 Targets: sources by code point (null last) weigh 3, 1, 2, repeating, and share ``share`` times all
 words by weight; none exceeds ``limit`` times its source, and what is above goes to the others.
@@ -26,8 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tabloom.llm.common import checkpoint, table
+from tabloom.llm.common import checkpoint, table, text_slices
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK_WORDS, BLOCKS_PER_SHARD, MAX_SOURCES, MAX_SHARDS, SEED = 256, 4096, 100_000, 10_000, 20
@@ -102,26 +105,35 @@ SLOT = "src_no int, shard int, slot long, block long, words long"
 _SLOT = pa.schema([("src_no", pa.int32()), ("shard", pa.int32()), ("slot", pa.int64()), ("block", pa.int64()), ("words", pa.int64())])
 
 
-def stream_offsets(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, source, size, offset in its source's stream). The order in a stream is by hash chunk, then doc_id."""
+def stream_offsets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` with src_no, size, row_key (source, chunk, number) and ``at``, the offset in the source's stream; and the words of each source.
+
+    The order in a stream is by hash chunk, then doc_id and the other columns; only rows alike in all of them tie."""
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", words.alias("size"), F.xxhash64("doc_id").alias("h"))
-    rows = checkpoint(rows)
+    sized = lambda columns: docs.select(*columns, words.alias("mix_size_"), F.xxhash64("doc_id").alias("mix_h_"))
+    narrow = checkpoint(sized(["source"]))
     # one row for each source, at most MAX_SOURCES
-    sources = rows.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n_"))
+    sources = narrow.groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n_"), F.sum("mix_size_").alias("words_"))
     if sources.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = sources.select(F.col("source").alias("s_"), F.ceil(F.col("n_") / F.greatest(F.lit(float(CHUNK_ROWS)), F.sqrt("n_"))).cast("long").alias("chunks_"))
-    rows = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s_"))).withColumn("chunk", F.pmod("h", F.col("chunks_"))).drop("s_", "chunks_")
-    within = Window.partitionBy("source", "chunk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(within)).withColumn("nth", F.count(F.lit(1)).over(within))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("chunk_size").over(before), F.lit(0))).drop("chunk_size")
-    sums = sums.withColumnsRenamed({"source": "s_", "chunk": "c_"})
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_")) & (F.col("chunk") == F.col("c_")))
-    key = F.struct("source", "chunk", "nth")
-    return rows.select(key.alias("row_key"), "doc_id", "source", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("at"))
+    sources = sources.select(F.col("source").alias("s_"), "words_", F.ceil(F.col("n_") / F.greatest(F.lit(float(CHUNK_ROWS)), F.sqrt("n_"))).cast("long").alias("chunks_"))
+    sources = checkpoint(sources)
+
+    def chunked(rows: DataFrame) -> DataFrame:
+        rows = rows.join(F.broadcast(sources.drop("words_")), F.col("source").eqNullSafe(F.col("s_")))
+        return rows.withColumn("mix_chunk_", F.pmod("mix_h_", F.col("chunks_"))).drop("s_", "chunks_")
+
+    sums = chunked(narrow).groupBy("source", "mix_chunk_").agg(F.sum("mix_size_").alias("chunk_size"))
+    before = Window.partitionBy("source").orderBy("mix_chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("mix_base_", F.coalesce(F.sum("chunk_size").over(before), F.lit(0))).drop("chunk_size")
+    sums = checkpoint(sums.withColumnsRenamed({"source": "s_", "mix_chunk_": "c_"}))
+    rows = chunked(sized(docs.columns).withColumn("mix_like_", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    within = Window.partitionBy("source", "mix_chunk_").orderBy("mix_h_", "doc_id", "mix_size_", "mix_like_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"mix_upto_": F.sum("mix_size_").over(within), "mix_nth_": F.count(F.lit(1)).over(within).cast("long")})
+    # one row for each CHUNK_ROWS rows of a source, or fewer
+    rows = rows.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("s_")) & (F.col("mix_chunk_") == F.col("c_")))
+    rows = rows.withColumn("mix_at_", F.col("mix_base_") + F.col("mix_upto_") - F.col("mix_size_")).select(*docs.columns, "mix_chunk_", "mix_nth_", "mix_size_", "mix_at_")
+    return rows, sources.select(F.col("s_").alias("source"), F.col("words_").alias("size"))
 
 
 def plan_mix(sizes: list[tuple[str | None, int]], block_words: int, per_shard: int, seed: int) -> dict:
@@ -172,29 +184,101 @@ def draw_slots(spark: SparkSession, plan: dict, block_words: int, seed: int) ->
     return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInArrow(slots, SLOT)
 
 
+class Mix:
+    """The plan of a mix of `docs`, and its outputs: ``pieces`` of blocks taken by slots, whole blocks, words taken."""
+
+    def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED):
+        self.docs, self.block_words = docs, block_words
+        spark = docs.sparkSession
+        rows, sizes = stream_offsets(docs)
+        plan = plan_mix([(r[0], int(r[1])) for r in sizes.collect()], block_words, per_shard, seed)  # at most MAX_SOURCES, checked above
+        # one row per source: at most MAX_SOURCES
+        facts = spark.createDataFrame(
+            [(i, n, s, float(t)) for i, (n, s, t) in enumerate(zip(plan["names"], plan["words"], plan["targets"]))], "mix_src_ int, src string, source_size long, target double"
+        )
+        self.facts = facts.withColumnRenamed("mix_src_", "src_no").withColumnRenamed("src", "source")
+        self.rows = rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("src"))).drop("src")
+        self.slots = draw_slots(spark, plan, block_words, seed)
+        # where the last slot of a source ends within its block
+        self.ends = {}
+        for i, (slots, b, s, cut) in enumerate(zip(plan["slots"], plan["blocks"], plan["words"], plan["cut"])):
+            if cut:
+                block = int(permuted(np.array([(slots - 1) % b]), b, f"{seed}|{i}|{(slots - 1) // b}")[0])
+                self.ends[i] = min((block + 1) * block_words, s) - cut
+
+    def pieces(self) -> DataFrame:
+        """Each row of docs cut at the borders of blocks (and where a source's last slot ends): its columns with the piece as
+        text, mix_block_, and the words mix_a_ to mix_z_ of the block that it is. A row's pieces make up its text."""
+        added = StructType.fromDDL("mix_block_ long, mix_a_ long, mix_z_ long")
+        rows = self.rows.filter("mix_size_ > 0").drop("source_size", "target")
+        schema = StructType(rows.schema.fields + added.fields)
+        arrow, ends, width = to_arrow_schema(schema), self.docs.sparkSession.sparkContext.broadcast(self.ends), self.block_words
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            end_of = ends.value
+            for whole in batches:
+                for first, stop, raw in text_slices(whole.column("text")):
+                    batch = whole.slice(first, stop - first)
+                    column = lambda n: batch.column(n).to_pylist()
+                    taken, blocks, lows, highs, texts = [], [], [], [], []
+                    for i, (text, at, size, src) in enumerate(zip(raw, column("mix_at_"), column("mix_size_"), column("mix_src_"))):
+                        borders = list(range((at // width + 1) * width, at + size, width))
+                        if at < end_of.get(src, 0) < at + size and end_of[src] % width:
+                            borders = sorted([*borders, end_of[src]])
+                        edges = [at, *borders, at + size]
+                        if borders:
+                            x = np.frombuffer(text, np.uint8)
+                            word = (x != 32) & ((x < 9) | (x > 13))
+                            word[1:] &= ~word[:-1]
+                            places = [0, *np.flatnonzero(word)[np.array(borders) - at].tolist(), len(text)]
+                        else:
+                            places = [0, len(text)]
+                        for low, high, p, q in zip(edges, edges[1:], places, places[1:]):
+                            taken.append(i)
+                            blocks.append(low // width)
+                            lows.append(low - low // width * width)
+                            highs.append(high - low // width * width)
+                            texts.append(text[p:q].decode())
+                    made = {"text": texts, "mix_block_": blocks, "mix_a_": lows, "mix_z_": highs}
+                    index = pa.array(taken, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else batch.column(f.name).take(index).cast(f.type) for f in arrow], schema=arrow)
+
+        return rows.mapInArrow(cut, schema)
+
+    def taken(self) -> DataFrame:
+        """One row for each piece and each slot that takes it: the columns of pieces, mix_shard_ and mix_slot_."""
+        slots = self.slots.select(F.col("src_no").alias("mix_src_"), F.col("shard").alias("mix_shard_"), F.col("slot").alias("mix_slot_"), F.col("block").alias("mix_block_"), "words")
+        return self.pieces().join(slots.hint("merge"), ["mix_src_", "mix_block_"]).filter("mix_z_ <= words").drop("words")
+
+    def blocks(self) -> DataFrame:
+        """(shard, slot, source, block, words, text): the text of each slot of the mix, pieces of documents on lines of their own."""
+        piece = F.struct("mix_a_", "text", (F.col("mix_z_") - F.col("mix_a_")).alias("n"))  # at most block_words of a slot
+        out = self.taken().groupBy("mix_src_", F.col("mix_shard_").alias("shard"), F.col("mix_slot_").alias("slot"), F.col("mix_block_").alias("block")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+        out = out.join(F.broadcast(self.facts), F.col("mix_src_") == F.col("src_no"))
+        return out.select("shard", "slot", "source", "block", F.aggregate("p.n", F.lit(0).cast("long"), lambda x, y: x + y).alias("words"), F.concat_ws("\n", "p.text").alias("text"))
+
+    def documents(self) -> DataFrame:
+        """The columns of docs, one row for each taken piece, with the piece as text (n_chars is its length); rows without words stay once."""
+        out = self.taken()
+        if "n_chars" in self.docs.columns:
+            out = out.withColumn("n_chars", F.length("text").cast(self.docs.schema["n_chars"].dataType))
+        return out.select(*self.docs.columns).unionByName(self.rows.filter("mix_size_ = 0").select(*self.docs.columns))
+
+    def counts(self) -> DataFrame:
+        """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes."""
+        key = ["mix_src_", "mix_chunk_", "mix_nth_"]
+        taken = self.taken().groupBy(*key).agg(F.sum(F.col("mix_z_") - F.col("mix_a_")).alias("taken"))
+        rows = self.rows.select(*key, "doc_id", "source", F.col("mix_size_").alias("size"), "source_size", "target")
+        return rows.join(taken.hint("merge"), key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = BLOCKS_PER_SHARD, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many words of each document the mix takes."""
-    spark = docs.sparkSession
-    rows = checkpoint(stream_offsets(docs))
-    sizes = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]  # at most MAX_SOURCES, checked above
-    plan = plan_mix(sizes, block_words, per_shard, seed)
-    # one row per source: at most MAX_SOURCES
-    facts = spark.createDataFrame(
-        [(i, n, s, float(t)) for i, (n, s, t) in enumerate(zip(plan["names"], plan["words"], plan["targets"]))], "src_no int, src string, source_size long, target double"
-    )
-    rows = rows.join(F.broadcast(facts), F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    took = draw_slots(spark, plan, block_words, seed).groupBy("src_no", "block").agg(F.collect_list("words").alias("words"))
-    first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-    parts = rows.filter("size > 0").select("row_key", "src_no", "size", "at", F.explode(F.sequence(first, last)).alias("block"))
-    start, stop = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0)), F.col("at") + F.col("size") - F.col("block") * block_words
-    parts = parts.withColumns({"a": start, "z": stop}).join(took.hint("merge"), ["src_no", "block"])
-    given = F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.greatest(F.least(w, F.col("z")) - F.col("a"), F.lit(0)))
-    taken = parts.groupBy("row_key").agg(F.sum(given).alias("taken"))
-    return rows.join(taken, "row_key", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return Mix(docs.select("doc_id", "source", "text"), block_words, per_shard, seed).counts()
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, seed: int = SEED) -> DataFrame:
-    """`docs`, each row as often as the mix takes its words (the rest by a keyed draw); same columns.
+    """A mix of whole documents (`Mix.documents` is the exact one): `docs`, each row as often as the mix takes its words (the rest by a keyed draw); same columns.
 
     Rows that repeat a doc_id share the mean of what the mix takes of them; rows without words stay once."""
     share = mixed.groupBy("doc_id").agg(F.sum("size").alias("mix_size_"), F.sum("taken").alias("mix_taken_")).withColumnRenamed("doc_id", "mix_id_")
