@@ -613,7 +613,7 @@ def classifier_report(spark, sf_dir):
     true, syn = _halves(spark, sf_dir)
     columns = ["tid", "c_mktsegment", "o_orderpriority", "o_orderstatus", "o_totalprice", "c_acctbal"]
     target = evaluate.Target("o_orderstatus", ("o",))
-    return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [target], ("logistic", "tree", "bayes"), 2000)
+    return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [target], ("logistic", "tree", "bayes"))
 
 
 @query()
@@ -621,7 +621,7 @@ def classifier_report_ensembles(spark, sf_dir):
     true, syn = _halves(spark, sf_dir)
     columns = ["tid", "c_mktsegment", "o_orderstatus", "o_totalprice", "c_acctbal"]
     models = [m for m in evaluate.MODELS if m not in ("logistic", "tree", "bayes")]
-    return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [evaluate.Target("o_totalprice", None, 0, 150000)], models, 1000)
+    return evaluate.classifier_report(true.select(*columns), syn.select(*columns), [evaluate.Target("o_totalprice", None, 0, 150000)], models)
 
 
 # --- whole runs ----------------------------------------------------------------------------------
