@@ -75,9 +75,9 @@ def adaptive(train: DataFrame, test: DataFrame, rounds: int = 20, seed: int = 0)
     return test.select("label", (F.col("vote_") > 0).cast("double").alias("prediction"), p.alias("p"))
 
 
-def features(train: DataFrame, test: DataFrame, target: Target, most: int = 50) -> tuple[DataFrame, DataFrame, int]:
-    """(label, features) of both tables: numbers scaled jointly, text one-hot jointly (at most `most` commonest values of an attribute)."""
-    from pyspark.ml.feature import Binarizer, VectorAssembler
+def features(train: DataFrame, test: DataFrame, target: Target) -> tuple[DataFrame, DataFrame, int]:
+    """(label, features) of both tables: numbers scaled jointly, all values of text one-hot jointly (sparse; null has none)."""
+    from pyspark.ml.feature import Binarizer, OneHotEncoder, StringIndexer, VectorAssembler
 
     both = train.withColumn("of_", F.lit(0)).unionByName(test.withColumn("of_", F.lit(1))).withColumn("label", target.column().cast("double"))
     columns = [c for c in train.columns if c not in (target.attr, "tid")]
@@ -87,14 +87,16 @@ def features(train: DataFrame, test: DataFrame, target: Target, most: int = 50)
     for c, (lo, hi) in limits.items():
         inputs[f"x{i}"] = F.coalesce(transform.scaled(F.col(f"`{c}`").cast("double"), lo, hi), F.lit(0.0))
         i += 1
-    for c in columns:
-        if c in numbers:
-            continue
-        for r in both.groupBy(F.lower(F.col(f"`{c}`").cast("string")).alias("v")).count().filter("v is not null").orderBy(F.desc("count"), "v").limit(most).collect():
-            inputs[f"x{i}"] = F.coalesce((F.lower(F.col(f"`{c}`").cast("string")) == r[0]).cast("double"), F.lit(0.0))
-            i += 1
-    ready = both.filter("label is not null").select("of_", "label", *[v.alias(k) for k, v in inputs.items()])
-    ready = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(ready)
+    texts = {f"t{k}": F.lower(F.col(f"`{c}`").cast("string")) for k, c in enumerate(c for c in columns if c not in numbers)}
+    ready = both.select("of_", "label", *[v.alias(k) for k, v in {**inputs, **texts}.items()])
+    if texts:
+        index, hot = [f"i_{k}" for k in texts], [f"h_{k}" for k in texts]
+        indexer = StringIndexer(inputCols=list(texts), outputCols=index, handleInvalid="keep").fit(ready)  # null comes last,
+        indexed = indexer.transform(ready)
+        ready = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(indexed).transform(indexed)  # and is dropped
+        i += sum(map(len, indexer.labelsArray))
+        inputs |= dict.fromkeys(hot)
+    ready = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(ready.filter("label is not null"))
     ready = Binarizer(inputCol="features", outputCol="binary", threshold=0.5).transform(ready).select("of_", "label", "features", "binary")
     return ready.filter("of_ = 0").drop("of_"), ready.filter("of_ = 1").drop("of_"), i
 

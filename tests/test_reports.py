@@ -18,3 +18,13 @@ def test_registered_reports_take_the_whole_sample(spark, monkeypatch):
     for name in ("classifier_report", "classifier_report_ensembles"):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == [5000, 5000]
+
+
+def test_features_hold_every_value(spark):
+    rows = [(i, f"City{i % 70}", ["a", "b"][i % 2], float(i)) for i in range(140)]
+    df = spark.createDataFrame(rows, "tid long, city string, y string, x double")
+    train, test, width = evaluate.features(df.filter("tid < 70"), df.filter("tid >= 70"), evaluate.Target("y", ("a",)))
+    for part in (train, test):
+        found = [r.features for r in part.collect()]
+        assert width == 71 and all(v.size == 71 for v in found)
+        assert len({tuple(v.toArray()[1:]) for v in found}) == 70 and all(v.toArray()[1:].sum() == 1 for v in found)
