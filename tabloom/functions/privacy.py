@@ -64,3 +64,16 @@ def training_epsilon(rows: int, batch: int, sigma: float, iterations: int, colum
 def total_epsilon(rows: int, batch: int, sigma: float, iterations: int, columns: int, delta: float, release_sigmas: Iterable[float] = ()) -> float:
     """With further Gaussian releases of the whole data."""
     return composed_epsilon([(batch / rows, sigma, iterations * (columns - 1)), *((1.0, s, 1) for s in release_sigmas)], delta)
+
+
+def multiplier_for(epsilon: float, delta: float, releases: int) -> float:
+    """The least noise multiplier (to a thousandth) with which so many Gaussian releases of the whole data stay within (epsilon, delta)."""
+    low, high = 1e-3, 1.0
+    while composed_epsilon([(1.0, high, releases)], delta) > epsilon:
+        low, high = high, 2 * high
+        if high > 1e9:
+            raise ValueError("no noise is enough for this epsilon and delta")
+    while high - low > 1e-3 * high:
+        middle = (low + high) / 2
+        low, high = (low, middle) if composed_epsilon([(1.0, middle, releases)], delta) <= epsilon else (middle, high)
+    return high

@@ -5,19 +5,26 @@ A public seed makes runs repeatable, which tests need; noise that must protect p
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def uniform(seed: int, stream: str, key: Column) -> Column:
-    """Uniform in (0, 1) from the first 32 bits of MD5('seed|stream|key')."""
+    """Uniform in (0, 1) from the first 52 bits of MD5('seed|stream|key'), all that a double holds."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(stream), key.cast("string"))
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
+
+
+def keyed(seed: int, stream: str, key: object) -> float:
+    """The same in Python."""
+    return (int(hashlib.md5(f"{seed}|{stream}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 4503599627370496.0
 
 
 def uniform_sql(seed: int, stream: str, key: str) -> str:
     """The same in DuckDB."""
-    return f"((CAST(('0x' || substr(md5('{seed}|{stream}|' || CAST({key} AS VARCHAR)), 1, 8))::UBIGINT AS DOUBLE) + 0.5) / 4294967296::DOUBLE)"
+    return f"((CAST(('0x' || substr(md5('{seed}|{stream}|' || CAST({key} AS VARCHAR)), 1, 13))::UBIGINT AS DOUBLE) + 0.5) / 4503599627370496::DOUBLE)"
 
 
 def normal(seed: int, stream: str, key: Column) -> Column:

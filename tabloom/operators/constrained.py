@@ -1,160 +1,108 @@
 """Constraint-aware filling of one attribute after another.
 
 Rows are filled in the order of tid: a row's candidates are reweighted by what they would violate together with earlier
-rows (the earlier row as t1, the candidate as t2), times exp(-weight). Rows interact only through constraints that
+rows (the earlier row as t1, the candidate as t2), times exp(-weight). Rows interact only through two-tuple constraints that
 become complete at the target; where all of these compare a common, already generated attribute for equality, rows of
 different values never meet, so each value is a sequence of its own and the sequences run in parallel. Only where no such attribute
-exists is the whole table one sequence.
+exists is the whole table one sequence. A sequence is streamed, sorted by tid: a task keeps its tallies, not its rows.
+
+Where rows don't interact nothing is sequential: draws are joins on the model, the target of one hard dependency is
+its key's best value, and a number in a dependency is its model's mean. Every constraint acts: also those of one tuple, of constants and between different attributes. Candidates
+are all that the model gives, unless ``page`` asks for pages of the most likely values; where they all violate, the whole domain.
 
 Three samplers: ``default`` draws from the reweighted candidates, or takes the best one if the target is in a
-dependency; ``ar`` draws a candidate and accepts it with probability exp(-load); ``mcmc`` redraws cells after the
-default pass, each given all other rows as they then are.
+dependency; ``ar`` draws a candidate and accepts it with probability exp(-load); ``mcmc`` redraws, after the default pass, a share
+of the cells in the order of tid, each given all other rows as they then are.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.sources.shared import checkpoint
-from tabloom.functions import rng
+from tabloom.functions import privacy, rng
+from tabloom.functions.rng import keyed
 from tabloom.operators import dependency, sampling
-from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, most_informative
+from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, information_sensitivity, most_informative
 from tabloom.operators.profile import attribute_roles, attribute_sequence
+from tabloom.operators.tally import Tally
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
+from tabloom.sources.shared import checkpoint
 
-PAGE, TRIES, AR_TRIES = 20, 3, 300
-_TEST = {"=": np.equal, "<>": np.not_equal, "<": np.less, ">": np.greater, "<=": np.less_equal, ">=": np.greater_equal}
+#: Candidates of a numeric attribute in one attempt, and attempts.
+DRAWS, TRIES, AR_TRIES = 20, 3, 300
+#: A load beyond this leaves nothing of a probability.
+HARD_LOAD = 700.0
 
 
 @dataclass(frozen=True)
 class Settings:
     seed: int = 0
     sampler: str = "default"
-    #: Cells that the mcmc sampler redraws in each sequence, as a share of its rows.
+    #: Share of the cells that the mcmc sampler redraws.
     steps: float = 0.1
+    #: Noise of the first attribute's counts, of each model's counts or sums, and of the choice of parents.
     sigma_first: float = 0.0
     sigma_model: float = 0.0
+    sigma_choice: float = 0.0
     alpha: float = 0.0
     sequence: tuple[str, ...] | None = None
-    bins: dict[str, int] = field(default_factory=dict)
-
-
-def keyed(seed: int, stream: str, key: object) -> float:
-    """The uniform of functions.rng, in Python."""
-    return (int(hashlib.md5(f"{seed}|{stream}|{key}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+    bins: Mapping[str, int] = field(default_factory=dict)
+    #: Candidates looked at in one of TRIES attempts, most likely first; 0: all that the model gives at once.
+    page: int = 0
+    #: Public domains and bounds; what is not given is taken from the table, and counts as public.
+    domains: Mapping[str, Sequence] = field(default_factory=dict)
+    bounds: Mapping[str, tuple[float, float]] = field(default_factory=dict)
 
 
 def sequence_keys(dcs: Sequence[DenialConstraint], target: str) -> list[str]:
-    """Attributes that all constraints compare for equality, without the target."""
-    common = [set(dc.of("=")) - {target} for dc in dcs]
+    """Attributes that all two-tuple constraints compare for equality, without the target."""
+    common = [set(dc.of("=")) - {target} for dc in dcs if dc.two_tuple]
     return sorted(set.intersection(*common)) if common else []
 
 
-class Tally:
-    """Violations of one constraint among the rows seen so far, by value of the target.
-
-    If the other predicates all ask for equality, values are counted by key; else the rows seen are compared."""
-
-    def __init__(self, dc: DenialConstraint, target: str):
-        self.mine = [p.oriented for p in dc.predicates if p.same_attribute == target]
-        self.rest = [(p.same_attribute, p.oriented) for p in dc.predicates if p.same_attribute != target]
-        self.by_key = all(op == "=" for _, op in self.rest) and all(op in ("=", "<>") for op in self.mine)
-        self.counts: dict[tuple, dict] = {}
-        self.sizes: dict[tuple, int] = {}
-        self.n, self.columns = 0, [np.empty(64, object) for _ in range(len(self.rest) + 1)]
-
-    def _key(self, row: dict) -> tuple:
-        return tuple(row[a] for a, _ in self.rest)
-
-    def add(self, row: dict, value, n: int = 1) -> None:
-        key = self._key(row)
-        if self.by_key:
-            counts = self.counts.setdefault(key, {})
-            counts[value] = counts.get(value, 0) + n
-            self.sizes[key] = self.sizes.get(key, 0) + n
-            return
-        if n > 0:
-            if self.n == len(self.columns[0]):
-                self.columns = [np.concatenate([c, np.empty_like(c)]) for c in self.columns]
-            if not self.n:  # numbers compare faster as such
-                self.columns = [np.empty(64, float if isinstance(v, (int, float)) else object) for v in (*key, value)]
-            for c, v in zip(self.columns, (*key, value)):
-                c[self.n] = v
-            self.n += 1
-            return
-        same = np.ones(self.n, bool)
-        for c, v in zip(self.columns, (*key, value)):
-            same &= c[: self.n] == v
-        at = int(np.flatnonzero(same)[0])
-        self.n -= 1
-        for c in self.columns:
-            c[at] = c[self.n]
-
-    def violations(self, row: dict, values: list) -> list[int]:
-        """For each candidate value, the rows seen that violate with it, those as t1."""
-        key = self._key(row)
-        if self.by_key:
-            counts, size = self.counts.get(key, {}), self.sizes.get(key, 0)
-            equal, unequal = "=" in self.mine, "<>" in self.mine
-            return [0 if equal and unequal else counts.get(v, 0) if equal else size - counts.get(v, 0) for v in values]
-        columns = [c[: self.n] for c in self.columns]
-        ok = np.ones(self.n, bool)
-        for (_, op), mine, known in zip(self.rest, key, columns):
-            ok &= _TEST[op](known, mine).astype(bool)
-        seen = columns[-1][ok]
-        out = []
-        for v in values:
-            hit = np.ones(len(seen), bool)
-            for op in self.mine:
-                hit &= _TEST[op](seen, v).astype(bool)
-            out.append(int(hit.sum()))
-        return out
-
-
 class Sequencer:
-    """The sequential part, for the rows of one key."""
+    """The sequential part: runs inside a task over rows sorted by key and tid."""
 
     def __init__(self, target: str, dcs: Sequence[DenialConstraint], weights: Sequence[float], settings: Settings, numeric: bool):
         self.target, self.dcs, self.weights, self.settings, self.numeric = target, list(dcs), list(weights), settings, numeric
         self.greedy = any(dc.is_fd for dc in dcs)
 
-    def load(self, seen: list[Tally], row: dict, values: list) -> np.ndarray:
-        """Weighted violations of each candidate value with the rows seen, those as t1."""
+    def load(self, seen: Sequence[Tally], row: Mapping, values: Sequence) -> np.ndarray:
+        """Weighted violations of each candidate value with the rows seen."""
         total = np.zeros(len(values))
         for tally, w in zip(seen, self.weights):
-            total += w * np.array(tally.violations(row, values), float)
+            total += w * tally.violations(row, values)
         return total
 
-    def pages(self, row: dict, tid: int, stream: str):
+    def pages(self, row: Mapping, tid: int, stream: str) -> Iterator[tuple[list, np.ndarray]]:
         """Candidates (values, probabilities), attempt by attempt."""
-        size = 1 if self.settings.sampler == "ar" else PAGE
-        tries = AR_TRIES if size == 1 else TRIES
+        seed, one = self.settings.seed, self.settings.sampler == "ar"
         if self.numeric:
-            for attempt in range(tries):
-                u = [keyed(self.settings.seed, f"{stream}.{attempt}.{k}.{h}", tid) for k in range(size) for h in "uv"]
+            size = 1 if one else DRAWS
+            for attempt in range(AR_TRIES if one else TRIES):
+                u = [keyed(seed, f"{stream}.{attempt}.{k}.{h}", tid) for k in range(size) for h in "uv"]
                 z = [math.sqrt(-2 * math.log(u[2 * k])) * math.cos(2 * math.pi * u[2 * k + 1]) for k in range(size)]
                 spread = (row["sigma_"] or 1e-9) * (attempt + 1)
-                x = [row["mu_"] + spread * a for a in z]
                 p = np.exp(-0.5 * np.array(z) ** 2) / spread
-                yield [min(max(v, row["lo_"]), row["hi_"]) for v in x], p / p.sum()
+                yield [min(max(row["mu_"] + spread * a, row["lo_"]), row["hi_"]) for a in z], p / p.sum()
             return
-        values, p = row["values_"], np.array(row["p_"], float)
-        for attempt in range(tries):
-            part = slice(size * attempt, size * (attempt + 1))
-            if len(values[part]):
-                yield list(values[part]), p[part]
-
-    def choose(self, seen: list[Tally], row: dict, tid: int, stream: str, first: bool):
-        """A value for one cell; if no page has a clean candidate, the first page's unweighted shares decide."""
+        values, p = list(row["values_"]), np.array(row["p_"], float)
+        size = self.settings.page or len(values)
+        for a in range(0, min(len(values), size * TRIES), size):
+            yield values[a : a + size], p[a : a + size]
+        yield list(row["all_"]), np.array(row["all_p_"], float)
+
+    def choose(self, seen: Sequence[Tally], row: Mapping, tid: int, stream: str, first: bool):
+        """A value for one cell. If no candidate the model gives is clean, the whole domain is tried; if that has none either, the
+        first page's unweighted shares decide."""
         if self.settings.sampler == "ar" and not self.numeric:
             return self.accept(seen, row, tid, stream)
         fallback = None
@@ -162,24 +110,25 @@ class Sequencer:
             fallback = fallback or (values, p)
             load = self.load(seen, row, values)
             if self.settings.sampler == "ar":
-                if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < math.exp(-min(load[0], 700)):
+                if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < math.exp(-min(load[0], HARD_LOAD)):
                     return values[0]
                 continue
-            q = p * np.exp(-np.minimum(load, 700))
+            q = p * np.exp(-np.minimum(load, HARD_LOAD))
             if q.sum() > 1e-300:
                 return self.pick(values, q, tid, stream, first)
         return self.pick(*fallback, tid, stream, first)
 
-    def accept(self, seen: list[Tally], row: dict, tid: int, stream: str):
-        """Draw and accept with probability exp(-load); each value's load is worked out once. The last draw stays if none is accepted."""
-        values, p, loads = row["values_"], np.array(row["p_"], float), {}
-        cdf = np.cumsum(p) / p.sum()
-        for attempt in range(AR_TRIES):
-            k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
-            if k not in loads:
-                loads[k] = math.exp(-min(self.load(seen, row, [values[k]])[0], 700))
-            if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
-                break
+    def accept(self, seen: Sequence[Tally], row: Mapping, tid: int, stream: str):
+        """Draw and accept with probability exp(-load), first from the model, then from the whole domain; each value's load is worked
+        out once. The last draw stays if none is accepted."""
+        for part, (values, p) in enumerate(((row["values_"], row["p_"]), (row["all_"], row["all_p_"]))):
+            cdf, loads = np.cumsum(p) / np.sum(p), {}
+            for attempt in range(AR_TRIES * part, AR_TRIES * (part + 1)):
+                k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
+                if k not in loads:
+                    loads[k] = math.exp(-min(self.load(seen, row, [values[k]])[0], HARD_LOAD))
+                if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
+                    return values[k]
         return values[k]
 
     def pick(self, values: list, q: np.ndarray, tid: int, stream: str, first: bool):
@@ -188,73 +137,129 @@ class Sequencer:
         cdf = np.cumsum(q) / q.sum()
         return values[min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.pick", tid), "right")), len(values) - 1)]
 
-    def fill(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tid", kind="stable").reset_index(drop=True)
-        target = np.empty(len(pdf), float if self.numeric else object)
-        rows, seen = pdf.to_dict("records"), [Tally(dc, self.target) for dc in self.dcs]
-        for i, row in enumerate(rows):
-            target[i] = self.choose(seen, row, row["tid"], f"fill.{self.target}", i == 0)
-            for tally in seen:
-                tally.add(row, target[i])
-        if self.settings.sampler == "mcmc" and len(rows) > 1:
-            for step in range(math.ceil(self.settings.steps * len(rows))):
-                i = min(int(keyed(self.settings.seed, f"mcmc.{self.target}", f"{rows[0]['tid']}.{step}") * len(rows)), len(rows) - 1)
+    def redrawn(self, tid: int) -> int:
+        """How often the mcmc sampler redraws a cell."""
+        steps = self.settings.steps
+        return int(steps) + (keyed(self.settings.seed, f"mcmc.{self.target}", tid) < steps - int(steps))
+
+    def stream(self, batches: Iterator[pd.DataFrame], keys: Sequence[str], names: Sequence[str]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by keys and tid, filled; a sequence starts where the keys change."""
+        mcmc, made = self.settings.sampler == "mcmc", "float64" if self.numeric else "object"
+        key, seen, held = None, [], []
+
+        def frame(rows: list[Mapping], like: pd.DataFrame) -> pd.DataFrame:
+            out = {c: pd.Series([r[c] for r in rows], dtype=like[c].dtype) for c in names if c != self.target}
+            return pd.DataFrame({**out, self.target: pd.Series([r[self.target] for r in rows], dtype=made)})[list(names)]
+
+        def ended() -> list[Mapping]:
+            """The cells of a finished sequence that are drawn again, pass by pass in the order of tid."""
+            for turn in range(max((self.redrawn(r["tid"]) for r in held), default=0)):
+                for row in held:
+                    if turn >= self.redrawn(row["tid"]):
+                        continue
+                    for tally in seen:
+                        tally.add(row, row[self.target], -1)
+                    row[self.target] = self.choose(seen, row, row["tid"], f"mcmc.{self.target}.{turn}", False)
+                    for tally in seen:
+                        tally.add(row, row[self.target])
+            return held
+
+        last = None
+        for pdf in batches:
+            out, last = [], pdf
+            for row in pdf.to_dict("records"):
+                at = tuple(row[k] for k in keys)
+                if at != key or not seen:
+                    out += ended()
+                    key, held, seen = at, [], [Tally(dc, self.target) for dc in self.dcs]
+                    first = True
+                row[self.target] = self.choose(seen, row, row["tid"], f"fill.{self.target}", first)
+                first = False
                 for tally in seen:
-                    tally.add(rows[i], target[i], -1)
-                target[i] = self.choose(seen, rows[i], rows[i]["tid"], f"mcmc.{self.target}.{step}", False)
-                for tally in seen:
-                    tally.add(rows[i], target[i])
-        return pdf.assign(**{self.target: target})
+                    tally.add(row, row[self.target])
+                (held if mcmc and self.redrawn(row["tid"]) else out).append(row)
+            yield frame(out, pdf)
+        if held:
+            yield frame(ended(), last)
+
+
+def _parents_of(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence[DenialConstraint], settings: Settings, bounds: tuple[float, float] | None) -> tuple[str, ...]:
+    """What decides the target by a dependency, else the attribute that tells most about it (not a fraction: it has no repeated values)."""
+    kinds = dict(true.dtypes)
+    done = [c for c in done if kinds.get(c) not in ("double", "float")]
+    fds = [a for dc in dcs if dc.is_fd and dc.plain and target in dc.of("<>") for a in dc.of("=")]
+    near = None if fds else most_informative(true, target, done, settings.sigma_choice, settings.seed, bounds)
+    return tuple(dict.fromkeys(fds)) or ((near,) if near else ())
+
+
+def _one_hard_dependency(dcs: Sequence[DenialConstraint], weights: Sequence[float], target: str, parents: Sequence[str]) -> bool:
+    """All that acts is hard and says that the parents decide the target: then the first row's choice, the best of its key, is everyone's."""
+    return bool(dcs) and all(w >= HARD_LOAD and dc.is_fd and dc.plain and dc.of("<>") == (target,) and set(dc.of("=")) == set(parents) for dc, w in zip(dcs, weights))
+
+
+def _bounds(true: DataFrame, target: str, settings: Settings) -> tuple[float, float] | None:
+    if target in settings.bounds:
+        return settings.bounds[target]
+    x = F.col(f"`{target}`").cast("double")
+    found = true.agg(F.min(x), F.max(x)).first()
+    return None if found[0] is None else (found[0], found[1])
 
 
 def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[DenialConstraint], weights: Sequence[float], settings: Settings, numeric: bool = False, parents: Sequence[str] | None = None) -> DataFrame:
     """`syn` (with tid) with one more column, drawn given the attributes it has.
 
-    `dcs` are those that become complete at the target. Without any, candidates are drawn independently and nothing is sequential."""
+    `dcs` are those that become complete at the target. Without any, draws are joins and nothing is sequential."""
     done = [c for c in syn.columns if c != "tid"]
-    if parents is None:
-        fds = [a for dc in dcs if dc.is_fd and target in dc.of("<>") for a in dc.of("=")]
-        near = most_informative(true, target, done)
-        parents = tuple(dict.fromkeys(fds)) or ((near,) if near else ())
-    parents = tuple(parents)
-    rows = syn
+    lo, hi = (_bounds(true, target, settings) or (0.0, 0.0)) if numeric else (None, None)
+    parents = tuple(_parents_of(true, target, done, dcs, settings, (lo, hi) if numeric else None) if parents is None else parents)
+    named, stream = [F.col(f"`{c}`") for c in syn.columns], f"fill.{target}"
+    keys_of = [F.col(f"`{c}`").alias(f"k{i}_") for i, c in enumerate(parents)]
     if numeric:
-        fitted = ConditionalNormal(target, parents).fit(true).select(*[F.col(f"`{c}`").alias(f"k{i}_") for i, c in enumerate(parents)], F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
-        x = F.col(f"`{target}`").cast("double")
-        whole = true.agg(F.avg(x).alias("amu_"), F.stddev_pop(x).alias("asd_"), F.min(x).alias("lo_"), F.max(x).alias("hi_"))
-        rows = rows.join(fitted, _same(parents), "left").join(F.broadcast(whole))
-        rows = rows.withColumns({"mu_": F.coalesce("mu_", "amu_"), "sigma_": F.coalesce("sigma_", "asd_")}).drop("amu_", "asd_", *[f"k{i}_" for i in range(len(parents))])
-        extra = ["mu_", "sigma_", "lo_", "hi_"]
+        model = lambda by: ConditionalNormal(target, by, settings.sigma_model, settings.seed, settings.domains, (lo, hi)).fit(true)
+        fitted = model(parents).select(*keys_of, F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
+        rows = syn.join(fitted, _same(parents), "left").drop(*[f"k{i}_" for i in range(len(parents))])
+        if len(parents) > 1:  # combinations that never occur
+            whole = model(()).select(F.col("mu").alias("amu_"), F.col("sigma").alias("asd_"))
+            rows = rows.join(F.broadcast(whole)).withColumns({"mu_": F.coalesce("mu_", "amu_"), "sigma_": F.coalesce("sigma_", "asd_")})
+        depends = any(dc.is_fd for dc in dcs)  # a number in a dependency takes the mean
+        if not dcs or depends:
+            x = F.col("mu_") if depends else F.col("mu_") + F.col("sigma_") * rng.normal(settings.seed, stream, F.col("tid"))
+            return rows.select(*named, F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))).alias(target))
+        rows = rows.select(*named, "mu_", "sigma_", F.lit(float(lo)).alias("lo_"), F.lit(float(hi)).alias("hi_"))
     else:
-        model = ConditionalHistogram(target, parents, settings.sigma_model, settings.alpha, settings.seed)
-        found = model.candidates(model.fit(true), PAGE * TRIES).select(*[F.col(f"`{c}`").alias(f"k{i}_") for i, c in enumerate(parents)], F.col("candidates").alias("c_"))
-        plain = ConditionalHistogram(target, (), settings.sigma_model, settings.alpha, settings.seed)
-        whole = plain.candidates(plain.fit(true), PAGE * TRIES).select(F.col("candidates").alias("a_"))
-        rows = rows.join(found, _same(parents), "left").join(F.broadcast(whole)).withColumn("c_", F.coalesce("c_", "a_"))
-        rows = rows.select(*syn.columns, F.col("c_.val").alias("values_"), F.col("c_.p").alias("p_"))
-        extra = ["values_", "p_"]
-    kind = dict(true.dtypes)[target]
-    made = "double" if numeric else kind
-    work = Sequencer(target, dcs, weights, settings, numeric)
-    types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes) + f", `{target}` {made}"
-    names = syn.columns + [target]
+        model = ConditionalHistogram(target, parents, settings.sigma_model, settings.alpha, settings.seed, settings.domains)
+        plain = replace(model, parents=())
+        # all values of one parent occur with some value of the target, unless noise clips them all
+        rare = len(parents) > 1 or settings.sigma_model > 0
+        if settings.sampler != "ar" and _one_hard_dependency(dcs, weights, target, parents):
+            found = model.best(model.fit(true)).select(*keys_of, F.col("val").alias("v_"))
+            rows = syn.join(found, _same(parents), "left")
+            if rare:
+                rows = rows.join(F.broadcast(plain.best(plain.fit(true)).select(F.col("val").alias("a_")))).withColumn("v_", F.coalesce("v_", "a_"))
+            return rows.select(*named, F.col("v_").alias(target))
+        cells = checkpoint(model.fit(true))
+        if not dcs:
+            rows = sampling.conditional_draw(syn, cells, parents, target, settings.seed, f"{stream}.pick")
+            if rare:
+                rows = sampling.draw(rows, sampling.distribution(plain.fit(true), "val", "p"), "a_", settings.seed, f"{stream}.pick")
+                rows = rows.withColumn(target, F.coalesce(F.col(f"`{target}`"), F.col("a_")))
+            return rows.select(*named, F.col(f"`{target}`"))
+        top = settings.page * TRIES or None
+        found = model.candidates(cells, top).select(*keys_of, F.col("candidates").alias("c_"))
+        rows = syn.join(found, _same(parents), "left")
+        whole = plain.candidates(plain.fit(true), None).select(F.col("candidates").alias("a_"))
+        rows = rows.join(F.broadcast(whole)).withColumn("c_", F.coalesce("c_", "a_"))
+        rows = rows.select(*named, F.col("c_.val").alias("values_"), F.col("c_.p").alias("p_"), F.col("a_.val").alias("all_"), F.col("a_.p").alias("all_p_"))
+    types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes) + f", `{target}` {'double' if numeric else dict(true.dtypes)[target]}"
+    work, names = Sequencer(target, dcs, weights, settings, numeric), [*syn.columns, target]
     keys = sequence_keys(dcs, target)
-    if not dcs and not numeric and settings.sampler != "ar":  # one keyed draw from the first page
-        page = F.slice(F.col("p_"), 1, PAGE)
-        upto = F.transform(F.sequence(F.lit(1), F.size(page)), lambda i: F.aggregate(F.slice(page, F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
-        point = rng.uniform(settings.seed, f"fill.{target}.pick", F.col("tid")) * F.element_at(upto, -1)
-        at = F.size(F.filter(upto, lambda x: x <= point))
-        return rows.select(*syn.columns, F.element_at("values_", F.least(at, F.size(page) - 1) + 1).alias(target))
-    if not dcs:  # rows don't interact
-
-        def independent(batches):
-            for pdf in batches:
-                out = [work.choose([], row, row["tid"], f"fill.{target}", False) for row in pdf.to_dict("records")]
-                yield pdf.assign(**{target: out})[names]
-
-        return rows.select(*syn.columns, *extra).mapInPandas(independent, types)
-    grouped = rows.groupBy(*[F.col(f"`{k}`") for k in keys]) if keys else rows.groupBy(F.lit(0))
-    return grouped.applyInPandas(lambda pdf: work.fill(pdf)[names], types)
+    if not any(dc.two_tuple for dc in dcs):  # each row is a sequence of its own
+        return rows.mapInPandas(lambda batches: work.stream(batches, ["tid"], names), types)
+    by = [F.col(f"`{k}`") for k in keys]
+    # the number is given, so that adaptive execution does not merge partitions that are small but slow
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
+    rows = rows.repartition(parts, *by).sortWithinPartitions(*by, "tid")
+    return rows.mapInPandas(lambda batches: work.stream(batches, keys, names), types)
 
 
 def _same(parents: Sequence[str]):
@@ -265,9 +270,9 @@ def _same(parents: Sequence[str]):
 
 
 def hard_dependency(syn: DataFrame, true: DataFrame, target: str, keys: Sequence[str], settings: Settings) -> DataFrame:
-    """Set-based filling for one hard dependency keys -> target: each key takes the best candidate of its first row."""
-    best = fill_attribute(syn, true, target, [], [], settings)
-    return dependency.first_of_key(best, keys, target)
+    """Set-based filling for one hard dependency keys -> target: each key takes the draw of its first row."""
+    drawn = fill_attribute(syn, true, target, [], [], settings, parents=tuple(keys))
+    return dependency.first_of_key(drawn, keys, target)
 
 
 def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], n: int | None = None, settings: Settings = Settings(), start: DataFrame | None = None) -> DataFrame:
@@ -276,7 +281,7 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
     With `start` (tid and the first attributes) it continues from there. Each attribute is checkpointed, so plans stay short."""
     if len(weights) != len(dcs):
         raise ValueError("one weight for each constraint")
-    true = true.select(*[F.col(f"`{c}`") for c in columns]).na.drop()
+    true = checkpoint(true.select(*[F.col(f"`{c}`") for c in columns]).na.drop())
     roles = attribute_roles(true, dcs, columns)
     numeric = [c for c in columns if roles[c] == "numeric"]
     order = list(settings.sequence or seq.start_categorical(attribute_sequence(true, dcs, columns, settings.bins), numeric))
@@ -289,8 +294,42 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
     for target in order:
         if target in syn.columns:
             continue
-        done = [c for c in syn.columns if c != "tid"]
-        use = seq.relevant(dcs, done, target)
-        use = [i for i in use if dcs[i].plain]
+        use = seq.relevant(dcs, [c for c in syn.columns if c != "tid"], target)
         syn = checkpoint(fill_attribute(syn, true, target, [dcs[i] for i in use], [weights[i] for i in use], settings, target in numeric))
     return syn.select("tid", *[F.col(f"`{c}`") for c in columns])
+
+
+@dataclass(frozen=True)
+class Release:
+    """What a private run spent."""
+
+    epsilon: float
+    delta: float
+    #: Noise multiplier (noise over sensitivity) of every release, and their number.
+    multiplier: float
+    releases: int
+
+
+def private_settings(rows: int, columns: int, epsilon: float, delta: float, settings: Settings = Settings()) -> tuple[Settings, Release]:
+    """Noise for a run of `columns` attributes that spends at most (epsilon, delta), rows being exchanged.
+
+    Released are the first attribute's counts and, for each further attribute, the choice of its parent and its model. All get
+    the same multiple of their sensitivity, the least that the accountant allows. The number of rows, the domains, the bounds, and
+    with them roles and order, are public."""
+    releases = 1 + 2 * (columns - 1)
+    multiplier = privacy.multiplier_for(epsilon, delta, releases)
+    # a row leaves one cell and enters another; it changes a count, a sum and a sum of squares by one at most, each twice
+    noisy = replace(
+        settings,
+        sigma_first=multiplier * math.sqrt(2),
+        sigma_model=multiplier * math.sqrt(6),
+        sigma_choice=multiplier * math.sqrt(columns - 1 or 1) * information_sensitivity(rows),
+    )
+    return noisy, Release(privacy.composed_epsilon([(1.0, multiplier, releases)], delta), delta, multiplier, releases)
+
+
+def synthesize_private(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], epsilon: float, delta: float | None = None, settings: Settings = Settings()) -> tuple[DataFrame, Release]:
+    """A table as `synthesize` makes it, all of whose models are noisy, and what that spent."""
+    rows = true.select(*[F.col(f"`{c}`") for c in columns]).na.drop().count()
+    noisy, spent = private_settings(rows, len(columns), epsilon, privacy.delta_for(rows) if delta is None else delta, settings)
+    return synthesize(true, dcs, weights, columns, rows, noisy), spent

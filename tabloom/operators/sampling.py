@@ -64,6 +64,26 @@ def draw(rows: DataFrame, dist: DataFrame, name: str, seed: int, stream: str, ti
     return keyed.join(spread, "b_").filter((F.col("u_") >= F.col("lo")) & (F.col("u_") < F.col("hi"))).drop("b_", "u_", "lo", "hi")
 
 
+def conditional_draw(rows: DataFrame, cells: DataFrame, parents: Sequence[str], name: str, seed: int, stream: str, tid: str = "tid") -> DataFrame:
+    """`rows` with the column `name`, drawn from the shares (parents..., val, p) of the row's parents; null where they have none.
+
+    Rows meet the cells in an equi-join on the parents and a bucket of the unit range, so a parent with very many rows is spread;
+    the more parents there are, the fewer buckets each needs. Every value can be drawn, however rare."""
+    keys = [f"k{i}_" for i in range(len(parents))]
+    shares = cells.filter("p > 0").select(*[F.col(f"`{c}`").alias(k) for c, k in zip(parents, keys)], "val", "p")
+    buckets = max(1, min(BUCKETS, 1_000_000 // max(1, shares.select(*keys).distinct().count()))) if keys else BUCKETS
+    over = Window.partitionBy(*keys).orderBy("val")
+    upto = shares.select(*keys, "val", F.sum("p").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hi_"))
+    dist = upto.select(*keys, F.col("val").alias(name), F.coalesce(F.lag("hi_").over(over), F.lit(0.0)).alias("lo_"), F.when(F.lead("val").over(over).isNull(), F.lit(2.0)).otherwise(F.col("hi_")).alias("hi_"))
+    bucket = lambda x: F.least(F.floor(x * buckets), F.lit(buckets - 1))
+    dist = dist.withColumn("b_", F.explode(F.sequence(bucket(F.col("lo_")), bucket(F.col("hi_"))))).withColumnRenamed("b_", "db_")
+    keyed = rows.withColumn("u_", rng.uniform(seed, stream, F.col(f"`{tid}`"))).withColumn("b_", bucket(F.col("u_")))
+    on = (F.col("b_") == F.col("db_")) & (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
+    for c, k in zip(parents, keys):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    return keyed.join(dist, on, "left").drop("u_", "b_", "db_", "lo_", "hi_", *keys)
+
+
 def first_attribute(spark: SparkSession, true: DataFrame, attr: str, n: int, sigma: float = 0.0, seed: int = 0) -> DataFrame:
     """(tid, attr): n rows drawn from the (noisy) histogram of the attribute."""
     rows = spark.range(n).withColumnRenamed("id", "tid")

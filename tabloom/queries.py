@@ -461,6 +461,8 @@ def monotone_fill_holds(spark, sf_dir):
 
 # --- conditional models and synthesis ------------------------------------------------------------
 
+_DRAW_SQL = """c AS (SELECT {0}, val, sum(p) OVER (PARTITION BY {0} ORDER BY val ROWS UNBOUNDED PRECEDING) AS hi FROM p),
+d AS (SELECT {0}, val, coalesce(lag(hi) OVER w, 0) AS lo, CASE WHEN lead(val) OVER w IS NULL THEN 2.0 ELSE hi END AS hi FROM c WINDOW w AS (PARTITION BY {0} ORDER BY val))"""
 _COND_SQL = f"WITH {ORDER_WIDE_SQL}, f AS (SELECT n_name, o_orderpriority AS val, count(*) AS n FROM wide GROUP BY ALL), p AS (SELECT n_name, val, n, n / sum(n) OVER (PARTITION BY n_name) AS p FROM f)"
 
 
@@ -492,6 +494,27 @@ def reweighted_candidates(spark, sf_dir):
     return fitted.withColumn("w", w).select("n_name", "val", F.round(probability.normalised(F.col("w"), Window.partitionBy("n_name")), 9).alias("p"))
 
 
+@query(_COND_SQL + f", {_DRAW_SQL.format('n_name')}, u AS (SELECT tid, n_name, {rng.uniform_sql(8, 'fill.o_orderpriority.pick', 'tid')} AS u FROM wide) SELECT tid, u.n_name, val AS o_orderpriority FROM u JOIN d ON u.n_name = d.n_name AND u >= lo AND u < hi")
+def conditional_draw(spark, sf_dir):
+    wide = order_wide(spark, sf_dir)
+    return constrained.fill_attribute(wide.select("tid", "n_name"), wide, "o_orderpriority", [], [], constrained.Settings(seed=8), parents=("n_name",))
+
+
+@query(_COND_SQL + ", b AS (SELECT n_name, max_by(val, (p, val)) AS best FROM p GROUP BY 1) SELECT tid, wide.n_name, best AS o_orderpriority FROM wide JOIN b USING (n_name)")
+def hard_dependency_best(spark, sf_dir):
+    wide = order_wide(spark, sf_dir)
+    rule = dc("t1&t2&EQ(t1.n_name,t2.n_name)&IQ(t1.o_orderpriority,t2.o_orderpriority)")
+    return constrained.fill_attribute(wide.select("tid", "n_name"), wide, "o_orderpriority", [rule], [1000.0], constrained.Settings(seed=8))
+
+
+@query(f"""WITH {ORDER_WIDE_SQL}, m AS (SELECT c_mktsegment, avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM wide GROUP BY 1), b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM wide)
+SELECT tid, c_mktsegment, round(least(greatest(mu + sd * {rng.normal_sql(8, 'fill.o_totalprice', 'tid')}, lo), hi), 2) AS o_totalprice FROM wide JOIN m USING (c_mktsegment), b""")
+def conditional_normal_draw(spark, sf_dir):
+    wide = order_wide(spark, sf_dir)
+    made = constrained.fill_attribute(wide.select("tid", "c_mktsegment"), wide, "o_totalprice", [], [], constrained.Settings(seed=8), True, ("c_mktsegment",))
+    return made.withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
 @query(f"WITH {ORDER_WIDE_SQL} SELECT c_mktsegment, round(avg(o_totalprice), 4) AS mu, round(stddev_pop(o_totalprice), 4) AS sigma, count(*) AS n FROM wide GROUP BY 1")
 def conditional_normal(spark, sf_dir):
     found = model.ConditionalNormal("o_totalprice", ("c_mktsegment",)).fit(order_wide(spark, sf_dir))
@@ -531,8 +554,8 @@ def synthesize_mcmc(spark, sf_dir):
 
 @query()
 def synthesize_private(spark, sf_dir):
-    sigma = privacy.gaussian_sigma(0.4, 1e-6)
-    return _synthetic(spark, sf_dir, sigma_first=sigma, sigma_model=sigma)
+    settings = constrained.Settings(seed=1, bins={"o_totalprice": 100}, bounds={"o_totalprice": (0.0, 600000.0)})
+    return constrained.synthesize_private(order_wide(spark, sf_dir), [dc(t) for t in SYNTH_DCS], [1000.0, 0.5], SYNTH, 1.0, settings=settings)[0]
 
 
 @query()
@@ -564,7 +587,7 @@ _RATES = ", ".join(f"({s}, {learning.learning_rate(s, 20, 1e-4)!r}::DOUBLE)" for
   SELECT t1.tid, 0 AS dc, count(*) AS n FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(TWO_IQ).sql()} GROUP BY t1.tid UNION ALL
   SELECT t1.tid, 1 AS dc, count(*) AS n FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(EQ_ORDER).sql()} GROUP BY t1.tid),
 r(step, lr) AS (VALUES {_RATES}),
-s AS (SELECT dc, sum(lr * n) AS weight FROM v, r WHERE ((CAST(('0x' || substr(md5('2|batch|' || step || '|' || tid), 1, 8))::UBIGINT AS DOUBLE) + 0.5) / 4294967296::DOUBLE) < 100 / (SELECT count(*) FROM wide)::DOUBLE GROUP BY dc)
+s AS (SELECT dc, sum(lr * n) AS weight FROM v, r WHERE {rng.uniform_sql(2, 'batch', "step || '|' || tid")} < 100 / (SELECT count(*) FROM wide)::DOUBLE GROUP BY dc)
 SELECT CAST(dc AS INTEGER) AS dc, round(weight, 9) AS weight FROM s""")
 def weights_closed_form(spark, sf_dir):
     wide = order_wide(spark, sf_dir)
