@@ -1,6 +1,7 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near duplicates of a corpus: op9's components, then texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` band keys of ``ROWS`` MinHash values each (a pair at 0.8 is missed with probability
+Fingerprints within 2 bits find few texts of that similarity (most differ in 4 to 11 bits), and vantage points prune
+nothing at such a radius, as unrelated texts lie 32 bits apart give or take 4. So the rest is found from MinHash bands. Candidates share one of ``BANDS`` band keys of ``ROWS`` MinHash values each (a pair at 0.8 is missed with probability
 5e-5, a closer one less often); a candidate counts only if the similarity of the real shingles confirms it. Buckets are
 first searched from pivots, one pair for each text and round, so that a large group of near copies becomes one component
 without its pairs being listed; then every pair of a bucket that is still in different components is compared.
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm import simhash
 from tabloom.llm.common import WordHashes, checkpoint, map_texts, mix, rolling
 from tabloom.llm.components import stars
 
@@ -80,16 +82,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
-def copy_links(docs: DataFrame) -> DataFrame:
-    """(node, root) of text keys (xxhash64 of the text) in components of near copies, but for the roots."""
-    keyed = docs.select(F.xxhash64("text").alias("key"), "text")
-    entries = map_texts(keyed, ["key"], "bands array<long>", _sketcher).filter("bands is not null").select("key", F.explode("bands").alias("band"))
+#: Keys that may be broadcast (16 bytes each).
+BROADCAST_KEYS = 1_000_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Checkpointed keys, broadcast if there are few; else they are joined by a shuffle."""
+    keys = checkpoint(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge")
+
+
+def copy_links(entries: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, root) of text keys in components of near copies, but for the roots.
+
+    `entries`: (key, band) of the texts that take part; `keyed`: (key, text), from which the candidates' texts are read."""
     entries = checkpoint(entries)
     shared = entries.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("band")
     members = checkpoint(entries.join(shared.hint("merge"), "band").distinct())
-    wanted = members.select("key").distinct()
-    texts = checkpoint(keyed.join(wanted.hint("merge"), "key").dropDuplicates(["key"]))
-    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    texts = checkpoint(keyed.join(_small(members.select("key").distinct()), "key").dropDuplicates(["key"]))
+    edges = keyed.sparkSession.createDataFrame([], "a long, b long")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for turn in range(PIVOTS + 1):
         own = members.join(found.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("c"))
@@ -109,11 +120,40 @@ def copy_links(docs: DataFrame) -> DataFrame:
     return found
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """`docs` without all but one text of each component of near copies: that of the smallest doc_id; same columns."""
-    found = checkpoint(copy_links(docs))
+def _kernel():
+    sketch = _sketcher()
+    return lambda texts, batch: {"fp": simhash.fingerprints_of(texts).view(np.int64), **sketch(texts, batch)}
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` without all but one document of each group of near duplicates; same columns.
+
+    Groups are first the components of op9 (fingerprints within 2 bits), then, among the documents that stay, the components of near
+    copies. Of a group the smallest doc_id stays (null last; of equal ids the text of the smallest hash); of rows that agree on
+    doc_id and text one stays, whichever. Only keys are shuffled while groups are sought. The texts stay where they are
+    unless more than ``BROADCAST_KEYS`` documents go; then they are shuffled once."""
+    keys = ["k1_", "k2_"]
+    keyed = docs.withColumns({"k1_": F.xxhash64("doc_id", "text"), "k2_": F.xxhash64("text")})
+    slim = keyed.select("doc_id", *keys, "text")
+    made = checkpoint(map_texts(slim, ["doc_id", *keys], "fp long, bands array<long>", _kernel))
+    rows = simhash.with_components(checkpoint(made.select("doc_id", *keys, "fp")))
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k2_", "k1_")
+    kept = checkpoint(rows.groupBy("root").agg(F.min(first).alias("m")).select("m.doc_id", "m.k1_", "m.k2_"))
+
+    entries = made.join(kept.select("k2_").distinct().hint("merge"), "k2_", "left_semi").filter("bands is not null")
+    entries = entries.groupBy(F.col("k2_").alias("key")).agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    found = checkpoint(copy_links(entries, keyed.select(F.col("k2_").alias("key"), "text")))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct()
-    ids = docs.select("doc_id", F.xxhash64("text").alias("node")).join(members.hint("merge"), "node")
-    best = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", F.col("node").alias("kept"))).alias("m")).select("root", "m.kept")
-    gone = members.join(best, "root").filter("node <> kept").select(F.col("node").alias("near_copy_"))
-    return docs.join(gone, F.xxhash64("text") == F.col("near_copy_"), "left_anti")
+    ids = kept.join(members.hint("merge"), F.col("k2_") == F.col("node"))
+    best = ids.groupBy("root").agg(F.min(first).alias("m")).select("root", F.col("m.k1_").alias("b1_"), F.col("m.k2_").alias("b2_"))
+    copies = ids.join(best.hint("merge"), "root").filter("k1_ <> b1_ or k2_ <> b2_").select(*keys)
+    kept = checkpoint(kept.join(copies.hint("merge"), keys, "left_anti").select(*keys))
+
+    counts = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    stays = counts.join(kept.withColumn("stays", F.lit(True)).hint("merge"), keys, "left")
+    moved = checkpoint(stays.filter("stays is null or n > 1").select(*keys, F.col("stays").isNotNull().alias("again")))
+    out = keyed.join(_small(moved.select(*keys)), keys, "left_anti")
+    again = moved.filter("again").select(*keys)
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(_small(again), keys, "left_semi").dropDuplicates(keys))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

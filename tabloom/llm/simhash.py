@@ -158,26 +158,22 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("k").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per document: `keep` columns, ``fp`` (long) and ``component_id``, the smallest doc_id it reaches."""
-    rows = checkpoint(fingerprint(docs, keep or ["doc_id"], shingle))
+def with_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """`rows` (checkpointed; with doc_id and ``fp``) with ``component_id``, the smallest doc_id that each reaches (null if no row
+    of the component has one), and ``root``, a fingerprint that names the component whatever its ids."""
     classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = stars(links(classes, radius))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp")
     members = members.join(classes, "fp")
     lowest = members.groupBy("root").agg(F.min("rep").alias("low"))
-    members = members.join(lowest, "root").select("fp", "low")
-    named = classes.join(members.hint("merge"), "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    members = members.join(lowest, "root").select("fp", "root", "low")
+    named = classes.join(members.hint("merge"), "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return rows.join(named.hint("merge"), "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` without all but one row of each group of near duplicates: the one whose doc_id names the group; same columns.
-
-    Rows that share that doc_id with another text stay too, so no text is lost to an id that is not unique; rows
-    without an id stay if they are in a group without any."""
-    kept = near_duplicates(docs.select("doc_id", "text")).select(F.col("component_id").alias("simhash_keep_")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("simhash_keep_"))).drop("simhash_keep_").dropDuplicates(["doc_id", "text"])
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per document: `keep` columns, ``fp`` (long), ``component_id`` and ``root``."""
+    return with_components(checkpoint(fingerprint(docs, keep or ["doc_id"], shingle)), radius)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ most k rows a query, which a rank over (score, id) merges.
 
 Defined results: a null vector, one with a null or non-finite component, and a row with a null id take no part.
 Missing components of shorter vectors count as 0. Ties go to the smaller id. Rows that repeat an id are
-separate candidates (but never of a query of that id). If scores can exceed 2**53 they are summed
+separate candidates (but never of a query of that id); as queries, rows of equal id and vector are one query, and rows of one id but
+different vectors are separate queries, each with its own k results. An empty table gives an empty result. If scores can exceed 2**53 they are summed
 as 64-bit integers, which wrap as Java's do. Extra columns are ignored.
 """
 
@@ -29,8 +30,8 @@ from tabloom.llm.common import table
 K, EVERY, DIM_BLOCK = 20, 20, 16
 #: Rows in a block of candidates and of queries.
 CANDIDATE_ROWS, QUERY_ROWS = 8192, 4096
-PAIR = "query_id long, vec_id long, score long"
-_PAIR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+PAIR = "query_id long, query_key long, vec_id long, score long"
+_PAIR = pa.schema([(c, pa.int64()) for c in ("query_id", "query_key", "vec_id", "score")])
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -53,7 +54,7 @@ def dense(t: pa.Table, width: int = 0) -> np.ndarray:
 
 
 def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int = K, block: int = DIM_BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of the k best candidates of each query."""
+    """(query row, candidate id, score) of the k best candidates of each query."""
     norm = lambda x: np.sqrt((x.astype(float) ** 2).sum(1))
     exact = norm(q).max(initial=0) * norm(c).max(initial=0) < 2**52
     kind = np.float64 if exact else np.int64
@@ -82,7 +83,7 @@ def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
             sel = np.flatnonzero(score >= least)
             sel = sel[np.lexsort((cid[alive[sel]], -score[sel]))][:k]
             alive, score = alive[sel], score[sel]
-        found[0].append(np.full(len(alive), qid[i]))
+        found[0].append(np.full(len(alive), i))
         found[1].append(cid[alive])
         found[2].append(score.astype(np.int64))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
@@ -90,6 +91,7 @@ def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) for quantised (id, v) rows of queries and candidates."""
+    queries = queries.select("id", "v").dropDuplicates().withColumn("key", F.xxhash64("v"))
     nq, nc = max(1, math.ceil(queries.count() / query_rows)), max(1, math.ceil(candidates.count() / candidate_rows))
     block = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -100,11 +102,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, candidate_rows:
         q, c = dense(a), dense(b)
         width = max(q.shape[1], c.shape[1])
         q, c = dense(a, width), dense(b, width)
-        found = best_of(a.column("id").to_numpy(), q, b.column("id").to_numpy(), c, k) if len(q) and len(c) else (np.zeros(0, np.int64),) * 3
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in found], schema=_PAIR)
+        ids, keys = a.column("id").to_numpy(), a.column("key").to_numpy()
+        row, vec, score = best_of(ids, q, b.column("id").to_numpy(), c, k) if len(q) and len(c) else (np.zeros(0, np.int64),) * 3
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (ids[row], keys[row], vec, score)], schema=_PAIR)
 
     pairs = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(work, PAIR)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
@@ -121,8 +124,8 @@ def oracle() -> str:
       WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scores AS (
-      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
-    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
+      SELECT q.vec_id AS query_id, q.v AS query, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) AS BIGINT) AS score
+      FROM (SELECT DISTINCT vec_id, v FROM v) q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {K}
     """

@@ -222,13 +222,24 @@ def test_topk(spark, scale):
     vectors += [(200 + i, vectors[5][1]) for i in range(30)] + [(300, None), (None, [1.0]), (301, [1.0, None]), (302, [float("nan")]), (303, [float("inf")]), (304, []), (305, [2.0, -1.0]), (320, [])]
     df = topk.quantised(spark.createDataFrame([(*v, 0, "x") for v in vectors], "vec_id long, embedding array<double>, label int, id string"), "vec_id", "embedding")
     for rows in (8192, 40):
-        got = topk.top_k(df.filter("id % 5 = 0"), df, 6, rows, rows).collect()
+        got = topk.top_k(df.filter("id % 5 = 0").unionByName(df.filter("id = 10")), df, 6, rows, rows).collect()  # equal rows are one query
         assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got) == slow_topk(vectors, 6, 5)
     few = df.filter("id < 4")
     assert topk.top_k(few, few, 20).count() == 12
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_rows_that_share_an_id(spark):
+    vectors = [(20, [2.0, 0.0]), (20, [0.0, 2.0]), (20, [1.0, 1.0]), (20, [1.0, 1.0])] + [(i, [float(i), 10.0 - i]) for i in range(1, 10)]
+    df = topk.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk.top_k(df.filter("id % 20 = 0"), df, 6).collect()
+    want = []
+    for a in {tuple(v) for i, v in vectors if i == 20}:
+        scored = sorted((-sum(int(64 * x) * int(64 * y) for x, y in zip(a, v)), i) for i, v in vectors if i != 20)
+        want += [(20, n + 1, i, -s) for n, (s, i) in enumerate(scored[:6])]
+    assert sorted((g.query_id, g["rank"], g.vec_id, g.score) for g in got) == sorted(want) and len(got) == 18
+
+
 # --- decontamination
 
 
@@ -300,15 +311,7 @@ def test_simhash(docs, no_docs, rows):
     want = sorted(((x[0], np.uint64(f).view(np.int64).item(), None if low[r] == BIG else low[r]) for x, f, r in zip(rows, fps, roots)), key=repr)
     got = simhash.near_duplicates(docs)
     assert tidy(got.collect(), "doc_id", "fp", "component_id") == want
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(roots))
-    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
-
-
-def test_keep_one_with_shared_ids(spark):
-    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e")]
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == [(1, "a b c d e"), (1, "v w x y z")]
+    assert simhash.near_duplicates(no_docs).count() == 0
 
 
 def test_pieces(monkeypatch, rows):

@@ -2,7 +2,6 @@
 
 import random
 
-import corpus_pipeline
 from tabloom.llm import near_copies
 
 from .test_exact import slow_components, slow_fingerprint
@@ -15,7 +14,34 @@ def edited(r, words, n):
     return words
 
 
-def test_stages_leave_no_near_copies(spark, no_docs):
+def slow_keep(rows):
+    """Rows (doc_id, text) that stay, plainly: one of each component of fingerprints, then one of each component of near copies."""
+    first = lambda group: min(group, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    for roots in (lambda: slow_components([slow_fingerprint(t) for _, t in rows]), lambda: copies(rows)):
+        groups = {}
+        for r, root in zip(rows, roots()):
+            groups.setdefault(root, []).append(r)
+        rows = [first(g) for g in groups.values()]
+    return sorted(rows, key=repr)
+
+
+def copies(rows):
+    sets = [near_copies.shingles((t or "").encode()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.alike(sets[i], sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_keep_one_leaves_no_near_copies(spark, no_docs):
     r = random.Random(8)
     texts = []
     for _ in range(25):
@@ -23,20 +49,23 @@ def test_stages_leave_no_near_copies(spark, no_docs):
         texts += [" ".join(base)] + [" ".join(edited(r, base, n)) for n in (1, 2, 3, 9)]
     common = [f"w{r.randrange(3000)}" for _ in range(300)]
     texts += [" ".join(edited(r, common, 2)) for _ in range(60)] + ["one two", "One  two", "", None, None]
-    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    sets = [near_copies.shingles((t or "").encode()) for t in texts]
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near_copies.alike(sets[i], sets[j])]
-    near = slow_components([slow_fingerprint(t) for t in texts])
-    assert any(near[i] != near[j] for i, j in pairs)  # the fingerprints alone leave some
-    root = list(range(len(texts)))
-    for _ in range(len(texts)):
-        for i, j in pairs:
-            root[i] = root[j] = min(root[i], root[j])
-    want = {i for i in range(len(texts)) if root[i] == i}
-    got = near_copies.without_copies(docs)
-    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == want
-    stages = dict(corpus_pipeline.STAGES)
-    left = [x.doc_id for x in stages["mixing"](spark, stages["near_dedup"](spark, docs, ""), "").collect()]
-    assert not [(i, j) for i, j in pairs if i in left and j in left]
-    assert near_copies.without_copies(no_docs).count() == 0
+    rows = list(enumerate(texts)) + [(500, texts[0]), (500, texts[0]), (None, texts[7]), (None, "six words that nobody else has"), (None, "six words that nobody else has")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, key long, band string")
+    near = slow_components([slow_fingerprint(t) for _, t in rows])
+    sets = [near_copies.shingles((t or "").encode()) for _, t in rows]
+    assert any(near[i] != near[j] for i in range(len(rows)) for j in range(i) if near_copies.alike(sets[i], sets[j]))  # the fingerprints alone leave some
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns and sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == slow_keep(rows)
+    assert near_copies.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_with_shared_and_null_ids(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (3, "a b c d e"), (None, "a b c d e"), (None, "p q r s t"), (None, "p q r s t"), (None, "P q r s t")]
+    got = [tuple(x) for x in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got[:2] + got[2:], key=repr)[:2] == [(1, "a b c d e"), (1, "v w x y z")] and len(got) == 3 and [i for i, _ in got].count(None) == 1
+
+
+def test_keep_one_by_shuffle(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", 0)
+    got = near_copies.keep_one(docs)
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == slow_keep([x[:2] for x in rows])
