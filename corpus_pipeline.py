@@ -4,11 +4,10 @@ Each stage is (name, function of (spark, docs, sf_dir)); what it returns is writ
 next one's docs. All stages but the last return the columns of their docs.
 
 1. toxicity: documents that the sentence model rejects go (models learn from the docs that came in).
-2. near_dedup: of each group of near duplicates (fingerprints within 2 bits, as op9) the document with the smallest doc_id stays.
+2. near_dedup: of each group of near duplicates (fingerprints within 2 bits, as op9; then five-word shingles with a similarity
+   of 0.8 or more) the document with the smallest doc_id stays.
 3. decontamination: documents that hold a window of a benchmark item go.
-4. mixing: of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the
-   smallest doc_id stays, so that no copy counts in the mix; documents are cut into the pieces whose
-   blocks the mix of sources draws, each as often as it is drawn.
+4. mixing: documents are cut into the pieces whose blocks the mix of sources draws, each as often as it is drawn.
 5. sharding: each row gets its shard.
 
 Null and empty texts pass toxicity and decontamination and are near duplicates of each other; repeated rows are
@@ -19,8 +18,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, mixing, near_copies, sharding, simhash, toxicity
-from tabloom.llm.common import checkpoint, table
+from tabloom.llm import decontamination, mixing, near_copies, sharding, toxicity
+from tabloom.llm.common import table
+from tabloom.sources.shared import written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = checkpoint(near_copies.without_copies(docs))
     return mixing.Mix(docs).documents()
 
 
@@ -57,10 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; the result of each is written to the checkpoint folder before the next."""
+    """All stages over the documents; the result of each is written to the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs = written(docs, f"pipeline-{name}")
     return docs
