@@ -1,10 +1,10 @@
 """Personal data by boosted trees over generated candidates.
 
 Base rules find emails, IPv4 addresses, card numbers and phone numbers; what they find always stays. Further generators
-of high recall propose spans that may overlap those and each other: spelled-out emails, digit groups
-that could be phone or card numbers, dotted quads. Gradient-boosted trees score each candidate from its
+of high recall propose spans that may overlap those and each other: emails and IPv4 addresses with spelled-out or bracketed
+dots and ats, digit groups that could be phone or card numbers, cards side by side. Gradient-boosted trees score each candidate from its
 format and its context; scores are calibrated for each kind, and a kind's threshold is the least one, from 0.5
-up, at which the calibration fold's precision reaches ``PRECISION``. Accepted candidates that overlap no base span of their kind are added, best first.
+up, at which the calibration fold's precision reaches ``PRECISION``. Accepted candidates that overlap no base span, and no better candidate, of any kind are added.
 
 The trees are trained here on ``EXAMPLES`` generated examples (a documented bound; fixed seed): formats of personal
 data and look-alikes such as dates, versions, prices and order numbers, in neutral or telling contexts.
@@ -86,21 +86,29 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 #: Blanks are bounded, so that long runs of them take linear time.
-_DOT = re.compile(r"\s{1,3}dot\s{1,3}|\s?\(dot\)\s?|\s?\[dot\]\s?", re.I)
-_AT_BEFORE = re.compile(r"([A-Za-z0-9._%+-]{1,64})(?:\s{1,3}at\s{1,3}|\s?\(at\)\s?|\s?\[at\]\s?|@)([A-Za-z0-9.-]{1,80})\Z", re.I)
-_LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+_AT = re.compile(r"\s{1,3}at\s{1,3}|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?|@", re.I)
+_SPELLED = r"\s{1,3}dot\s{1,3}|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\s?\[\.\]\s?|\s?\(\.\)\s?"
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_SPELLED})[A-Za-z0-9-]+)+", re.I)
+_DOT = re.compile(_SPELLED, re.I)
+_QUAD = re.compile(rf"(?<![0-9.])([0-9]{{1,3}})(?:{_SPELLED}|\s?\.\s?)([0-9]{{1,3}})(?:{_SPELLED}|\s?\.\s?)([0-9]{{1,3}})(?:{_SPELLED}|\s?\.\s?)([0-9]{{1,3}})(?![0-9])", re.I)
 _GROUPS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9]{1,6}(?:[\x20().-]{1,2}[0-9]{2,6}){1,6}(?![0-9A-Za-z])")
 _LONG = re.compile(r"(?<![0-9A-Za-z])[0-9]{8,19}(?![0-9A-Za-z])")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data besides those of the rules; they may overlap."""
     out = []
-    for m in _DOT.finditer(text):
-        before = _AT_BEFORE.search(text, max(0, m.start() - 160), m.start())
-        after = _LABEL.match(text, m.end())
-        if before and after:
-            out.append(("email", before.start(), after.end()))
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start and _LOCAL.match(text, start - 1):
+            start -= 1
+        host = _HOST.match(text, m.end()) if start < m.start() else None
+        if host and (m[0] != "@" or _DOT.search(host[0])):
+            out.append(("email", start, host.end()))
+    for m in _QUAD.finditer(text):
+        if not _IP.fullmatch(m[0]) and all(map(_octet, m.groups())):
+            out.append(("ip", *m.span()))
     for pattern in (_GROUPS, _LONG):
         for m in pattern.finditer(text):
             n = sum(c.isdigit() for c in m[0])
@@ -108,7 +116,17 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 out.append(("phone", *m.span()))
             if 13 <= n <= 19:
                 out.append(("card", *m.span()))
-    return out
+    for m in _CARD.finditer(text):  # cards side by side: runs of whole groups that pass
+        groups = [g.span() for g in _DIGITS.finditer(text, m.start(), m.end())] if m.end() - m.start() > 19 else []
+        for i, (begin, _) in enumerate(groups):
+            n = 0
+            for a, z in groups[i : i + 19]:
+                n += z - a
+                if n > 19:
+                    break
+                if 13 <= n and luhn(_NOT_DIGIT.sub("", text[begin:z])):
+                    out.append(("card", begin, z))
+    return list(dict.fromkeys(out))
 
 
 _CUES = {
@@ -205,14 +223,19 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
     word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(2, 9)))
     sep = lambda: r.choice(["-", " ", "."])
     while len(out) < n:
-        kind, good, s = r.choice(["email", "card", "phone", "phone"]), r.random() < 0.5, ""
+        kind, good, s = r.choice(["email", "ip", "card", "phone", "phone"]), r.random() < 0.5, ""
         cue = ""
         if kind == "email":
             if good:
-                at, dot = r.choice([(" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("@", " dot ")])
-                s = word() + r.choice(["", "." + word(), _digits(r, 2)]) + at + word() + dot + r.choice(["com", "org", "net", "de", "fr", "io"])
+                at, dot = r.choice([(" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("@", " dot "), ("{at}", "{dot}"), ("@", "[.]"), (" at ", ".")])
+                s = word() + r.choice(["", "." + word(), _digits(r, 2)]) + at + "".join(word() + dot for _ in range(r.choice([1, 1, 2]))) + r.choice(["com", "org", "net", "de", "fr", "io", "edu", "uk"])
+                cue = r.choice(["", "", "mail ", "write to ", "contact: "])
             else:
-                s = f"{word()} at {word()} dot {word()}{word()}"
+                s = r.choice([f"{word()} at {word()} dot {word()}{word()}", f"{word()} at {word()}.{word().capitalize()}{word()}", f"{word()} at {_digits(r, 1)}.{_digits(r, 2)}"])
+        elif kind == "ip":
+            dot = r.choice(["[.]", " dot ", "(.)", " . ", "(dot)", "[dot]"]) if good else r.choice([". ", " .", ". ", " . "])
+            s = dot.join(str(r.randint(0, 255) if good else r.randint(0, 30)) for _ in range(4))
+            cue = r.choice(["host ", "server ", "ip ", "address ", "from ", ""]) if good else r.choice(["steps ", "version ", "rows ", "parts ", "items ", "in "])
         elif kind == "card":
             s = _card(r, good)
             cue = r.choice(["card ", "pay with visa ", "credit card no ", "", ""]) if good else r.choice(["order ", "serial ", "", "", "ref "])
