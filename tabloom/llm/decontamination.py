@@ -6,11 +6,11 @@ so two texts that share ``WINDOW`` words share a kept fingerprint. Fingerprint h
 ``WINDOW`` words around a hit is looked up word for word, and the words of an occurring window are hit. An
 item of fewer words is one window of its own length and has one fingerprint.
 
-The documents are scanned where they lie, without a shuffle; the items' fingerprints are broadcast. That
-is bounded: items are taken in slices of at most ``SLICE_BYTES`` of text, and more slices mean more passes.
+The documents are scanned where they lie, without a shuffle; the items' fingerprints and windows are broadcast as arrays. That
+is bounded: items are taken in slices of at most ``SLICE_BYTES`` of text, one after another, and more slices mean more passes.
 
 Defined results: null texts have no words; null and wordless items have no window; items that share an id are
-one item, a null id is ``null``; repeated documents are judged alike; an empty benchmark hits nothing. Texts are read
+one item, a null id is ``null``; repeated documents are judged alike; an empty benchmark hits nothing; an empty table gives an empty result. Texts are read
 whole. Extra columns are untouched.
 """
 
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,25 +47,45 @@ def winnowed(h: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndar
 
 
 class Index:
-    """Fingerprints and windows of benchmark items."""
+    """Fingerprints and windows of benchmark items, as arrays over the items' words in one string of bytes."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        prints: dict[int, list] = {}
-        windows: dict[int, list] = {}
-        self.grams: dict[bytes, set[str]] = {}
         hashes = WordHashes()
+        texts, sizes, parts, begin = [], [], {}, 0
+        self.names = []
         for name, text in items:
             words = words_of(text)
             if not words:
                 continue
-            n = min(WINDOW, len(words))
-            h = hashes.array(words)
-            windows.setdefault(n, []).append(rolling(h, n, FACTOR))
-            prints.setdefault(n, []).append(winnowed(h, GRAM, WINDOW)[1] if n == WINDOW else rolling(h, n, FACTOR))
-            for i in range(len(words) - n + 1):
-                self.grams.setdefault(b" ".join(words[i : i + n]), set()).add(name)
-        self.prints = {n: np.unique(np.concatenate(x)) for n, x in prints.items()}
-        self.windows = {n: np.unique(np.concatenate(x)) for n, x in windows.items()}
+            n, h = min(WINDOW, len(words)), hashes.array(words)
+            windows, prints = rolling(h, n, FACTOR), winnowed(h, GRAM, WINDOW)[1] if n == WINDOW else rolling(h, n, FACTOR)
+            parts.setdefault(n, []).append((prints, windows, np.arange(begin, begin + len(windows)), np.full(len(windows), len(self.names))))
+            self.names.append(name)
+            texts += words
+            sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+            begin += len(words)
+        self.flat = b" ".join(texts)
+        ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]) + 1)
+        self.starts, self.ends = np.concatenate([[0], ends])[:-1], ends - 1
+        self.prints, self.windows = {}, {}
+        for n, found in parts.items():
+            prints, windows, at, item = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((item, windows))
+            self.prints[n], self.windows[n] = np.unique(prints), (windows[order], at[order], item[order])
+        self.told: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+
+    def items_of(self, n: int, window: np.uint64, words: bytes) -> set[str]:
+        """Items that hold these n words, of which `window` is the hash."""
+        key = (n, int(window))
+        if key not in self.told:
+            if len(self.told) >= 1 << 16:
+                self.told.clear()
+            hashes, at, item = self.windows[n]
+            same: dict[bytes, set[str]] = {}
+            for k in range(int(np.searchsorted(hashes, window, "left")), int(np.searchsorted(hashes, window, "right"))):
+                same.setdefault(self.flat[self.starts[at[k]] : self.ends[at[k] + n - 1]], set()).add(self.names[item[k]])
+            self.told[key] = same
+        return self.told[key].get(words, set())
 
     def hits(self, texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """For each text: its number of words, which of them are hit, and the items that occur."""
@@ -88,9 +107,10 @@ class Index:
             doc = np.searchsorted(begin, starts, "right") - 1
             inside = starts + n <= begin[doc + 1]
             starts, doc = starts[inside], doc[inside]
-            sure = _member(rolling(h, n, FACTOR)[starts], self.windows[n])
-            for s, d in zip(starts[sure].tolist(), doc[sure].tolist()):
-                if names := self.grams.get(b" ".join(words[s : s + n])):
+            window = rolling(h, n, FACTOR)[starts]
+            sure = _member(window, self.windows[n][0])
+            for s, d, x in zip(starts[sure].tolist(), doc[sure].tolist(), window[sure]):
+                if names := self.items_of(n, x, b" ".join(words[s : s + n])):
                     hit[s : s + n] = True
                     items[d] |= names
         for i in range(len(texts)):
@@ -119,17 +139,20 @@ def benchmark_slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = SLICE_BYTES) -> DataFrame:
     """`keep` columns with ``n_words``, ``n_hit``, ``hit_words`` (a bit for each word) and ``items`` (ids as strings, sorted)."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(cloudpickle.dumps(Index(items))) for items in benchmark_slices(benchmark, most)]
-    rows = map_texts(docs, keep, _ADDED, _kernel(shared[0] if shared else None))
-    if len(shared) <= 1:
-        return rows
+    share, parts = docs.sparkSession.sparkContext.broadcast, benchmark_slices(benchmark, most)
+    first, more = share(Index(next(parts, []))), next(parts, None)
+    if more is None:
+        return map_texts(docs, keep, _ADDED, _kernel(first))
     # each further slice is a pass of its own over the rows with what they have so far
     kept = keep if "text" in keep else [*keep, "text"]
-    rows = checkpoint(map_texts(docs, kept, _ADDED, _kernel(shared[0])))
-    for more in shared[1:]:
+    rows = checkpoint(map_texts(docs, kept, _ADDED, _kernel(first)))
+    first.destroy()
+    while more is not None:
         before = rows.drop("n_words", "n_hit").withColumnsRenamed({"hit_words": "hit_before_", "items": "items_before_"})
-        rows = checkpoint(map_texts(before, [*kept, "hit_before_", "items_before_"], _ADDED, _kernel(more)).drop("hit_before_", "items_before_"))
+        now = share(Index(more))
+        rows = checkpoint(map_texts(before, [*kept, "hit_before_", "items_before_"], _ADDED, _kernel(now)).drop("hit_before_", "items_before_"))
+        now.destroy()
+        more = next(parts, None)
     return rows.select(*keep, "n_words", "n_hit", "hit_words", "items")
 
 
@@ -138,7 +161,7 @@ _ADDED = "n_words long, n_hit long, hit_words binary, items array<string>"
 
 def _kernel(shared):
     def kernel():
-        index, hashes = cloudpickle.loads(shared.value) if shared else Index([]), WordHashes()
+        index, hashes = shared.value, WordHashes()  # a worker reads the index once
 
         def judge(raw: list[bytes], rows: pa.RecordBatch) -> dict:
             out = {"n_words": [], "n_hit": [], "hit_words": [], "items": []}
