@@ -179,8 +179,10 @@ def _kernel(shared):
     return kernel
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows that hold a benchmark window; same columns."""
+def without_hits(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """`docs` without the rows that hold a benchmark window; same columns. Items of fewer than `least` words condemn no document."""
+    if least > 1:
+        benchmark = benchmark.filter(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")) >= least)
     names = {c: f"kept_{i}_" for i, c in enumerate(docs.columns)}
     marked = docs.withColumnsRenamed(names).withColumn("text", F.col(names["text"]))
     found = contamination(marked, benchmark, list(names.values()))

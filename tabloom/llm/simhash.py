@@ -8,12 +8,12 @@ triangle bound, two fingerprints within the radius lie at distances from any van
 no more than the radius, and all differences have the parity of their distance. So a class visits its own
 shell and those boundary shells after it that can hold a partner. Within a shell a vantage-point tree
 prunes branches by the same bound down to small leaves that are compared outright. A shell returns a
-spanning forest of its links, not all pairs; components of the forests are those of all links. The number of
-vantage points grows until no shell holds more than ``MAX_SHELL`` classes.
+spanning forest of its links, not all pairs; components of the forests are those of all links. Shells of two
+vantage points are dealt; only those that hold more than ``MAX_SHELL`` classes are split by two further points, and so on.
 
 Defined results: null and empty texts have no words and fingerprint 0, linked like any other; texts with fewer
 words than a shingle have their whole sequence as the only one. A null doc_id is never the name of a
-component unless all of its ids are null. Repeated rows are one class. Extra columns are ignored.
+component unless all of its ids are null. Repeated rows are one class. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from tabloom.llm.common import checkpoint, map_texts, table
 from tabloom.llm.components import forest, stars
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-MAX_SHELL, MAX_POINTS, LEAF_PAIRS = 200_000, 6, 1 << 21
+MAX_SHELL, MAX_POINTS, LEAF_PAIRS = 200_000, 12, 1 << 21
 #: Shingle hashes whose bits are counted at once.
 HASHES = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -133,29 +133,54 @@ def _shell(points: list[int]) -> F.Column:
     return F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))) for p in points])
 
 
+def _moves(n: int, radius: int) -> list[tuple[int, ...]]:
+    """How the distances of two close fingerprints to n points may differ: all differences have the parity of their own distance."""
+    return [m for m in itertools.product(range(-radius, radius + 1), repeat=n) if len({x % 2 for x in m}) == 1]
+
+
+def _deal(rows: DataFrame, points: list[int], radius: int) -> DataFrame:
+    """Rows (k, fp, home) with the distances to further points added to k, the shell.
+
+    A fingerprint at home has one shell; of two shells the lower visits the higher. A visitor visits every shell it may have links in."""
+    moves = _moves(len(points), radius)
+    literal = lambda found: F.array(*[F.array(*[F.lit(x) for x in m]) for m in found])
+    here = rows.withColumn("s", _shell(points))
+    own = here.filter("home").select(F.concat("k", "s").alias("k"), "fp", "home")
+    upward = literal([m for m in moves if m > (0,) * len(points)])
+    visits = here.withColumn("move", F.explode(F.when(F.col("home"), upward).otherwise(literal(moves))))
+    visits = visits.select(F.concat("k", F.zip_with("s", "move", lambda a, b: a + b)).alias("k"), "fp", F.lit(False).alias("home"))
+    return own.unionByName(visits)
+
+
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a spanning set of the links between distinct fingerprints `fp`."""
+    """(a, b): a spanning set of the links between distinct fingerprints `fp`.
+
+    Shells around the first two vantage points are dealt out; only those that hold more than ``MAX_SHELL`` are split by further points."""
     points = [r[0] for r in classes.orderBy(F.xxhash64("fp"), "fp").limit(MAX_POINTS).select("fp").collect()]
     if not points:
         return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    for n in range(2, MAX_POINTS + 1):
-        used = points[:n]
-        largest = classes.groupBy(_shell(used).alias("k")).count().agg(F.max("count")).first()[0]
-        if largest <= MAX_SHELL or n >= len(points):
-            break
-    # A pair's differences all have the parity of its distance; of two shells the lower visits the higher.
-    moves = [m for m in itertools.product(range(-radius, radius + 1), repeat=len(used)) if m > (0,) * len(used) and len({x % 2 for x in m}) == 1]
-    own = classes.select("fp", _shell(used).alias("k"))
-    visits = own.select("fp", "k", F.explode(F.array(*[F.array(*[F.lit(x) for x in m]) for m in moves])).alias("move"))
-    visits = visits.select(F.zip_with("k", "move", lambda a, b: a + b).alias("k"), "fp", F.lit(False).alias("home"))
-    dealt = own.select("k", "fp", F.lit(True).alias("home")).unionByName(visits)
 
     def search(t: pa.Table) -> pa.Table:
         fps, home = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False).astype(bool)
         a, b = shell_links(fps, home, radius) if home.any() else (np.zeros(0, np.uint64),) * 2
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("k").applyInArrow(search, "a long, b long")
+    rows = classes.select(F.array().cast("array<int>").alias("k"), "fp", F.lit(True).alias("home"))
+    found = None
+    for at in range(0, len(points), 2):
+        rows = _deal(rows, points[at : at + 2], radius)
+        large = rows.filter("home").groupBy("k").count().filter(F.col("count") > MAX_SHELL).select("k")
+        if at + 2 < len(points) and not (large := checkpoint(large)).isEmpty():
+            rows = checkpoint(rows)
+            large = F.broadcast(large) if large.count() <= 100_000 else large
+            done, rows = rows.join(large, "k", "left_anti"), rows.join(large, "k", "left_semi")
+        else:
+            done, rows = rows, None
+        part = done.groupBy("k").applyInArrow(search, "a long, b long")
+        found = part if found is None else found.unionByName(part)
+        if rows is None:
+            break
+    return found
 
 
 def with_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:

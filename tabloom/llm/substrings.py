@@ -2,13 +2,13 @@
 
 A window is ``WINDOW`` consecutive words of one document. First each group of documents sketches its windows, and the
 sketches are merged block by block into counts that are never too low. Then only windows whose estimate is two or
-more in every row of the sketch are grouped exactly (by 96 bits of hash), and each occurrence but the first, by doc_id
+more in every row of the sketch are grouped exactly (by 96 bits from two hashes of their words), and each occurrence but the first, by doc_id
 and start, has its words removed. A window that repeats is never estimated as single, so none is lost.
 
 The sketch's width follows the input, and it stays dealt over the blocks: merging happens where the block is, and groups
 get one bit for each of their windows back. A window that very many documents share is sent once by each group.
 
-Defined results: null and empty texts have no words; texts shorter than a window lose nothing; a null doc_id counts as
+Defined results: an empty table gives an empty result; null and empty texts have no words; texts shorter than a window lose nothing; a null doc_id counts as
 the largest; rows that share a doc_id count as one after the other by text. Extra columns are ignored.
 """
 
@@ -59,11 +59,12 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, depth: int = DEPTH) ->
         if not told.num_rows:
             return _PAYLOAD.empty_table()
         g = t.column("g")[0].as_py()
-        _, sort_ids, _, counts, at, h = group_windows(t, width)
+        _, sort_ids, split, counts, at, h = group_windows(t, width)
         first = rolling(h, width, _FACTORS[0])[at]
         at_often = dealing.estimated_repeated(first, told, depth, blocks, cells)
         at, first = at[at_often], first[at_often]
-        second = (rolling(mix(h), width, _FACTORS[1])[at] >> np.uint64(32)).astype(np.uint32)
+        other = WordHashes(1)  # a second hash of the words themselves
+        second = (mix(rolling(np.concatenate([other.array(w) for w in split]), width, _FACTORS[1])[at]) >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         order = np.lexsort((at, second, first))
         a, b = first[order], second[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(order) else np.zeros(0, bool)

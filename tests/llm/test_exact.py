@@ -314,6 +314,8 @@ def test_decontamination(spark, docs, no_docs, rows, most):
     assert tidy(got, "doc_id", "n_words", "n_hit", "items") == want
     kept = decontamination.without_hits(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(1 for x in want if not x[2])
+    long = slow_hits(rows, [x for x in items if len((x[1] or "").split()) >= 10])
+    assert decontamination.without_hits(docs, bench, 10).count() == sum(1 for x in long if not x[2]) > kept.count()
     assert decontamination.contamination(no_docs, bench, ["doc_id"]).count() == 0
     assert decontamination.without_hits(docs, bench.limit(0)).count() == len(rows)
 
@@ -384,6 +386,12 @@ def test_links_are_all_found(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
 
 
+@pytest.mark.parametrize("most", [40, 7])
+def test_only_large_shells_are_split(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MAX_SHELL", most)
+    test_links_are_all_found(spark)
+
+
 def test_close_pairs_by_tree(monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_PAIRS", 64)
     r = np.random.default_rng(1)
