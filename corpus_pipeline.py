@@ -6,7 +6,7 @@ next one's docs. All stages but the last return the columns of their docs.
 1. toxicity: documents that the sentence model rejects go (models learn from the docs that came in).
 2. near_dedup: of each group of near duplicates (fingerprints within 2 bits, as op9; then five-word shingles with a similarity
    of 0.8 or more) the document with the smallest doc_id stays.
-3. decontamination: documents that hold a window of a benchmark item go.
+3. decontamination: documents that hold a window (ten words) of a benchmark item go; shorter items condemn nothing.
 4. mixing: documents are cut into the pieces whose blocks the mix of sources draws, each as often as it is drawn.
 5. sharding: each row gets its shard.
 
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.without_hits(docs, table(spark, sf_dir, "benchmark"), decontamination.WINDOW)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
