@@ -6,11 +6,11 @@ centroid by cosine is predicted. A text farther from it than nearly all training
 is flagged as rejected.
 
 Document frequencies cover every learnable document; centroids are fitted on at most ``FIT_ROWS``
-texts of each language (a documented bound), chosen by a hash of doc_id, one task a language. The model is
+texts of each language (a documented bound), chosen by a hash of doc_id and text (repeated rows count once), one task a language. The model is
 languages x ``CENTROIDS`` x ``DIMS`` numbers; more than ``MAX_LANGUAGES`` languages are an error.
 
 Defined results: null texts and texts without a letter give ``und``, score 0, rejected; without any learnable
-row every text does. Rows that repeat are judged alike, ties go to the first language by name. Texts are
+row every text does. An empty table gives an empty result. Rows that repeat are judged alike, ties go to the first language by name. Texts are
 read whole, in slices. Extra columns are ignored.
 """
 
@@ -90,9 +90,9 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     for r in learn.select("text").mapInArrow(frequencies, "dim int, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect():
         df[r[0]] = r[1]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    u = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_rows / n))])
-    picked = map_texts(learn.filter(u < share[F.col("lang")]), ["lang"], "at binary, n binary", lambda: _sparse)
+    picked = map_texts(learn.filter(u < share[F.col("lang")]), ["lang"], "at binary, n binary", lambda: _sparse).dropDuplicates()  # repeated rows count once
 
     def clustered(t: pa.Table) -> pa.Table:  # the sampled texts of one language
         counts = np.zeros((t.num_rows, DIMS), np.int32)

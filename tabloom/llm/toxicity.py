@@ -6,11 +6,12 @@ words and word beginnings, and a document is toxic if any sentence is (noisy-or)
 steps on the documents' likelihood; the sentence probabilities then locate what offends.
 
 The model is fitted on at most ``FIT_ROWS`` labelled documents of each label (a documented bound), chosen
-by a hash of doc_id; the sampled labels are weighted back to their shares among all labelled rows.
+by a hash of doc_id; the sampled labels are weighted back to their shares among all labelled rows. Repeated rows are learnt
+once, and where ids repeat or texts are very long, at most 3 * ``FIT_ROWS`` rows and ``FIT_BYTES`` of features, by hash.
 
 Defined results: null and empty texts have no sentence and score 0. Documents with several labels count
-as toxic if any label says so; null labels are ignored. Without labels of both kinds all scores are 0. Repeated rows score alike. Texts are read
-whole. Extra columns are ignored.
+as toxic if any label says so; null labels are ignored. Without labels of both kinds all scores are 0. Repeated rows score alike; an empty
+table gives an empty result. Texts are read whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import VOCABULARY, held_out, map_texts, row_starts, table
+from tabloom.llm.common import VOCABULARY, checkpoint, held_out, map_texts, row_starts, table
 
-BITS, FIT_ROWS, ROUNDS = 18, 2500, 150
+BITS, FIT_ROWS, FIT_BYTES, ROUNDS = 18, 2500, 256 << 20, 150
 START = -7.0
 _STRIP = b".,;:!?\"'()[]{}<>*#&%$-_"
 
@@ -83,9 +84,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: in
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     cut = {k: min(1.0, fit_rows / n) for k, n in sizes.items()}
     picked = known.filter(u < F.when(F.col("toxic") == 1, cut[1]).otherwise(cut[0]))
-    # about 2 * FIT_ROWS ids by the filter above
+    # about 2 * fit_rows ids by the filter above
     sample = docs.select("doc_id", "text").join(F.broadcast(picked.withColumnRenamed("doc_id", "id_")), F.col("doc_id") == F.col("id_"))
-    rows = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in map_texts(sample, ["doc_id", "toxic"], "words binary, sizes binary", lambda: _bags).collect()))
+    made = map_texts(sample, ["doc_id", "toxic"], "words binary, sizes binary", lambda: _bags).dropDuplicates(["doc_id", "words"])
+    made = checkpoint(made.withColumn("o_", F.xxhash64("doc_id", "words")))
+    # however often ids repeat and however long texts are: rows and bytes that reach the driver are bounded
+    held = made.select("o_", F.length("words")).orderBy("o_").limit(3 * fit_rows).collect()
+    inside = np.cumsum([n for _, n in held]) <= FIT_BYTES
+    last = max((o for (o, _), fits in zip(held, inside) if fits), default=None)
+    found = [] if last is None else made.filter(F.col("o_") <= last).select("doc_id", "toxic", "words", "sizes").collect()
+    rows = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in found)
     bags = [(y, np.frombuffer(zlib.decompress(w), np.uint32).reshape(-1, 3), np.frombuffer(s, np.uint32)) for _, y, w, s in rows if s]
     return train(bags, {k: 1 / c for k, c in cut.items()}, rounds)
 

@@ -59,3 +59,22 @@ def test_language(spark, docs, no_docs):
         assert 0 <= g.score <= 1 and (g.lang_pred == "und") == (not language.has_letter((g.text or "").encode()))
     assert language.identify(no_docs, m, ["doc_id"]).count() == 0
     assert {g.lang_pred for g in language.identify(docs, language.fit(no_docs), ["doc_id"]).collect()} == {"und"}
+
+
+def test_the_sample_is_bounded_however_ids_repeat(spark, monkeypatch):
+    from tabloom.llm import language, toxicity
+
+    data, labels = labelled(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, *_: seen.append(len(bags)))
+    toxicity.fit(data.unionByName(data), labels)
+    toxicity.fit(data, labels)
+    assert seen[0] == seen[1] > 0  # repeated rows are learnt once
+    same = data.withColumn("doc_id", data.doc_id % 4)  # many texts of one id
+    ids = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    toxicity.fit(same, ids, fit_rows=10)
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 2000)
+    toxicity.fit(data, labels)
+    assert 0 < seen[2] <= 30 and 0 < seen[3] < seen[1]
+    null = data.withColumn("doc_id", data.doc_id * None)
+    assert language.fit(null.unionByName(null), 50)["langs"] == language.fit(null, 50)["langs"]
