@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import privacy, rng
 from tabloom.functions.rng import keyed
-from tabloom.operators import dependency, sampling
+from tabloom.operators import dependency, sampling, transform
 from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, information_sensitivity, most_informative
-from tabloom.operators.profile import attribute_roles, attribute_sequence
+from tabloom.operators.profile import attribute_roles, attribute_sequence, domains
 from tabloom.operators.tally import Tally
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
@@ -57,6 +57,8 @@ class Settings:
     bins: Mapping[str, int] = field(default_factory=dict)
     #: Candidates looked at in one of TRIES attempts, most likely first; 0: all that the model gives at once.
     page: int = 0
+    #: Generate all attributes of at most two values that no constraint holds as one, then split it again.
+    concat: bool = False
     #: Public domains and bounds; what is not given is taken from the table, and counts as public.
     domains: Mapping[str, Sequence] = field(default_factory=dict)
     bounds: Mapping[str, tuple[float, float]] = field(default_factory=dict)
@@ -285,6 +287,15 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
     roles = attribute_roles(true, dcs, columns)
     numeric = [c for c in columns if roles[c] == "numeric"]
     order = list(settings.sequence or seq.start_categorical(attribute_sequence(true, dcs, columns, settings.bins), numeric))
+    small = []
+    if settings.concat and start is None:
+        sizes, held = domains(true, columns), {a for dc in dcs for a in dc.attributes}
+        small = [c for c in order[1:] if sizes[c] <= 2 and c not in held]
+    if len(small) > 1:
+        kinds, joint = dict(true.dtypes), "_".join(small)
+        true = checkpoint(transform.concatenated(true, small, joint))
+        order = [joint if c == small[-1] else c for c in order if c not in small[:-1]]
+        numeric = [c for c in numeric if c not in small]
     if start is None:
         n = true.count() if n is None else n
         syn = sampling.first_attribute(true.sparkSession, true, order[0], n, settings.sigma_first, settings.seed).select("tid", order[0])
@@ -296,6 +307,8 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
             continue
         use = seq.relevant(dcs, [c for c in syn.columns if c != "tid"], target)
         syn = checkpoint(fill_attribute(syn, true, target, [dcs[i] for i in use], [weights[i] for i in use], settings, target in numeric))
+    if len(small) > 1:
+        syn = transform.split_again(syn, joint, small).withColumns({c: F.col(f"`{c}`").try_cast(kinds[c]) for c in small})
     return syn.select("tid", *[F.col(f"`{c}`") for c in columns])
 
 

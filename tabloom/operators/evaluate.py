@@ -19,15 +19,18 @@ from tabloom.sources.shared import checkpoint
 
 @dataclass(frozen=True)
 class Target:
-    """An attribute to predict: positive labels, or a half-open range."""
+    """An attribute to predict: positive labels, or a half-open range (of the number after a prefix)."""
 
     attr: str
     labels: tuple[str, ...] | None = None
     lo: float | None = None
     hi: float | None = None
+    prefix: str = ""
 
     def column(self) -> F.Column:
         x = F.col(f"`{self.attr}`")
+        if self.prefix:
+            x = F.when(x.startswith(self.prefix), F.substring(x, len(self.prefix) + 1, 18).try_cast("double")).otherwise(F.lit(-math.inf))
         return transform.positive(F.lower(x.cast("string")), self.labels) if self.labels is not None else transform.positive(x.cast("double"), None, self.lo, self.hi)
 
 
@@ -128,13 +131,13 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
 def classifier_report(true: DataFrame, synthetic: DataFrame, targets: Sequence[Target], models: Sequence[str] = MODELS, rows: int = 5000, seed: int = 0, tid: str = "tid") -> DataFrame:
     """(attr, model, metrics...): trained on 90 % of at most `rows` synthetic rows, tested on 10 % of as many true rows.
 
-    A target with one class in training is predicted as that class."""
+    A target with one class in training is predicted as that class. Given the same table twice it is split: the tenth is never trained on."""
     train, _ = sampling.keyed_split(sampling.subsample(synthetic.na.drop(), rows, seed, tid), 0.9, seed, tid)
     _, test = sampling.keyed_split(sampling.subsample(true.na.drop(), rows, seed, tid), 0.9, seed, tid)
     out = []
     for target in targets:
         a, b, width = features(train, test, target)
-        a, b = a.cache(), b.cache()
+        a, b = checkpoint(a), checkpoint(b)
         classes = [r[0] for r in a.select("label").distinct().collect()]
         for name in models:
             if len(classes) < 2:
@@ -149,8 +152,6 @@ def classifier_report(true: DataFrame, synthetic: DataFrame, targets: Sequence[T
                 p = vector_to_array("probability")[1] if "probability" in made.columns else F.col("prediction")
                 scored = made.select("label", "prediction", p.alias("p"))
             out.append((target.attr, name, *metrics(scored).values()))
-        a.unpersist()
-        b.unpersist()
     return true.sparkSession.createDataFrame(out, "attr string, model string, accuracy double, precision double, recall double, f1 double, auroc double, auprc double")
 
 

@@ -38,23 +38,36 @@ def _pairs_of(count: F.Column, mode: str) -> F.Column:
     return F.floor(both / F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)") if mode == "tid_ordered" else both
 
 
-def equal_group_pairs(df: DataFrame, sets: Sequence[Sequence[str]], signs: Sequence[int], mode: str) -> DataFrame:
-    """One row, n: the signed sum over the attribute sets of the pairs of rows that agree on a set; one scan for all sets."""
-    every = list(dict.fromkeys(c for s in sets for c in s))
-    rows = df.select(*_named(every)) if every else df.select(F.lit(1).alias("one_"))
-    if not every:
-        n = rows.agg(F.count(F.lit(1)).alias("c")).select((F.lit(sum(signs)) * _pairs_of(F.col("c"), mode)).cast("decimal(38,0)").alias("n"))
-        return n
+#: Constraints that one pass of grouping sets counts: each row is expanded once for each set.
+PASS = 8
+
+
+def equal_group_pairs(df: DataFrame, items: Sequence[tuple[Sequence[str], Sequence[Sequence[str]], Sequence[int]]], mode: str) -> DataFrame:
+    """(item, n) for each item (attributes, sets of them, signs): the signed sum over the sets of the pairs of rows that agree on a set.
+
+    Rows with a null in an item's attributes count for other items only. One scan for all sets of all items."""
+    every = list(dict.fromkeys(c for attrs, _, _ in items for c in attrs))
     # attributes are renamed: their names may hold any character
-    rows = rows.toDF(*[f"a{i}" for i in range(len(every))])
     at = {c: f"a{i}" for i, c in enumerate(every)}
-    groups = rows.groupingSets([[F.col(at[c]) for c in s] for s in sets], *[F.col(at[c]) for c in every])
-    counted = groups.agg(F.count(F.lit(1)).alias("c"), F.grouping_id().alias("gid"))
-    gid = lambda s: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in s)
-    sign = F.lit(0)
-    for s, g in zip(sets, signs):
-        sign = F.when(F.col("gid") == gid(s), F.lit(g)).otherwise(sign)
-    return counted.agg(F.coalesce(F.sum((sign.cast("decimal(1,0)") * _pairs_of(F.col("c"), mode)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("n"))
+    rows = df.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()])
+    full = [F.lit(True) if not attrs else ~F.greatest(*[F.col(at[c]).isNull() for c in attrs], F.lit(False)) for attrs, _, _ in items]
+    rows = rows.select(*at.values(), *[f.alias(f"f{j}") for j, f in enumerate(full)])
+    sets = sorted({tuple(sorted(s)) for _, part, _ in items for s in part})
+    groups = rows.groupingSets([[F.col(at[c]) for c in s] for s in sets], *[F.col(a) for a in at.values()])
+    counted = groups.agg(*[F.count_if(F.col(f"f{j}")).alias(f"c{j}") for j in range(len(items))], F.grouping_id().alias("gid"))
+    gid = {s: sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in s) for s in sets}
+    zero, sums = F.lit(0).cast("decimal(38,0)"), []
+    for j, (_, part, signs) in enumerate(items):
+        sign = F.lit(0)
+        for s, g in zip(part, signs):
+            sign = F.when(F.col("gid") == gid[tuple(sorted(s))], F.lit(g)).otherwise(sign)
+        sums.append(F.coalesce(F.sum((sign.cast("decimal(1,0)") * _pairs_of(F.col(f"c{j}"), mode)).cast("decimal(38,0)")), zero).alias(f"n{j}"))
+    told = counted.agg(*sums).select(F.explode(F.array(*[F.struct(F.lit(j).alias("item"), F.col(f"n{j}").alias("n")) for j in range(len(items))])).alias("x"))
+    return told.select("x.item", F.col("x.n").cast("long").alias("n"))
+
+
+def _item(dc: DenialConstraint) -> tuple:
+    return (dc.attributes, *_subsets(dc.of("="), dc.of("<>")))
 
 
 def _subsets(eq: Sequence[str], iq: Sequence[str]) -> tuple[list[tuple[str, ...]], list[int]]:
@@ -198,16 +211,13 @@ def count_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", mode
     if mode not in ("tid_ordered", "ordered"):
         raise ValueError("mode is tid_ordered or ordered")
     kind = shape(dc)
-    n = F.lit(0)
     if kind == "one_tuple":
         return df.alias("t1").filter(dc.column("t1", "t2")).agg(F.count(F.lit(1)).alias("n_vio"))
     if kind == "theta":
         order = F.col(f"t1.`{tid}`") < F.col(f"t2.`{tid}`") if mode == "tid_ordered" else F.col(f"t1.`{tid}`") != F.col(f"t2.`{tid}`")
         return df.alias("t1").join(df.alias("t2"), order & dc.column("t1", "t2")).agg(F.count(F.lit(1)).alias("n_vio"))
     if kind == "counts":
-        sets, signs = _subsets(dc.of("="), dc.of("<>"))
-        n = equal_group_pairs(df.na.drop(subset=[f"`{a}`" for a in dc.attributes]), sets, signs, mode)
-        return n.select(F.col("n").cast("long").alias("n_vio"))
+        return equal_group_pairs(df, [_item(dc)], mode).select(F.col("n").alias("n_vio"))
     return _ordered_counts(df, dc, tid, mode, False, join_rows, tile_rows).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_vio"))
 
 
@@ -244,7 +254,7 @@ def violating_rows(df: DataFrame, dc: DenialConstraint, tid: str = "tid") -> Dat
     """The rows that violate the constraint, as t1, with any other (existence, not a count)."""
     if shape(dc) == "one_tuple":
         return df.alias("t1").filter(dc.column("t1", "t2"))
-    if shape(dc) == "counts" or shape(dc) == "order_only":
+    if dc.plain:
         return df.join(row_violations(df, dc, tid).filter("n > 0").select(F.col("tid").alias(tid)), tid, "left_semi")
     return df.alias("t1").join(df.alias("t2"), (F.col(f"t1.`{tid}`") != F.col(f"t2.`{tid}`")) & dc.column("t1", "t2"), "left_semi")
 
@@ -260,11 +270,29 @@ def violation_matrix(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str =
 
 def violation_report(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str = "tid", mode: str = "tid_ordered") -> DataFrame:
     """(dc, n_vio, n_pair, ratio): one row for each constraint; pairs are rows for one-tuple constraints; the ratio has 3 decimals."""
+    if not dcs:
+        return df.sparkSession.createDataFrame([], "dc string, n_vio long, n_pair long, ratio double")
+    used = sorted({a for dc in dcs for a in dc.attributes} | {tid})
+    df = checkpoint(df.select(*_named(used)))  # read by every pass
     size = df.agg(F.count(F.lit(1)).alias("rows_"))
-    out = None
-    for dc in dcs:
-        pairs = _pairs_of(F.col("rows_"), mode).cast("long") if dc.two_tuple else F.col("rows_")
-        one = count_violations(df, dc, tid, mode).join(F.broadcast(size)).select(F.lit(str(dc)).alias("dc"), "n_vio", pairs.alias("n_pair"))
-        out = one if out is None else out.unionByName(one)
+    lone, grouped = [i for i, dc in enumerate(dcs) if shape(dc) == "one_tuple"], [i for i, dc in enumerate(dcs) if shape(dc) == "counts"]
+    counts = []
+    if lone:  # all of them in one scan
+        hits = df.alias("t1").agg(*[F.count_if(dcs[i].column("t1", "t2")).alias(f"n{i}") for i in lone])
+        counts.append(hits.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n_vio")) for i in lone])).alias("x")).select("x.*"))
+    for a in range(0, len(grouped), PASS):
+        part = grouped[a : a + PASS]
+        told = equal_group_pairs(df, [_item(dcs[i]) for i in part], mode)
+        counts.append(told.select(F.element_at(F.array(*[F.lit(i) for i in part]), F.col("item") + 1).alias("i"), F.col("n").alias("n_vio")))
+    for i, dc in enumerate(dcs):
+        if i not in lone and i not in grouped:
+            counts.append(count_violations(df, dc, tid, mode).select(F.lit(i).alias("i"), "n_vio"))
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    pairs = _pairs_of(F.col("rows_"), mode).cast("long")
+    about = [F.struct(F.lit(str(dc)).alias("dc"), F.lit(dc.two_tuple).alias("two")) for dc in dcs]
+    out = out.join(F.broadcast(size)).select(F.element_at(F.array(*about), F.col("i") + 1).alias("x"), "n_vio", pairs.alias("pairs_"), "rows_")
+    out = out.select("x.dc", "n_vio", F.when(F.col("x.two"), F.col("pairs_")).otherwise(F.col("rows_")).alias("n_pair"))
     ratio = F.when(F.col("n_pair") > 0, F.round(F.col("n_vio") / F.col("n_pair"), 3)).otherwise(F.lit(0.0))
     return out.withColumn("ratio", ratio.cast("double"))

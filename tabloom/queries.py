@@ -659,7 +659,7 @@ def flow_keyed(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (0), (0), (0)) t(n_vio)")
 def flow_keyed_keeps_dependencies(spark, sf_dir):
-    made = flow_keyed(spark, sf_dir).select("tid", "c_custkey", "c_nationkey", "c_mktsegment", "n_name").cache()
+    made = flow_keyed(spark, sf_dir).select("tid", "c_custkey", "c_nationkey", "c_mktsegment", "n_name")
     return violations.violation_report(made, [dc(t) for t in FDS[:3]]).select(F.col("n_vio").cast("int"))
 
 
@@ -683,6 +683,6 @@ def flow_monotone_keeps_order(spark, sf_dir):
     settings = constrained.Settings(seed=3)
     start = sampling.first_attribute(spark, wide, "n_name", wide.count(), 0.0, 3).select("tid", "n_name")
     start = constrained.fill_attribute(start, wide, "c_mktsegment", [], [], settings)
-    made = flows.monotone_flow(start, wide, "n_name", "o_totalprice", "c_acctbal", 50, settings).cache()
+    made = flows.monotone_flow(start, wide, "n_name", "o_totalprice", "c_acctbal", 50, settings)
     rules = ["t1&t2&EQ(t1.n_name,t2.n_name)&GT(t1.o_totalprice,t2.o_totalprice)&LT(t1.c_acctbal,t2.c_acctbal)", "t1&t2&EQ(t1.n_name,t2.n_name)&EQ(t1.o_totalprice,t2.o_totalprice)&IQ(t1.c_acctbal,t2.c_acctbal)"]
     return violations.violation_report(made, [dc(t) for t in rules], mode="ordered").select(F.col("n_vio").cast("int"))

@@ -44,8 +44,8 @@ def output_name(data: str, epsilon: float | None, flags: dict[str, object]) -> s
 
 
 def load_view(df: DataFrame, name: str) -> DataFrame:
-    """Cached and named for SQL."""
-    df.cache().createOrReplaceTempView(name)
+    """Named for SQL; read again by each query, unless the caller caches or checkpoints it."""
+    df.createOrReplaceTempView(name)
     return df
 
 
