@@ -72,20 +72,6 @@ def split_again(df: DataFrame, name: str, columns: Sequence[str], sep: str = "_"
     return out if name in columns else out.drop(name)
 
 
-def small_domains(sizes: dict[str, int], order: Sequence[str], most: int = 2) -> list[list[str]]:
-    """Runs of neighbouring attributes of at most `most` values, to be concatenated while they are generated."""
-    out: list[list[str]] = []
-    run: list[str] = []
-    for a in [*order, None]:
-        if a is not None and sizes[a] <= most:
-            run.append(a)
-            continue
-        if len(run) > 1:
-            out.append(run)
-        run = []
-    return out
-
-
 def generalised(df: DataFrame, within: str, columns: dict[str, str], key: str, least: int = 3) -> DataFrame:
     """Rare (within, key) pairs lose their values: column c becomes '{within}_{suffix}' where fewer than `least` rows share the pair."""
     sizes = df.groupBy(F.col(f"`{within}`").alias("w_"), F.col(f"`{key}`").alias("k_")).agg(F.count(F.lit(1)).alias("n_"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tabloom.functions import privacy, probability, rng
 from tabloom.operators import constrained, dependency, evaluate, flows, learning, marginals, model, profile, sampling, transform, violations
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
-from tabloom.sources.tables import ORDER_WIDE_SQL, order_wide
+from tabloom.sources.shared import shared_folder
+from tabloom.sources.tables import ORDER_WIDE_SQL, order_wide, read_csv, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,7 +613,24 @@ def noisy_violation_matrix(spark, sf_dir):
     return learning.noisy_matrix(matrix, 3.0, 6).withColumn("n", F.round("n", 6))
 
 
-@query()
+#: (name, sampling rate, noise multiplier, repetitions) of the steps of a run, and its delta.
+ACCOUNTS = {
+    "adult": ([(23 / 32561, 1.1, 1600 * 14)], 1e-6),
+    "adult_total": ([(23 / 32561, 1.1, 1600 * 14), (1.0, privacy.gaussian_sigma(0.1, 1e-6) / 2**0.5, 1)], 1e-6),
+    "br2000": ([(29 / 38000, 1.1, 1500 * 13)], 1e-6),
+    "gauss": ([(1.0, 4.0, 1)], 1e-5),
+}
+_STEPS = ", ".join(f"('{name}', {q!r}::DOUBLE, {z!r}::DOUBLE, {n}, {delta!r}::DOUBLE)" for name, (steps, delta) in ACCOUNTS.items() for q, z, n in steps)
+
+
+@query(f"""WITH steps(run, q, z, n, delta) AS (VALUES {_STEPS}),
+orders AS (SELECT unnest(range(2, 65) || [{', '.join(map(str, privacy.ORDERS[63:]))}]) AS a),
+terms AS (SELECT run, q, z, n, delta, a, lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + k * ln(q) + (a - k) * ln(1 - q) + (k * k - k) / (2 * z * z) AS t
+          FROM steps, orders, LATERAL (SELECT unnest(range(a + 1)) AS k) WHERE q < 1),
+sampled AS (SELECT run, n, delta, a, greatest(0, (max(t) + ln(sum(exp(t - m)))) / (a - 1)) AS rdp FROM (SELECT *, max(t) OVER (PARTITION BY run, q, z, a) AS m FROM terms) GROUP BY run, q, z, n, delta, a),
+whole AS (SELECT run, n, delta, a, a / (2 * z * z) AS rdp FROM steps, orders WHERE q = 1),
+total AS (SELECT run, delta, a, sum(n * rdp) AS rdp FROM (FROM sampled UNION ALL FROM whole) GROUP BY ALL)
+SELECT run, round(min(rdp + ln(1 - 1 / a) - (ln(delta) + ln(a)) / (a - 1)), 6) AS epsilon FROM total GROUP BY run""")
 def privacy_accountant(spark, sf_dir):
     rows = [
         ("adult", privacy.training_epsilon(32561, 23, 1.1, 1600, 15, 1e-6)),
@@ -619,7 +638,36 @@ def privacy_accountant(spark, sf_dir):
         ("br2000", privacy.training_epsilon(38000, 29, 1.1, 1500, 14, 1e-6)),
         ("gauss", privacy.composed_epsilon([(1.0, 4.0, 1)], 1e-5)),
     ]
-    return spark.createDataFrame(rows, "run string, epsilon double")
+    return spark.createDataFrame([(name, round(epsilon, 6)) for name, epsilon in rows], "run string, epsilon double")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), d AS (SELECT n, 1 / power(10.0::DOUBLE, length(CAST(n AS VARCHAR)) + 1) AS delta FROM n)
+SELECT round(delta * 1e6, 9) AS delta_millionths, round(sqrt(2 * 2 * ln(1.25 / delta)) / 0.4, 9) AS sigma, round(n * sqrt(2 * ln(1.25 / delta)) / 0.2, 4) AS matrix_sigma FROM d""")
+def noise_scales(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    delta = privacy.delta_for(n)
+    row = (round(delta * 1e6, 9), round(privacy.gaussian_sigma(0.4, delta), 9), round(learning.matrix_sigma(n, 0.2, delta), 4))
+    return spark.createDataFrame([row], "delta_millionths double, sigma double, matrix_sigma double")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_there_and_back(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    path = f"{shared_folder(spark)}/customer-{uuid.uuid4().hex}"
+    save_table(customers, path, "csv", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    return read_csv(spark, path, customers.select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").schema)
+
+
+@query(f"""{_tvd_sql(1)}, d2 AS ({_tvd_sql(2).split('d AS (', 1)[1][:-1]}), syn AS (SELECT * FROM wide WHERE tid % 2 = 1)
+SELECT 'marginal_1' AS report, round(avg(tvd), 9) AS value FROM d UNION ALL SELECT 'marginal_2', round(avg(tvd), 9) FROM d2
+""" + "".join(f" UNION ALL SELECT 'violations {i}', CAST(n AS DOUBLE) FROM ({_pairs_sql(t, table='syn')})" for i, t in enumerate([BROKEN, EQ_ORDER, ONE_TUPLE])))
+def evaluation_reports(spark, sf_dir):
+    true, syn = _halves(spark, sf_dir)
+    rules = [dc(t) for t in (BROKEN, EQ_ORDER, ONE_TUPLE)]
+    found = evaluate.evaluate(true, syn, rules, PREPARED)
+    told = [found[f"marginal_{k}_average"].select(F.lit(f"marginal_{k}").alias("report"), F.round("avg_tvd", 9).alias("value")) for k in (1, 2)]
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(rules) for x in (str(c), f"violations {i}")])
+    return told[0].unionByName(told[1]).unionByName(found["violations"].select(number[F.col("dc")].alias("report"), F.col("n_vio").cast("double").alias("value")))
 
 
 @query(f"""WITH {ORDER_WIDE_SQL}, p AS (SELECT CAST(o_totalprice > 150000 AS INTEGER) AS l, CAST(c_acctbal > 4500 AS INTEGER) AS q FROM wide),
