@@ -156,13 +156,25 @@ def value_histogram(spark, sf_dir):
     return profile.histogram(order_wide(spark, sf_dir), "o_orderpriority")
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', 'categorical'), ('c_nationkey', 'categorical'), ('c_acctbal', 'numeric'), ('c_mktsegment', 'categorical'), ('n_name', 'categorical'), ('n_regionkey', 'categorical'), ('o_orderpriority', 'categorical'), ('o_totalprice', 'numeric'), ('o_orderstatus', 'categorical')) t(attr, role)")
+_IN_FD = ", ".join(f"'{c}'" for c in dict.fromkeys(a for t in FDS for a in dc(t).attributes))
+_WHOLE = ["c_custkey", "c_nationkey", "n_regionkey"]
+
+
+@query(f"WITH {ORDER_WIDE_SQL}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS attr, {c in NUMBERS + _WHOLE} AS number, {c in _WHOLE} AS whole, {f'CAST(max({c}) - min({c}) AS DOUBLE)' if c in NUMBERS + _WHOLE else 'max(0.0::DOUBLE)'} AS span FROM wide" for c in COLUMNS)
+       + f") SELECT attr, CASE WHEN number AND attr NOT IN ({_IN_FD}) AND NOT (whole AND span < 200) THEN 'numeric' ELSE 'categorical' END AS role FROM r")
 def attribute_roles(spark, sf_dir):
     found = profile.attribute_roles(order_wide(spark, sf_dir), [dc(t) for t in FDS], COLUMNS)
     return spark.createDataFrame(list(found.items()), "attr string, role string")
 
 
-@query("SELECT CAST(pos AS INTEGER) AS pos, attr FROM (VALUES (0, 'n_name'), (1, 'n_regionkey'), (2, 'c_custkey'), (3, 'c_nationkey'), (4, 'c_mktsegment'), (5, 'o_orderstatus'), (6, 'o_orderpriority'), (7, 'c_acctbal'), (8, 'o_totalprice')) t(pos, attr)")
+_SIDES = ", ".join(f"({i}, {side}, '{a}')" for i, t in enumerate(FDS) for side, op in enumerate(("=", "<>")) for a in dc(t).of(op))
+
+
+@query(f"""WITH {ORDER_WIDE_SQL}, sizes AS ({" UNION ALL ".join(f"SELECT '{c}' AS attr, {'max(100)' if c in NUMBERS else f'count(DISTINCT {c})'} AS size FROM wide" for c in COLUMNS)}),
+sides(fd, side, attr) AS (VALUES {_SIDES}), least AS (SELECT fd, min(size) AS least FROM sides JOIN sizes USING (attr) WHERE side = 0 GROUP BY 1),
+walk AS (SELECT attr, row_number() OVER (ORDER BY least, fd, side, size, attr) AS step FROM sides JOIN sizes USING (attr) JOIN least USING (fd)),
+held AS (SELECT attr, min(step) AS step FROM walk GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY step IS NULL, step, size, attr) - 1 AS INTEGER) AS pos, attr FROM sizes LEFT JOIN held USING (attr)""")
 def attribute_sequence(spark, sf_dir):
     order = profile.attribute_sequence(order_wide(spark, sf_dir), [dc(t) for t in FDS], COLUMNS, {"c_acctbal": 100, "o_totalprice": 100})
     return spark.createDataFrame(list(enumerate(order)), "pos int, attr string")
@@ -572,6 +584,14 @@ def synthesize_keeps_hard_dependency(spark, sf_dir):
     return violations.count_violations(_synthetic(spark, sf_dir), dc(FDS[3])).select(F.col("n_vio").cast("int"))
 
 
+@query(f"""WITH {ORDER_WIDE_SQL}, {_CDF.format('c_custkey')}, u AS (SELECT tid, {rng.uniform_sql(4, 'first.c_custkey', 'tid')} AS u FROM (SELECT unnest(range((SELECT count(*) FROM wide))) AS tid)),
+k AS (SELECT tid, value AS c_custkey FROM u JOIN d ON u >= lo AND u < hi) SELECT tid, k.c_custkey, customer.c_nationkey FROM k JOIN customer USING (c_custkey)""")
+def hard_dependency_rows(spark, sf_dir):
+    wide = order_wide(spark, sf_dir)
+    start = sampling.first_attribute(spark, wide, "c_custkey", wide.count(), 0.0, 4).select("tid", "c_custkey")
+    return constrained.hard_dependency(start, wide, "c_nationkey", ["c_custkey"], constrained.Settings()).select("tid", "c_custkey", "c_nationkey")
+
+
 @query("SELECT 0 AS n_vio")
 def hard_dependency_fill(spark, sf_dir):
     wide = order_wide(spark, sf_dir)
