@@ -86,7 +86,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 #: Blanks are bounded, so that long runs of them take linear time.
-_AT = re.compile(r"\s{1,3}at\s{1,3}|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?|@", re.I)
+_AT = re.compile(r"[aA][tT](?=[\s)\]}])|@")
+_BRACKETS = {"(": ")", "[": "]", "{": "}"}
 _SPELLED = r"\s{1,3}dot\s{1,3}|\s?\(dot\)\s?|\s?\[dot\]\s?|\s?\{dot\}\s?|\s?\[\.\]\s?|\s?\(\.\)\s?"
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_SPELLED})[A-Za-z0-9-]+)+", re.I)
 _DOT = re.compile(_SPELLED, re.I)
@@ -96,14 +97,27 @@ _LONG = re.compile(r"(?<![0-9A-Za-z])[0-9]{8,19}(?![0-9A-Za-z])")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def _blanks(text: str) -> str:
+    return text[: len(text) - len(text.lstrip())]
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data besides those of the rules; they may overlap."""
     out = []
     for m in _AT.finditer(text):
-        start = m.start()
+        begin, end = m.span()
+        if m[0] != "@":  # a word of its own, or in brackets
+            before, most = text[begin - 1 : begin], 3
+            if before in _BRACKETS and text[end] == _BRACKETS[before]:
+                begin, end, most = begin - 1, end + 1, 1
+            elif not (before.isspace() and text[end].isspace()):
+                continue
+            begin = begin - len(_blanks(text[max(0, begin - most) : begin][::-1]))
+            end = end + len(_blanks(text[end : end + most]))
+        start = begin
         while start and _LOCAL.match(text, start - 1):
             start -= 1
-        host = _HOST.match(text, m.end()) if start < m.start() else None
+        host = _HOST.match(text, end) if start < begin else None
         if host and (m[0] != "@" or _DOT.search(host[0])):
             out.append(("email", start, host.end()))
     for m in _QUAD.finditer(text):
