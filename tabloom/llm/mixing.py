@@ -1,8 +1,8 @@
 """Mixing of sources to target weights, by fixed-length blocks of tokens.
 
 The words of a source, document after document, are one stream, cut into blocks of ``block_words``.
-Output shards draw how many blocks they take from each source (a multinomial draw on what is left, so
-that the totals are exact). The slots of a source are numbered over all shards and mapped through a
+Output shards draw how many blocks they take from each source (multinomial draws given the sources' totals, so
+that these are exact; each task draws for its own shards). The slots of a source are numbered over all shards and mapped through a
 pseudorandom permutation of the source's block indices, pass after pass; a join on (source, block)
 brings the blocks in: each document is cut at the borders of its blocks, and the pieces meet the slots that take
 their block (``Mix.taken``). The mix's text by slot, its documents and the words taken of each document all come from
@@ -33,7 +33,9 @@ from pyspark.sql.types import StructType
 from tabloom.llm.common import checkpoint, table, text_slices
 
 WEIGHTS, SHARE, LIMIT = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_WORDS, BLOCKS_PER_SHARD, MAX_SOURCES, MAX_SHARDS, SEED = 256, 4096, 100_000, 10_000, 20
+BLOCK_WORDS, BLOCKS_PER_SHARD, MAX_SOURCES, SHARDS_PER_TASK, SEED = 256, 4096, 100_000, 256, 20
+#: Below so many slots draws are hypergeometric, which is what numpy can do.
+EXACT_SLOTS = 10**9
 #: Rows of one hash chunk of a source; the square root of the source's rows if that is more.
 CHUNK_ROWS = 5000
 
@@ -86,19 +88,39 @@ def permuted(i: np.ndarray, n: int, key: str, inverse: bool = False) -> np.ndarr
     return out.astype(np.int64)
 
 
-def shard_draws(blocks: list[int], per_shard: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) that each output shard (rows) takes; columns sum to `blocks`."""
-    left = np.array(blocks, np.int64)
-    rng, rows = np.random.default_rng(seed), []
-    while left.sum():
-        n = min(per_shard, int(left.sum()))
-        drawn = np.zeros_like(left)
-        while (missing := n - drawn.sum()) > 0:  # what a source can't give is drawn again from the rest
-            rest = left - drawn
-            drawn += np.minimum(rng.multinomial(missing, rest / rest.sum()), rest)
-        rows.append(drawn)
-        left = left - drawn
-    return np.array(rows, np.int64).reshape(len(rows), len(blocks))
+def _part(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `n` slots, drawn without putting back, each source's `have` slots give."""
+    total = int(have.sum())
+    if total < EXACT_SLOTS:
+        return rng.multivariate_hypergeometric(have, n, method="marginals")
+    out = np.floor(have * (n / total)).astype(np.int64)  # of so many, even shares; chance deals what is left over
+    while (missing := n - int(out.sum())) > 0:
+        rest = have - out
+        out += np.minimum(rng.multinomial(missing, rest / rest.sum()), rest)
+    return out
+
+
+def shard_draws(slots: list[int], per_shard: int, seed: int, first: int = 0, stop: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots it takes of each source, each source's slots before it) for shards `first` to `stop`.
+
+    Multinomial counts of the shards, given each source's total: halves of the range of shards are drawn one from another,
+    each by a seed of its own, so any task finds its shards without the others' draws."""
+    shards = -(-sum(slots) // per_shard)
+    stop = shards if stop is None else min(stop, shards)
+
+    def walk(a: int, b: int, have: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if a >= stop or b <= first:
+            return
+        if b - a == 1:
+            yield a, have, before
+            return
+        middle = (a + b) // 2
+        left = _part(have, (middle - a) * per_shard, np.random.default_rng([seed, a, b]))
+        yield from walk(a, middle, left, before)
+        yield from walk(middle, b, have - left, before + left)
+
+    if shards:
+        yield from walk(0, shards, np.array(slots, np.int64), np.zeros(len(slots), np.int64))
 
 
 SLOT = "src_no int, shard int, slot long, block long, words long"
@@ -155,33 +177,33 @@ def plan_mix(sizes: list[tuple[str | None, int]], block_words: int, per_shard: i
                 n += 1
         slots.append(p * b + n)
         cut.append(taken(n) - rest if rest else 0)
-    return {"names": [n for n, _ in ordered], "words": words, "targets": goal, "blocks": blocks, "slots": slots, "cut": cut, "draws": shard_draws(slots, max(per_shard, -(-sum(slots) // MAX_SHARDS)), seed)}
+    return {"names": [n for n, _ in ordered], "words": words, "targets": goal, "blocks": blocks, "slots": slots, "cut": cut, "per_shard": per_shard}
 
 
 def draw_slots(spark: SparkSession, plan: dict, block_words: int, seed: int) -> DataFrame:
     """One row for each slot of the mix: shard, source, the block it takes and how many of the block's words."""
-    starts = np.cumsum(plan["draws"], axis=0) - plan["draws"]
-    shared = spark.sparkContext.broadcast({**plan, "starts": starts})
-    n = len(plan["draws"])
+    shared = spark.sparkContext.broadcast(plan)  # a few numbers for each source, at most MAX_SOURCES
+    n = -(-sum(plan["slots"]) // plan["per_shard"])
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                for i, count in enumerate(p["draws"][shard]):
-                    if not count:
-                        continue
-                    slot = np.arange(p["starts"][shard][i], p["starts"][shard][i] + count, dtype=np.int64)
-                    b, s = p["blocks"][i], p["words"][i]
-                    block = np.empty(len(slot), np.int64)
-                    for turn in np.unique(slot // b):
-                        own = slot // b == turn
-                        block[own] = permuted(slot[own] % b, b, f"{seed}|{i}|{turn}")
-                    words = np.minimum(block_words, s - block * block_words)
-                    words[slot == p["slots"][i] - 1] -= p["cut"][i]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), i, np.int32)), pa.array(np.full(len(slot), shard, np.int32)), pa.array(slot), pa.array(block), pa.array(words)], schema=_SLOT)
-
-    return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism * 4))).mapInArrow(slots, SLOT)
+            ids = batch.column(0).to_numpy()  # neighbours
+            for shard, draws, starts in shard_draws(p["slots"], p["per_shard"], seed, int(ids[0]), int(ids[-1]) + 1):
+                source = np.repeat(np.arange(len(draws)), draws)
+                slot = np.arange(len(source)) - np.repeat(np.cumsum(draws) - draws - starts, draws)
+                block, words = np.empty(len(slot), np.int64), np.empty(len(slot), np.int64)
+                for i in np.flatnonzero(draws):
+                    b, s, of = p["blocks"][i], p["words"][i], slice(*np.searchsorted(source, [i, i + 1]))
+                    own, turns = slot[of], slot[of] // b
+                    for turn in np.unique(turns):
+                        block[of][turns == turn] = permuted(own[turns == turn] % b, b, f"{seed}|{i}|{turn}")
+                    words[of] = np.minimum(block_words, s - block[of] * block_words)
+                    words[of][own == p["slots"][i] - 1] -= p["cut"][i]
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(np.full(len(slot), shard), pa.int32()), pa.array(slot), pa.array(block), pa.array(words)], schema=_SLOT)
+
+    tasks = max(spark.sparkContext.defaultParallelism * 4, -(-n // SHARDS_PER_TASK))
+    return spark.range(0, n, 1, max(1, min(n, tasks))).mapInArrow(slots, SLOT)
 
 
 class Mix:

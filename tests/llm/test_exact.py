@@ -417,7 +417,15 @@ def test_mix_plan(sizes, block):
     plan = mixing.plan_mix([(f"s{i:03}", s) for i, s in enumerate(sizes)], block, 7, 1)
     assert all(t <= 2 * s + 1e-6 for t, s in zip(plan["targets"], sizes))
     assert abs(sum(plan["targets"]) - 1.5 * sum(sizes)) < 1e-6 * max(1, sum(sizes))
-    assert plan["draws"].sum(0).tolist() == plan["slots"] if sum(sizes) else True
+    draws = list(mixing.shard_draws(plan["slots"], 7, 1))
+    assert sum((d for _, d, _ in draws), np.zeros(len(sizes), np.int64)).tolist() == plan["slots"]
+    assert [d.sum() for _, d, _ in draws[:-1]] == [7] * (len(draws) - 1)
+    before = np.zeros(len(sizes), np.int64)
+    for k, (shard, drawn, start) in enumerate(draws):
+        assert shard == k and (start == before).all() and (drawn >= 0).all()
+        before = before + drawn
+    one_by_one = [x for k in range(len(draws)) for x in mixing.shard_draws(plan["slots"], 7, 1, k, k + 1)]
+    assert [(k, d.tolist(), b.tolist()) for k, d, b in one_by_one] == [(k, d.tolist(), b.tolist()) for k, d, b in draws]
     for i, (s, t) in enumerate(zip(sizes, plan["targets"])):
         if not s:
             continue
@@ -434,6 +442,16 @@ def test_permutation():
         assert sorted(x.tolist()) == list(range(n)) and mixing.permuted(x, n, "k", inverse=True).tolist() == list(range(n))
 
 
+def test_draws_of_many_slots():
+    slots = [40 * 10**9, 0, 3, 5 * 10**9]
+    first = list(mixing.shard_draws(slots, 4096, 1, 0, 2))
+    last = list(mixing.shard_draws(slots, 4096, 1, -(-sum(slots) // 4096) - 1))
+    assert [d.sum() for _, d, _ in first] == [4096, 4096] and (first[1][2] == first[0][1]).all()
+    assert (last[0][1] + last[0][2]).tolist() == slots
+    shares = [d[0] / d.sum() for _, d, _ in mixing.shard_draws([3 * 10**6, 10**6], 400, 1)]
+    assert abs(np.mean(shares) - 0.75) < 1e-9 and abs(np.std(shares) / (0.75 * 0.25 / 400) ** 0.5 - 1) < 0.05  # as multinomial counts vary
+
+
 def test_mixing(docs, no_docs, rows):
     got = mixing.mix_sources(docs, block_words=16).collect()
     again = mixing.mix_sources(docs.repartition(3), block_words=16).collect()
