@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, language, mixing, pii, sharding, simhash, substrings, suffixes, topk, toxicity
+from tabloom.llm import decontamination, language, lines, mixing, pii, sharding, simhash, spelling, substrings, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_lines": lines.op12_lines,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
@@ -26,4 +28,6 @@ ORACLES: dict[str, Callable[[], str]] = {
     "op4_substrings": substrings.oracle,
     "op5_topk": topk.oracle,
     "op6_decontamination": decontamination.oracle,
+    "op11_spelling": spelling.oracle,
+    "op12_lines": lines.oracle,
 }
