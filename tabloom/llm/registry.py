@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontamination, language, lines, mixing, pii, sharding, simhash, spelling, substrings, suffixes, topk, toxicity
+from tabloom.llm import alignment, decontamination, language, lines, mixing, pii, sharding, simhash, spelling, substrings, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10_mixing,
     "op11_spelling": spelling.op11_spelling,
     "op12_lines": lines.op12_lines,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
