@@ -25,8 +25,8 @@ from tabloom.sources.shared import written
 
 LEAST_POINTS, LEAST_DOCS = 20, 3
 BLANKS = " \t\n\x0b\x0c\r"
-#: Bytes of text for each partition of hashes, and buckets of hashes for each partition.
-PART_BYTES, BUCKETS_EACH = 64 << 20, 64
+#: Lines for each partition of hashes, and buckets of hashes for each partition.
+PART_LINES, BUCKETS_EACH = 1 << 20, 64
 _LEAST_LONG = -(1 << 63)
 
 
@@ -55,17 +55,18 @@ def long_keys(docs: DataFrame, least: int) -> DataFrame:
 def keep_bitmaps(docs: DataFrame, least: int = LEAST_POINTS, docs_least: int = LEAST_DOCS) -> DataFrame:
     """(d, t, keep) of the documents that lose lines; keep: words of 64 lines, bits of kept lines set; words that aren't listed are kept whole."""
     spark = docs.sparkSession
-    size, lines = docs.agg(F.sum(F.octet_length("text")), F.sum(F.size(split_lines()))).first()
-    parts = parallelism(spark, size or 0, PART_BYTES)
-    keys = long_keys(docs, least).withColumn("b", F.pmod("h", F.lit(parts * BUCKETS_EACH)))
-    hot = keys.groupBy("b").count().filter(F.col("count") > (lines or 0) / (2 * parts)).select("b", F.lit(True).alias("hot"))
+    keys = written(long_keys(docs, least), "lines")  # read three times: to count, to find the bounds of ranges and to sort
+    lines = keys.count()
+    parts = parallelism(spark, lines, PART_LINES)
+    keys = keys.withColumn("b", F.pmod("h", F.lit(parts * BUCKETS_EACH)))
+    hot = keys.groupBy("b").count().filter(F.col("count") > lines / (2 * parts)).select("b", F.lit(True).alias("hot"))
     dealt = keys.join(F.broadcast(hot), "b", "left").withColumn("hot", F.col("hot").isNotNull())  # 2 * parts rows at most
     dealt = dealt.select("h", "h2", F.when(F.col("hot"), F.pmod(F.xxhash64("d"), F.lit(parts))).otherwise(0).cast("int").alias("slice"), "d", "t", "pos", "hot")
     key = ["h", "h2", "slice"]
     ordered = dealt.repartitionByRange(parts, *key).sortWithinPartitions(*key, F.desc("d"), "pos")
     seen = ordered.withColumn("nth", F.dense_rank().over(Window.partitionBy(*key).orderBy(F.desc("d")))).withColumn("docs", F.max("nth").over(Window.partitionBy(*key)))
     goes = (F.col("nth") > 1) & (F.col("docs") >= docs_least)
-    found = written(seen.filter(F.col("hot") | goes).select(*key, "d", "t", "pos", "hot", "nth"), "lines")
+    found = written(seen.filter(F.col("hot") | goes).select(*key, "d", "t", "pos", "hot", "nth"), "told")
 
     sliced = found.filter("hot").groupBy(*key).agg(F.max("nth").alias("n"), F.max("d").alias("top"))
     whole = Window.partitionBy("h", "h2")
