@@ -37,8 +37,8 @@ from tabloom.sources.shared import written
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that share one row of distinct pairs, and salts of a pair.
-BATCH_BYTES, SALTS = 8 << 20, 16
+#: Bytes of text that are encoded and aligned at once, that share one row of distinct pairs, and salts of a pair.
+SLICE_BYTES, BATCH_BYTES, SALTS = 1 << 20, 8 << 20, 16
 #: Code points of a text that the second model encodes at once; longer texts are cut at blanks.
 PART_POINTS = 1 << 17
 #: How byte-level vocabularies split text before merging: a fixed value of the format.
@@ -169,40 +169,43 @@ def aligned_batches(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         (encode_a, bytes_a), (encode_b, bytes_b) = byte_encoder(a_path), piece_encoder(b_path)
         length_a, length_b = (np.array([len(x) for x in e], np.int64) for e in (bytes_a, bytes_b))
         wide = len(bytes_b)
-        names = {"most": max(len(bytes_a), wide)}
-        waiting: list[tuple[int | None, bytes]] = []
-        size = 0
+        names, span = {"most": max(len(bytes_a), wide)}, len(bytes_a) * wide
+        held: list[dict] = []
 
-        def made() -> pa.RecordBatch:
-            doc_ids, raw = [x for x, _ in waiting], [b" " + x if x else b"" for _, x in waiting]
-            n = len(raw)
+        def measured(ids: list, raw: list[bytes]) -> dict:
+            """What is kept of some documents: counts, digests, their distinct pairs."""
+            n, raw = len(raw), [b" " + x if x else b"" for x in raw]
             texts = [x.decode() for x in raw]
             (a, n_a), (b, n_b) = encode_a(texts), encode_b(texts)
             ok = _equal_bytes(a, n_a, bytes_a, raw) & _equal_bytes(b, n_b, bytes_b, raw)
             a, b, n_a, n_b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)], n_a * ok, n_b * ok
             doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
             group_a, group_b, link_a, link_b = align(a, b, length_a[a], length_b[b])
-            digests = group_digests(a, b, group_a, group_b, doc_a, doc_b, n, names)
             link_doc = doc_a[link_a]
-            keys, times = np.unique(link_doc * (len(bytes_a) * wide) + a[link_a].astype(np.int64) * wide + b[link_b], return_counts=True)
-            pairs, which, held = np.unique(keys % (len(bytes_a) * wide), return_inverse=True, return_counts=True)
-            counts = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(doc_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=n), "n_links": np.bincount(link_doc, minlength=n)}
-            distinct = np.bincount(keys // (len(bytes_a) * wide), minlength=n)
-            row = {"batch": uuid.uuid4().hex, "docs": _packed(distinct), "doc_ids": doc_ids, **{k: counts[k].tolist() for k in _COUNTS}, "digests": digests}
-            row |= {"pairs": _packed(pairs), "held": _packed(held), "which": _packed(which), "times": _packed(times)}
+            keys, times = np.unique(link_doc * span + a[link_a].astype(np.int64) * wide + b[link_b], return_counts=True)
+            groups = np.bincount(doc_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=n)
+            found = {"doc_ids": ids, "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": np.bincount(link_doc, minlength=n)}
+            found["digests"] = group_digests(a, b, group_a, group_b, doc_a, doc_b, n, names)
+            return found | {"docs": np.bincount(keys // span, minlength=n), "pairs": keys % span, "times": times}
+
+        def made() -> pa.RecordBatch:
+            every = {c: np.concatenate([x[c] for x in held]) for c in (*_COUNTS, "docs", "pairs", "times")}
+            pairs, which, often = np.unique(every["pairs"], return_inverse=True, return_counts=True)
+            row = {"batch": uuid.uuid4().hex, "docs": _packed(every["docs"]), **{c: every[c].tolist() for c in _COUNTS}}
+            row |= {c: list(itertools.chain.from_iterable(x[c] for x in held)) for c in ("doc_ids", "digests")}
+            row |= {"pairs": _packed(pairs), "held": _packed(often), "which": _packed(which), "times": _packed(every["times"])}
+            held.clear()
             return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
+        size = 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, _, raw in text_slices(batch.column(1), BATCH_BYTES // 4):
-                for k, x in enumerate(raw):
-                    waiting.append((ids[i + k], x))
-                    size += len(x)
-                    if size >= BATCH_BYTES:
-                        yield made()
-                        waiting.clear()
-                        size = 0
-        if waiting:
+            for i, k, raw in text_slices(batch.column(1), SLICE_BYTES):
+                held.append(measured(batch.column(0).slice(i, k - i).to_pylist(), raw))
+                size += sum(map(len, raw))
+                if size >= BATCH_BYTES:
+                    yield made()
+                    size = 0
+        if held:
             yield made()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BATCH)
