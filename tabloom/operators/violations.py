@@ -4,10 +4,9 @@
 counts take the row as t1 against all others. A comparison with null never holds.
 
 Constraints without order predicates never form a pair: counts of equal groups, one for each subset of the <> attributes,
-are combined by inclusion and exclusion. With order predicates, keys of few rows are joined with a residual
-filter; keys of many rows (or no key at all) are cut into blocks of neighbouring tids, and pairs of blocks are compared in
-tiles, so no task holds a whole key. In a tile, up to two order predicates are counted by sorting; more, or <> besides, by comparing
-in strips.
+are combined by inclusion and exclusion. All others are counted by dominance (`dominance.py`): rows as t1 are queries, rows as t2 are points, each order predicate (and the order of tid) is an
+order in which a point must come before the query, whether it compares one attribute of both or two different ones; tests of one tuple filter queries or points. Only keys of few
+rows are joined with a residual filter. No block of rows meets another, and nothing is a nested loop.
 """
 
 from __future__ import annotations
@@ -15,17 +14,15 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.plans.constraint import DenialConstraint, shape
+from tabloom.operators.dominance import BLOCK_ROWS, Order, counts_before
+from tabloom.plans.constraint import DenialConstraint, Operand, Predicate, shape
 from tabloom.sources.shared import checkpoint
 
-#: Keys of more rows than this are compared in tiles of TILE_ROWS by TILE_ROWS.
-JOIN_ROWS, TILE_ROWS, STRIP = 1024, 32_768, 1 << 21
-_TEST = {"=": np.equal, "<>": np.not_equal, "<": np.less, ">": np.greater, "<=": np.less_equal, ">=": np.greater_equal}
+#: Pairs within keys of at most so many rows are joined.
+JOIN_ROWS = 1024
 
 
 def _named(columns: Sequence[str]) -> list:
@@ -79,149 +76,82 @@ def _subsets(eq: Sequence[str], iq: Sequence[str]) -> tuple[list[tuple[str, ...]
     return [s for s, g in sets.items() if g], [g for g in sets.values() if g]
 
 
-def _dominated(qx: np.ndarray, rx: np.ndarray, side_x: str, qy: np.ndarray, ry: np.ndarray, side_y: str) -> np.ndarray:
-    """For each query the points with x below it and y below it (sides: left for <, right for <=).
-
-    Points are sorted by x; a query's prefix splits into blocks of powers of two, which are sorted by y."""
-    order = np.argsort(rx, kind="stable")
-    ry = ry[order]
-    prefix = np.searchsorted(rx[order], qx, side_x)
-    low = min(int(ry.min(initial=0)), int(qy.min(initial=0)))
-    ry, qy = ry - low, qy - low
-    big = max(int(ry.max(initial=0)), int(qy.max(initial=0))) + 2
-    out, size, at = np.zeros(len(qx), np.int64), 1, np.arange(len(ry))
-    while size <= len(ry):
-        sel = np.flatnonzero(prefix & size)
-        if len(sel):
-            start = prefix[sel] // (2 * size) * (2 * size)
-            blocks = np.sort(at // size * big + ry)
-            out[sel] += np.searchsorted(blocks, start // size * big + qy[sel], side_y) - start
-        size *= 2
+def _sides(dc: DenialConstraint) -> tuple[list[Predicate], list[Predicate], list[tuple[Operand, str, Operand]]]:
+    """(predicates about t1 alone, about t2 alone, (operand of t1, operator, operand of t2) for the others)."""
+    one, two, both = [], [], []
+    for p in dc.predicates:
+        sides = {p.left.side, p.right.side}
+        if sides == {1, 2}:
+            both.append((p.left, p.op, p.right) if p.left.side == 1 else (p.right, p.oriented, p.left))
+        else:
+            (two if 2 in sides else one).append(p)
+    return one, two, both
+
+
+def _holds(predicates: Sequence[Predicate]) -> F.Column:
+    out = F.lit(True)
+    for p in predicates:
+        out = out & F.coalesce(p.column("t", "t"), F.lit(False))
     return out
 
 
-class _Comparison:
-    """Counts, for rows as t1, the rows as t2 that violate with them; keys are equal already, attributes are rank codes."""
-
-    def __init__(self, dc: DenialConstraint, columns: list[np.ndarray], tid: np.ndarray):
-        self.tid, self.columns = tid, columns
-        self.tests = [(i, p.oriented) for i, p in enumerate(dc.predicates) if p.oriented != "="]
-        self.sorted = len(self.tests) <= 2 and all(op != "<>" for _, op in self.tests)
-
-    def all_pairs(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Whatever their tids."""
-        if self.sorted:
-            # t1 < t2 asks for points above: codes are negated
-            turned = [(-self.columns[i] if op[0] == "<" else self.columns[i], "right" if op[-1] == "=" else "left") for i, op in self.tests]
-            (x, sx), (y, sy) = turned if len(turned) == 2 else (turned[0], (np.zeros_like(self.columns[0]), "right"))
-            return _dominated(x[one], x[two], sx, y[one], y[two], sy)
-        out, step = np.zeros(len(one), np.int64), max(1, STRIP // max(1, len(two)))
-        for k in range(0, len(one), step):
-            r = one[k : k + step]
-            ok = np.ones((len(r), len(two)), bool)
-            for i, op in self.tests:
-                ok &= _TEST[op](self.columns[i][r][:, None], self.columns[i][two][None, :])
-            out[k : k + step] = ok.sum(1)
-        return out
-
-    def within(self, rows: np.ndarray, mode: str) -> np.ndarray:
-        """Pairs of one block, in the order of `rows`."""
-        if mode == "ordered":
-            itself = np.ones(len(rows), bool)
-            for i, op in self.tests:
-                itself &= _TEST[op](self.columns[i][rows], self.columns[i][rows])
-            return self.all_pairs(rows, rows) - itself
-        order = rows[np.argsort(self.tid[rows], kind="stable")]
-        out = np.zeros(len(self.tid), np.int64)
-        size = 256
-        for a in range(0, len(order), size):  # small pieces outright, then doubled ones half against half
-            part = order[a : a + size]
-            ok = self.tid[part][:, None] < self.tid[part][None, :]
-            for i, op in self.tests:
-                ok &= _TEST[op](self.columns[i][part][:, None], self.columns[i][part][None, :])
-            out[part] += ok.sum(1)
-        while size < len(order):
-            for a in range(0, len(order) - size, 2 * size):
-                first, second = order[a : a + size], order[a + size : a + 2 * size]
-                out[first] += self.all_pairs(first, second)
-            size *= 2
-        return out[rows]
-
-
-def _tile(t: pa.Table, dc: DenialConstraint, mode: str, per_row: bool) -> pa.Table:
-    """Compare two blocks of one key, of which part 0 has the lower tids, or (part 2) a block with itself."""
-    side, tid = t.column("side_").to_numpy(), t.column("tid_").to_numpy()
-    codes = [np.unique(t.column(f"p{i}").to_pandas().to_numpy(), return_inverse=True)[1].astype(np.int64) for i in range(len(dc.predicates))]
-    compare, total = _Comparison(dc, codes, tid), np.zeros(t.num_rows, np.int64)
-    whole, a, b = np.flatnonzero(side == 2), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if len(whole):
-        total[whole] += compare.within(whole, mode)
-    elif len(a) and len(b):
-        total[a] += compare.all_pairs(a, b)
-        if mode == "ordered":
-            total[b] += compare.all_pairs(b, a)
-    if per_row:
-        sel = np.flatnonzero(total)
-        return pa.table({"tid": tid[sel], "n": total[sel]})
-    return pa.table({"tid": np.zeros(1, np.int64), "n": np.array([total.sum()])})
-
-
-def _ordered_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, per_row: bool, join_rows: int, tile_rows: int) -> DataFrame:
-    """(tid, n) partial counts for a constraint with order predicates; tid means nothing unless per_row."""
-    eq = dc.of("=")
-    rows = df.select(F.col(f"`{tid}`").cast("long").alias("tid_"), *[F.col(f"`{p.same_attribute}`").alias(f"p{i}") for i, p in enumerate(dc.predicates)])
-    rows = rows.na.drop(subset=[c for c in rows.columns if c != "tid_"])
-    keys = [f"p{i}" for i, p in enumerate(dc.predicates) if p.oriented == "="]
+def _pair_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, per_row: bool, join_rows: int, block_rows: int) -> DataFrame:
+    """(tid, n) partial counts for any constraint of two tuples; tid means nothing unless per_row.
+
+    Rows as t1 are queries, rows as t2 points; what is tested of one of them alone filters it. Equal operands make the key. In keys of few rows pairs are joined; in others the points of each
+    query are counted by dominance, and <> is what is left without what is equal."""
+    one, two, both = _sides(dc)
+    equal, other = [(a, b) for a, op, b in both if op == "="], [(a, b) for a, op, b in both if op == "<>"]
+    order = [(a, op, b) for a, op, b in both if op not in ("=", "<>")]
+    names = [*(f"e{i}_" for i in range(len(equal))), *(f"u{i}_" for i in range(len(other))), *(f"v{i}_" for i in range(len(order)))]
+    pairs = [*equal, *other, *((a, b) for a, _, b in order)]
+    id_ = F.col(f"t.`{tid}`").cast("long").alias("tid_")
+    roles = [df.alias("t").filter(_holds(tests)).select(id_, F.lit(k == 0).alias("query_"), *[p[k].column("t", "t").alias(c) for c, p in zip(names, pairs)]) for k, tests in ((0, one), (1, two))]
+    rows = roles[0].union(roles[1]).na.drop(subset=names) if names else roles[0].union(roles[1])
+    keys, test = names[: len(equal)], {"=": "=", "<>": "<>", "<": "<", ">": ">", "<=": "<=", ">=": ">="}
+    parts = []
     if keys:
         sizes = rows.groupBy(*keys).count().withColumnRenamed("count", "size_")
-        rows = rows.join(sizes, keys)
-    else:
-        rows = rows.withColumn("size_", F.lit(0))
-    parts = []
-    if eq:
-        small = rows.filter(F.col("size_") <= join_rows)
-        l, r = small.alias("l"), small.alias("r")
-        on = F.col("l.tid_") < F.col("r.tid_") if mode == "tid_ordered" else F.col("l.tid_") != F.col("r.tid_")
-        for i, p in enumerate(dc.predicates):
-            x, y = F.col(f"l.p{i}"), F.col(f"r.p{i}")
-            on = on & {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[p.oriented]
-        pairs = l.join(r, on)
-        counted = pairs.groupBy(F.col("l.tid_").alias("tid")).agg(F.count(F.lit(1)).alias("n")) if per_row else pairs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n")
-        parts.append(counted)
-        rows = rows.filter(F.col("size_") > join_rows)
-    # blocks are ranges of (key, tid), so that of two blocks of a key one has all the lower tids; their bounds are
-    # sampled, so the rows are written before anything is built on them
-    n = max(1, -(-rows.count() // tile_rows))
-    rows = checkpoint(rows.drop("size_").repartitionByRange(n, *keys, "tid_").withColumn("block_", F.spark_partition_id()))
-    met = rows.groupBy(*keys).agg(F.collect_set("block_").alias("others_"))
-    rows = rows.join(met.hint("merge"), keys) if keys else rows.join(F.broadcast(met))
-    rows = rows.withColumn("other_", F.explode("others_")).drop("others_")
-    rows = rows.withColumn("i_", F.least("block_", "other_")).withColumn("j_", F.greatest("block_", "other_"))
-    rows = rows.withColumn("side_", F.when(F.col("i_") == F.col("j_"), 2).when(F.col("block_") == F.col("i_"), 0).otherwise(1).cast("int"))
-    work = lambda t: _tile(t, dc, mode, per_row)
-    parts.append(rows.drop("block_", "other_").groupBy(*keys, "i_", "j_").applyInArrow(work, "tid long, n long"))
+        rows = checkpoint(rows.join(sizes, keys))
+        small = rows.filter(F.col("size_") <= 2 * join_rows)
+        on = F.expr("l.tid_ < r.tid_" if mode == "tid_ordered" else "l.tid_ <> r.tid_")
+        for c, op in [*((c, "=") for c in keys), *((f"u{i}_", "<>") for i in range(len(other))), *((f"v{i}_", test[op]) for i, (_, op, _) in enumerate(order))]:
+            on = on & F.expr(f"l.{c} {op} r.{c}")
+        met = small.filter("query_").alias("l").join(small.filter("not query_").alias("r"), on)
+        parts.append(met.groupBy(F.col("l.tid_").alias("tid")).agg(F.count(F.lit(1)).alias("n")) if per_row else met.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n"))
+        rows = rows.filter(F.col("size_") > 2 * join_rows).drop("size_")
+    # of a query t1 < t2 the points are larger: they come before it in descending order
+    orders = [Order(op[0] == "<", len(op) == 1) for _, op, _ in order]
+    if mode == "tid_ordered" or not orders:
+        rows = rows.withColumn(f"v{len(orders)}_", F.col("tid_") if mode == "tid_ordered" else F.lit(0))
+        orders.append(Order(True, mode == "tid_ordered"))
+    for k in range(len(other) + 1):
+        for some in itertools.combinations(range(len(other)), k):
+            found = counts_before(rows.select("tid_", "query_", *keys, *[f"u{i}_" for i in some], *[f"v{i}_" for i in range(len(orders))]), [*keys, *[f"u{i}_" for i in some]], orders, per_row, block_rows)
+            parts.append(found.select("tid", (F.col("n") * (-1) ** k).alias("n")))
+    if mode == "ordered":  # a row is no partner of its own
+        alone = df.alias("t").filter(_holds(dc.predicates)).select(id_)
+        alone = alone.join(rows.filter("query_").select("tid_"), "tid_", "left_semi").select(F.col("tid_").alias("tid"), F.lit(-1).cast("long").alias("n"))
+        parts.append(alone if per_row else alone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def count_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", mode: str = "tid_ordered", join_rows: int = JOIN_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def count_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", mode: str = "tid_ordered", join_rows: int = JOIN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row, ``n_vio`` (long)."""
     if mode not in ("tid_ordered", "ordered"):
         raise ValueError("mode is tid_ordered or ordered")
     kind = shape(dc)
     if kind == "one_tuple":
         return df.alias("t1").filter(dc.column("t1", "t2")).agg(F.count(F.lit(1)).alias("n_vio"))
-    if kind == "theta":
-        order = F.col(f"t1.`{tid}`") < F.col(f"t2.`{tid}`") if mode == "tid_ordered" else F.col(f"t1.`{tid}`") != F.col(f"t2.`{tid}`")
-        return df.alias("t1").join(df.alias("t2"), order & dc.column("t1", "t2")).agg(F.count(F.lit(1)).alias("n_vio"))
     if kind == "counts":
         return equal_group_pairs(df, [_item(dc)], mode).select(F.col("n").alias("n_vio"))
-    return _ordered_counts(df, dc, tid, mode, False, join_rows, tile_rows).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_vio"))
+    return _pair_counts(df, dc, tid, mode, False, join_rows, block_rows).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_vio"))
 
 
-def row_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", join_rows: int = JOIN_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def row_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", join_rows: int = JOIN_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tid, n) for every row: how many others it violates the constraint with, as t1."""
     ids = df.select(F.col(f"`{tid}`").cast("long").alias("tid"))
     kind = shape(dc)
@@ -241,12 +171,7 @@ def row_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", join_r
             found = found.join(sizes, keys) if keys else found.join(F.broadcast(sizes))
             total = total + F.lit(g) * (F.col(f"c{i}") - 1)
         return ids.join(found.select("tid", total.alias("n")), "tid", "left").select("tid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    if kind == "theta":
-        pairs = df.alias("t1").join(df.alias("t2"), (F.col(f"t1.`{tid}`") != F.col(f"t2.`{tid}`")) & dc.column("t1", "t2"))
-        partial = pairs.groupBy(F.col(f"t1.`{tid}`").cast("long").alias("tid")).agg(F.count(F.lit(1)).alias("n"))
-    else:
-        partial = _ordered_counts(df, dc, tid, "ordered", True, join_rows, tile_rows)
-    summed = partial.groupBy("tid").agg(F.sum("n").alias("n"))
+    summed = _pair_counts(df, dc, tid, "ordered", True, join_rows, block_rows).groupBy("tid").agg(F.sum("n").alias("n"))
     return ids.join(summed, "tid", "left").select("tid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -254,9 +179,7 @@ def violating_rows(df: DataFrame, dc: DenialConstraint, tid: str = "tid") -> Dat
     """The rows that violate the constraint, as t1, with any other (existence, not a count)."""
     if shape(dc) == "one_tuple":
         return df.alias("t1").filter(dc.column("t1", "t2"))
-    if dc.plain:
-        return df.join(row_violations(df, dc, tid).filter("n > 0").select(F.col("tid").alias(tid)), tid, "left_semi")
-    return df.alias("t1").join(df.alias("t2"), (F.col(f"t1.`{tid}`") != F.col(f"t2.`{tid}`")) & dc.column("t1", "t2"), "left_semi")
+    return df.join(row_violations(df, dc, tid).filter("n > 0").select(F.col("tid").alias(tid)), tid, "left_semi")
 
 
 def violation_matrix(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str = "tid") -> DataFrame:

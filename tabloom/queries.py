@@ -45,6 +45,11 @@ HOT_ORDER = "t1&t2&EQ(t1.c_mktsegment,t2.c_mktsegment)&GT(t1.o_totalprice,t2.o_t
 ORDER_ONLY = "t1&t2&LT(t1.o_totalprice,t2.o_totalprice)&GT(t1.c_acctbal,t2.c_acctbal)"
 RAW_ORDER = "t1&t2&LT(t1.o_totalprice,t2.o_totalprice)&GT(t1.o_orderdate,t2.o_orderdate)"
 MIXED = "t1&t2&IQ(t1.o_orderstatus,t2.o_orderstatus)&LTE(t1.c_acctbal,t2.c_acctbal)&GTE(t1.c_custkey,t2.c_custkey)&EQ(t1.c_nationkey,t2.c_nationkey)"
+IQ_ORDER = "t1&t2&IQ(t1.o_orderstatus,t2.o_orderstatus)&LT(t1.o_totalprice,t2.o_totalprice)"
+THREE_ORDERS = "t1&t2&LT(t1.o_totalprice,t2.o_totalprice)&GT(t1.c_acctbal,t2.c_acctbal)&LTE(t1.o_orderdate,t2.o_orderdate)"
+THETA = "t1&t2&LT(t1.o_totalprice,t2.c_acctbal)&GT(t1.o_orderdate,t2.o_orderdate)"
+THETA_KEY = "t1&t2&EQ(t1.n_regionkey,t2.c_nationkey)&GTE(t1.o_totalprice,t2.c_acctbal)&IQ(t1.o_orderstatus,t2.o_orderstatus)"
+THETA_CONSTANT = 't1&t2&EQ(t1.o_orderstatus,"F")&GT(t2.o_totalprice,250000)&LT(t1.c_acctbal,t2.c_acctbal)'
 ONE_TUPLE = 't1&GT(t1.o_totalprice,200000)&EQ(t1.o_orderstatus,"F")'
 ALL = [*FDS, BROKEN, TWO_IQ, EQ_ONLY, IQ_ONLY, EQ_ORDER, ONE_TUPLE]
 dc = DenialConstraint.parse
@@ -98,6 +103,12 @@ _count("vio_hot_key_order", HOT_ORDER)
 _count("vio_order_only", ORDER_ONLY)
 _count("vio_mixed", MIXED)
 _count("vio_one_tuple", ONE_TUPLE)
+_count("vio_iq_order", IQ_ORDER)
+_count("vio_three_orders", THREE_ORDERS)
+_count("vio_theta", THETA)
+_count("vio_theta_key", THETA_KEY)
+_count("vio_theta_constant", THETA_CONSTANT)
+_count("vio_theta_ordered_mode", THETA, "ordered")
 _count("vio_fd_ordered_mode", BROKEN, "ordered")
 _count("vio_eq_order_ordered_mode", EQ_ORDER, "ordered")
 
@@ -122,6 +133,21 @@ def row_violations_order(spark, sf_dir):
     return violations.row_violations(order_wide(spark, sf_dir), dc(EQ_ORDER))
 
 
+@query(_rows_sql(ORDER_ONLY))
+def row_violations_order_only(spark, sf_dir):
+    return violations.row_violations(order_wide(spark, sf_dir), dc(ORDER_ONLY))
+
+
+@query(_rows_sql(THETA_KEY))
+def row_violations_theta(spark, sf_dir):
+    return violations.row_violations(order_wide(spark, sf_dir), dc(THETA_KEY))
+
+
+@query(f"WITH {ORDER_WIDE_SQL} SELECT tid, o_totalprice FROM wide t1 WHERE EXISTS (SELECT 1 FROM wide t2 WHERE t1.tid <> t2.tid AND {dc(THETA).sql()})")
+def violating_rows_theta(spark, sf_dir):
+    return violations.violating_rows(order_wide(spark, sf_dir), dc(THETA)).select("tid", "o_totalprice")
+
+
 @query(f"WITH {ORDER_WIDE_SQL} SELECT tid, o_totalprice FROM wide t1 WHERE EXISTS (SELECT 1 FROM wide t2 WHERE t1.tid <> t2.tid AND {dc(EQ_ORDER).sql()})")
 def violating_rows(spark, sf_dir):
     return violations.violating_rows(order_wide(spark, sf_dir), dc(EQ_ORDER)).select("tid", "o_totalprice")

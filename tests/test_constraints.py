@@ -3,9 +3,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
-from tabloom.operators import violations
+from tabloom.operators import dominance, violations
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint, from_discovery, shape
 from tabloom.sources import files, tables
@@ -18,6 +19,12 @@ SHAPES = [
     "t1&t2&GTE(t1.x,t2.x)", "t1&t2&EQ(t2.a,t1.a)&LT(t2.x,t1.x)", "t1&t2&LT(t1.c,t2.c)&IQ(t1.b,t2.b)",
 ]
 
+#: Different attributes, constants, tests of one tuple alone, three orders, <> besides an order, nothing that ties the tuples.
+THETA = [
+    "t1&t2&LT(t1.a,t2.x)", "t1&t2&EQ(t1.a,t2.y-z)&GTE(t1.x,t2.a)", "t1&t2&LT(t1.a,t2.x)&GT(t1.x,t2.y-z)&IQ(t1.b,t2.c)", 't1&t2&GT(t1.x,2)&LTE(t2.y-z,t1.a)&EQ(t2.b,"p")',
+    "t1&t2&LT(t1.x,t2.x)&GT(t1.y-z,t2.y-z)&LTE(t1.a,t2.a)", "t1&t2&GT(t1.x,2)&LT(t2.a,3)", "t1&t2&IQ(t1.a,t2.y-z)&IQ(t1.b,t2.b)", "t1&t2&LTE(t1.x,t2.x)&GTE(t1.a,t2.a)", "t1&t2&EQ(t1.b,t2.b)&EQ(t1.a,t2.x)&LTE(t1.x,t2.y-z)", "t1&t2&LTE(t1.a,t1.x)&GT(t1.x,t2.a)",
+]
+
 
 @pytest.fixture(scope="module")
 def table():
@@ -55,23 +62,57 @@ def test_discovered():
     assert str(from_discovery("t0.a>=t1.longer")) == "t1&t2&GTE(t1.a,t2.longer)"
 
 
-@pytest.mark.parametrize("text", SHAPES)
+@pytest.mark.parametrize("text", [*SHAPES, *THETA])
 @pytest.mark.parametrize("mode", ["tid_ordered", "ordered"])
 def test_counts(df, table, text, mode):
     c = dc(text)
     want = sum(holds(c, s, t) for s, t in itertools.permutations(table, 2) if mode == "ordered" or s[0] < t[0])
     for join_rows, tile_rows in ((1024, 16384), (5, 7)):
-        assert violations.count_violations(df, c, mode=mode, join_rows=join_rows, tile_rows=tile_rows).first()[0] == want
+        assert violations.count_violations(df, c, mode=mode, join_rows=join_rows, block_rows=tile_rows).first()[0] == want
 
 
-@pytest.mark.parametrize("text", [*SHAPES, "t1&t2&LT(t1.a,t2.x)", "t1&GT(t1.x,2)"])
+@pytest.mark.parametrize("text", [*SHAPES, *THETA, "t1&GT(t1.x,2)"])
 def test_row_counts(df, table, text):
     c = dc(text)
     want = [(s[0], sum(holds(c, s, t) for t in table if t[0] != s[0]) if c.two_tuple else int(holds(c, s, s))) for s in table]
-    assert sorted(map(tuple, violations.row_violations(df, c, join_rows=5, tile_rows=7).collect())) == want
+    assert sorted(map(tuple, violations.row_violations(df, c, join_rows=5, block_rows=7).collect())) == want
     assert sorted(r.tid for r in violations.violating_rows(df, c).select("tid").collect()) == [i for i, n in want if n]
 
 
+def test_count_before():
+    r = np.random.default_rng(1)
+    for k, high in itertools.product((1, 2, 3, 4), (3, 40, 100_000)):
+        points, queries = ([r.integers(0, high, n) for _ in range(k)] for n in (700, 600))
+        want = np.all([p[:, None] < q[None, :] for p, q in zip(points, queries)], axis=0).sum(0)
+        assert (dominance.count_before(points, queries) == want).all()
+    assert dominance.count_before([np.zeros(0, int)], [np.zeros(3, int)]).tolist() == [0, 0, 0]
+
+
+@pytest.mark.parametrize("text", ["t1&t2&LT(t1.x,t2.x)&GTE(t1.y,t2.y)", "t1&t2&LTE(t1.y,t2.y)", "t1&t2&EQ(t1.k,t2.k)&LT(t1.x,t2.y)&LTE(t1.y,t2.x)", "t1&t2&IQ(t1.k,t2.k)&GT(t1.x,t2.x)"])
+def test_blocks_of_many_rows_and_common_values(spark, text):
+    """Blocks cut through values that most rows share, and through keys."""
+    r = np.random.default_rng(2)
+    n = 1500
+    x, y, k = np.where(r.random(n) < 0.6, 5, r.integers(0, 50, n)), r.integers(0, 4, n), np.where(r.random(n) < 0.7, 1, r.integers(0, 9, n))
+    data = spark.createDataFrame([(int(i), int(a), int(b), int(c)) for i, (a, b, c) in enumerate(zip(x, y, k))], "tid long, x int, y int, k int")
+    c, at = dc(text), {"x": x, "y": y, "k": k}
+    ok = ~np.eye(n, dtype=bool)
+    for p in c.predicates:
+        one, two = at[p.left.value], at[p.right.value]
+        ok &= {"=": np.equal, "<>": np.not_equal, "<": np.less, ">": np.greater, "<=": np.less_equal, ">=": np.greater_equal}[p.op](one[:, None], two[None, :])
+    for block_rows in (400, 10**6):
+        assert violations.count_violations(data, c, mode="ordered", join_rows=10, block_rows=block_rows).first()[0] == ok.sum()
+        assert violations.count_violations(data, c, join_rows=10, block_rows=block_rows).first()[0] == np.triu(ok).sum()
+        assert [r.n for r in violations.row_violations(data, c, join_rows=10, block_rows=block_rows).orderBy("tid").collect()] == ok.sum(1).tolist()
+
+
+@pytest.mark.parametrize("text", [SHAPES[6], THETA[0], THETA[2], THETA[5]])
+def test_no_nested_loop(df, text):
+    for made in (violations.count_violations(df, dc(text)), violations.row_violations(df, dc(text)), violations.violating_rows(df, dc(text))):
+        plan = made._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_empty_and_report(df):
     none = df.limit(0)
     assert [r.n_vio for r in violations.violation_report(none, [dc(t) for t in SHAPES[:5]]).collect()] == [0] * 5
