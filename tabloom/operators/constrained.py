@@ -4,14 +4,15 @@ Rows are filled in the order of tid: a row's candidates are reweighted by what t
 rows (the earlier row as t1, the candidate as t2), times exp(-weight). Rows interact only through two-tuple constraints that
 become complete at the target; where all of these compare a common, already generated attribute for equality, rows of
 different values never meet, so each value is a sequence of its own and the sequences run in parallel. Only where no such attribute
-exists is the whole table one sequence. A sequence is streamed, sorted by tid: a task keeps its tallies, not its rows.
+exists is the whole table one sequence. A sequence is streamed, sorted by tid: a task keeps tallies (order predicates: the values they compare), and rows only where
+the mcmc sampler redraws them. Rows carry no candidates: before its rows a task is told the shares of the combinations of parents among them.
 
 Where rows don't interact nothing is sequential: draws are joins on the model, the target of one hard dependency is
 its key's best value, and a number in a dependency is its model's mean. Every constraint acts: also those of one tuple, of constants and between different attributes. Candidates
 are all that the model gives, unless ``page`` asks for pages of the most likely values; where they all violate, the whole domain.
 
 Three samplers: ``default`` draws from the reweighted candidates, or takes the best one if the target is in a
-dependency; ``ar`` draws a candidate and accepts it with probability exp(-load); ``mcmc`` redraws, after the default pass, a share
+dependency, and for the first row of the table (not of each sequence); ``ar`` draws a candidate and accepts it with probability exp(-load); ``mcmc`` redraws, after the default pass, a share
 of the cells in the order of tid, each given all other rows as they then are.
 """
 
@@ -23,8 +24,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabloom.functions import privacy, rng
 from tabloom.functions.rng import keyed
@@ -73,9 +77,30 @@ def sequence_keys(dcs: Sequence[DenialConstraint], target: str) -> list[str]:
 class Sequencer:
     """The sequential part: runs inside a task over rows sorted by key and tid."""
 
-    def __init__(self, target: str, dcs: Sequence[DenialConstraint], weights: Sequence[float], settings: Settings, numeric: bool):
-        self.target, self.dcs, self.weights, self.settings, self.numeric = target, list(dcs), list(weights), settings, numeric
+    def __init__(self, target: str, dcs: Sequence[DenialConstraint], weights: Sequence[float], settings: Settings, numeric: bool, first: int | None, parents: int = 0):
+        self.target, self.dcs, self.weights, self.settings, self.numeric, self.first = target, list(dcs), list(weights), settings, numeric, first
         self.greedy = any(dc.is_fd for dc in dcs)
+        self.parents, self.shares, self.sorted = [f"k{i}_" for i in range(parents)], {}, {}
+
+    def learn(self, told: pa.RecordBatch) -> None:
+        """Shares of values, for the parents that this task's rows have and for the whole domain (kind 1)."""
+        columns = [told.column(c).to_pylist() for c in ("kind_", "val_", "p_", *self.parents)]
+        for kind, value, p, *key in zip(*columns):
+            self.shares.setdefault(None if kind else tuple(key), []).append((p, value))
+
+    def candidates(self, key: tuple | None) -> tuple[list, np.ndarray]:
+        """(values, shares), best first; the whole domain for None and for parents that the model doesn't know."""
+        if key not in self.sorted:
+            found = sorted(self.shares.get(key, ()), reverse=True)
+            if key is not None and not found:
+                return self.candidates(None)
+            if key is not None and self.settings.page:
+                found = found[: self.settings.page * TRIES]
+            self.sorted[key] = [v for _, v in found], np.array([p for p, _ in found], float)
+        return self.sorted[key]
+
+    def given(self, row: Mapping) -> tuple[list, np.ndarray]:
+        return self.candidates(tuple(None if row[k] != row[k] else row[k] for k in self.parents))
 
     def load(self, seen: Sequence[Tally], row: Mapping, values: Sequence) -> np.ndarray:
         """Weighted violations of each candidate value with the rows seen."""
@@ -96,13 +121,13 @@ class Sequencer:
                 p = np.exp(-0.5 * np.array(z) ** 2) / spread
                 yield [min(max(row["mu_"] + spread * a, row["lo_"]), row["hi_"]) for a in z], p / p.sum()
             return
-        values, p = list(row["values_"]), np.array(row["p_"], float)
+        values, p = self.given(row)
         size = self.settings.page or len(values)
         for a in range(0, min(len(values), size * TRIES), size):
             yield values[a : a + size], p[a : a + size]
-        yield list(row["all_"]), np.array(row["all_p_"], float)
+        yield self.candidates(None)
 
-    def choose(self, seen: Sequence[Tally], row: Mapping, tid: int, stream: str, first: bool):
+    def choose(self, seen: Sequence[Tally], row: Mapping, tid: int, stream: str, first: bool = False):
         """A value for one cell. If no candidate the model gives is clean, the whole domain is tried; if that has none either, the
         first page's unweighted shares decide."""
         if self.settings.sampler == "ar" and not self.numeric:
@@ -121,21 +146,28 @@ class Sequencer:
         return self.pick(*fallback, tid, stream, first)
 
     def accept(self, seen: Sequence[Tally], row: Mapping, tid: int, stream: str):
-        """Draw and accept with probability exp(-load), first from the model, then from the whole domain; each value's load is worked
-        out once. The last draw stays if none is accepted."""
-        for part, (values, p) in enumerate(((row["values_"], row["p_"]), (row["all_"], row["all_p_"]))):
-            cdf, loads = np.cumsum(p) / np.sum(p), {}
-            for attempt in range(AR_TRIES * part, AR_TRIES * (part + 1)):
-                k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
-                if k not in loads:
-                    loads[k] = math.exp(-min(self.load(seen, row, [values[k]])[0], HARD_LOAD))
-                if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
-                    return values[k]
-        return values[k]
+        """Draw and accept with probability exp(-load); each value's load is worked out once. What is accepted in the end has probability p * exp(-load), up to a factor: after
+        AR_TRIES refusals it is drawn from that, first among the model's values, then in the whole domain; if nothing can be accepted, from the model's shares."""
+        values, p = self.given(row)
+        cdf, loads = np.cumsum(p) / np.sum(p), {}
+        for attempt in range(AR_TRIES):
+            k = min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.ar{attempt}", tid), "right")), len(values) - 1)
+            if k not in loads:
+                loads[k] = math.exp(-min(self.load(seen, row, [values[k]])[0], HARD_LOAD))
+            if keyed(self.settings.seed, f"{stream}.accept{attempt}", tid) < loads[k]:
+                return values[k]
+        for some, share in (values, p), self.candidates(None):
+            q = share * np.exp(-np.minimum(self.load(seen, row, some), HARD_LOAD))
+            if q.sum() > 1e-300:
+                return self.drawn(some, q, tid, stream)
+        return self.drawn(values, p, tid, stream)
 
     def pick(self, values: list, q: np.ndarray, tid: int, stream: str, first: bool):
         if self.greedy or first:
             return values[int(np.argmax(q))]
+        return self.drawn(values, q, tid, stream)
+
+    def drawn(self, values: list, q: np.ndarray, tid: int, stream: str):
         cdf = np.cumsum(q) / q.sum()
         return values[min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.pick", tid), "right")), len(values) - 1)]
 
@@ -144,14 +176,15 @@ class Sequencer:
         steps = self.settings.steps
         return int(steps) + (keyed(self.settings.seed, f"mcmc.{self.target}", tid) < steps - int(steps))
 
-    def stream(self, batches: Iterator[pd.DataFrame], keys: Sequence[str], names: Sequence[str]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by keys and tid, filled; a sequence starts where the keys change."""
+    def stream(self, batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str], kept: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """What the task is told of the model, then rows sorted by keys and tid, filled; a sequence starts where the keys change."""
         mcmc, made = self.settings.sampler == "mcmc", "float64" if self.numeric else "object"
         key, seen, held = None, [], []
 
-        def frame(rows: list[Mapping], like: pd.DataFrame) -> pd.DataFrame:
+        def frame(rows: list[Mapping], like: pd.DataFrame) -> pa.RecordBatch:
             out = {c: pd.Series([r[c] for r in rows], dtype=like[c].dtype) for c in names if c != self.target}
-            return pd.DataFrame({**out, self.target: pd.Series([r[self.target] for r in rows], dtype=made)})[list(names)]
+            whole = pd.DataFrame({**out, self.target: pd.Series([r[self.target] for r in rows], dtype=made)})[list(names)]
+            return pa.RecordBatch.from_pandas(whole, schema=kept, preserve_index=False)
 
         def ended() -> list[Mapping]:
             """The cells of a finished sequence that are drawn again, pass by pass in the order of tid."""
@@ -161,22 +194,28 @@ class Sequencer:
                         continue
                     for tally in seen:
                         tally.add(row, row[self.target], -1)
-                    row[self.target] = self.choose(seen, row, row["tid"], f"mcmc.{self.target}.{turn}", False)
+                    row[self.target] = self.choose(seen, row, row["tid"], f"mcmc.{self.target}.{turn}")
                     for tally in seen:
                         tally.add(row, row[self.target])
             return held
 
         last = None
-        for pdf in batches:
+        for batch in batches:
+            if not self.numeric:
+                told = batch.column("kind_").to_numpy() < 2
+                if told.any():
+                    self.learn(batch.filter(pa.array(told)))
+                batch = batch.filter(pa.array(~told))
+            if not batch.num_rows:
+                continue
+            pdf = batch.to_pandas()
             out, last = [], pdf
             for row in pdf.to_dict("records"):
                 at = tuple(row[k] for k in keys)
                 if at != key or not seen:
                     out += ended()
                     key, held, seen = at, [], [Tally(dc, self.target) for dc in self.dcs]
-                    first = True
-                row[self.target] = self.choose(seen, row, row["tid"], f"fill.{self.target}", first)
-                first = False
+                row[self.target] = self.choose(seen, row, row["tid"], f"fill.{self.target}", row["tid"] == self.first)
                 for tally in seen:
                     tally.add(row, row[self.target])
                 (held if mcmc and self.redrawn(row["tid"]) else out).append(row)
@@ -246,22 +285,48 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
                 rows = sampling.draw(rows, sampling.distribution(plain.fit(true), "val", "p"), "a_", settings.seed, f"{stream}.pick")
                 rows = rows.withColumn(target, F.coalesce(F.col(f"`{target}`"), F.col("a_")))
             return rows.select(*named, F.col(f"`{target}`"))
-        top = settings.page * TRIES or None
-        found = model.candidates(cells, top).select(*keys_of, F.col("candidates").alias("c_"))
-        rows = syn.join(found, _same(parents), "left")
-        whole = plain.candidates(plain.fit(true), None).select(F.col("candidates").alias("a_"))
-        rows = rows.join(F.broadcast(whole)).withColumn("c_", F.coalesce("c_", "a_"))
-        rows = rows.select(*named, F.col("c_.val").alias("values_"), F.col("c_.p").alias("p_"), F.col("a_.val").alias("all_"), F.col("a_.p").alias("all_p_"))
     types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes) + f", `{target}` {'double' if numeric else dict(true.dtypes)[target]}"
-    work, names = Sequencer(target, dcs, weights, settings, numeric), [*syn.columns, target]
-    keys = sequence_keys(dcs, target)
-    if not any(dc.two_tuple for dc in dcs):  # each row is a sequence of its own
-        return rows.mapInPandas(lambda batches: work.stream(batches, ["tid"], names), types)
+    keys, names, kept = sequence_keys(dcs, target), [*syn.columns, target], to_arrow_schema(StructType.fromDDL(types))
+    work = Sequencer(target, dcs, weights, settings, numeric, syn.agg(F.min("tid")).first()[0], len(parents))
+    alone = not any(dc.two_tuple for dc in dcs)  # each row is a sequence of its own
+    if alone:
+        keys = ["tid"]
     by = [F.col(f"`{k}`") for k in keys]
     # the number is given, so that adaptive execution does not merge partitions that are small but slow
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
-    rows = rows.repartition(parts, *by).sortWithinPartitions(*by, "tid")
-    return rows.mapInPandas(lambda batches: work.stream(batches, keys, names), types)
+    parts = int(syn.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
+    if not numeric:
+        # rows of equal parents go together if nothing else says where they go, a few salts apart
+        near = [F.xxhash64(*[F.col(f"`{c}`") for c in parents], F.pmod("tid", F.lit(SALTS)))] if alone else [F.xxhash64(*by)]
+        rows = _with_model(syn, F.pmod(*near, F.lit(parts)).cast("int") if keys else F.lit(0), parts, parents, cells, plain.fit(true), dict(true.dtypes)[target])
+        rows = rows.repartitionById(parts, "part_").sortWithinPartitions("kind_", *by, "tid")
+    elif not alone:
+        rows = rows.repartition(parts, *by).sortWithinPartitions(*by, "tid")
+    return rows.mapInArrow(lambda batches: work.stream(batches, keys, names, kept), types)
+
+
+#: Where rows go by their parents, the partitions that share a combination of parents.
+SALTS = 16
+
+
+def _with_model(syn: DataFrame, part: F.Column, parts: int, parents: Sequence[str], cells: DataFrame, whole: DataFrame, kind: str) -> DataFrame:
+    """Rows (kind 2) and, for each of their partitions, the shares that they need: those of the parents' combinations that it holds (kind 0), and of the whole domain (kind 1).
+
+    So a row carries its own values only, whatever the size of the domain."""
+    named, ks = [F.col(f"`{c}`") for c in syn.columns], [f"k{i}_" for i in range(len(parents))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in syn.dtypes]
+    rows = syn.select(part.alias("part_"), F.lit(2).alias("kind_"), *[F.col(f"`{c}`").alias(k) for c, k in zip(parents, ks)], F.lit(None).cast(kind).alias("val_"), F.lit(None).cast("double").alias("p_"), *named)
+    asked = rows.select("part_", *[F.col(k).alias(f"a{k}") for k in ks]).distinct()
+    on = F.lit(True)
+    for c, k in zip(parents, ks):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"a{k}"))
+    shares = cells.filter("p > 0")
+    if parents:
+        told = asked.join(shares, on).select("part_", F.lit(0).alias("kind_"), *[F.col(f"a{k}").alias(k) for k in ks], F.col("val").alias("val_"), F.col("p").alias("p_"), *none)
+    else:
+        told = shares.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_"), F.lit(0).alias("kind_"), F.col("val").alias("val_"), F.col("p").alias("p_"), *none)
+    lacking = [F.lit(None).cast(dict(rows.dtypes)[k]).alias(k) for k in ks]
+    every = whole.filter("p > 0").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_"), F.lit(1).alias("kind_"), *lacking, F.col("val").alias("val_"), F.col("p").alias("p_"), *none)
+    return rows.unionByName(told).unionByName(every)
 
 
 def _same(parents: Sequence[str]):
