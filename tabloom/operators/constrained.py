@@ -229,7 +229,11 @@ def _parents_of(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence
     kinds = dict(true.dtypes)
     done = [c for c in done if kinds.get(c) not in ("double", "float")]
     fds = [a for dc in dcs if dc.is_fd and dc.plain and target in dc.of("<>") for a in dc.of("=")]
-    near = None if fds else most_informative(true, target, done, settings.sigma_choice, settings.seed, bounds)
+    sizes = None
+    if settings.sigma_choice and done and not fds:  # of the public domains; what isn't given counts as public
+        known = domains(true, [c for c in [*done, target] if c not in settings.domains])
+        sizes = known | {c: len(settings.domains[c]) for c in [*done, target] if c in settings.domains}
+    near = None if fds else most_informative(true, target, done, settings.sigma_choice, settings.seed, bounds, sizes)
     return tuple(dict.fromkeys(fds)) or ((near,) if near else ())
 
 
@@ -363,7 +367,7 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
         numeric = [c for c in numeric if c not in small]
     if start is None:
         n = true.count() if n is None else n
-        syn = sampling.first_attribute(true.sparkSession, true, order[0], n, settings.sigma_first, settings.seed).select("tid", order[0])
+        syn = sampling.first_attribute(true.sparkSession, true, order[0], n, settings.sigma_first, settings.seed, settings.domains.get(order[0])).select("tid", order[0])
     else:
         syn = start
         order = [c for c in syn.columns if c != "tid"] + [c for c in order if c not in syn.columns]

@@ -124,14 +124,12 @@ def information_sensitivity(rows: int) -> float:
     return 2 / n * math.log((n + 1) / 2) + (n - 1) / n * math.log((n + 1) / (n - 1))
 
 
-def most_informative(true: DataFrame, target: str, among: Sequence[str], sigma: float = 0.0, seed: int = 0, bounds: tuple[float, float] | None = None) -> str | None:
-    """The attribute with the highest mutual information with the target; all pairs are counted in one scan.
+def information(true: DataFrame, target: str, among: Sequence[str], bounds: tuple[float, float] | None = None, sizes: Mapping[str, int] | None = None) -> DataFrame:
+    """(attr, g): the mutual information of each attribute with the target (natural logarithm); all pairs are counted in one scan.
 
-    What two independent attributes of these sizes would show by chance is subtracted, else an attribute of very many values would
-    always win; None if nothing is left. A numeric target is cut into 16 bins of its bounds. With `sigma`, each
-    attribute's information gets noise of that scale before the highest is taken."""
-    if not among:
-        return None
+    What two independent attributes would show by chance is subtracted, else an attribute of very many values would
+    always win. With `sizes` (of the public domains, the target's included) that depends on nothing in the table, so that exchanging a row moves g by no more than `information_sensitivity`; without,
+    occupied values are counted. A numeric target is cut into 16 bins of its bounds (17 values, as the maximum is one of its own)."""
     at = {c: f"a{i}" for i, c in enumerate(among)}
     t = F.col(f"`{target}`") if bounds is None else binned(F.col(f"`{target}`").cast("double"), *bounds, 16)
     rows = true.select(*[F.col(f"`{c}`").cast("string").alias(a) for c, a in at.items()], t.cast("string").alias("t_")).na.drop()
@@ -142,9 +140,21 @@ def most_informative(true: DataFrame, target: str, among: Sequence[str], sigma:
     terms = [(cells, "n", "joint"), (by_value, "s", "value"), (by_target, "s", "target")]
     sums = [d.groupBy("attr").agg(F.sum(F.col(c) * F.log(c)).alias(f"{k}_h"), F.count(F.lit(1)).alias(f"{k}_m"), F.sum(c).alias(f"{k}_n")) for d, c, k in terms]
     told = sums[0].join(sums[1], "attr").join(sums[2], "attr")
-    n = F.col("joint_n")
-    gain = (F.col("joint_h") - F.col("value_h") - F.col("target_h")) / n + F.log(n) - (F.col("value_m") - 1) * (F.col("target_m") - 1) / (2 * n)
+    n, values, targets = F.col("joint_n"), F.col("value_m"), F.col("target_m")
+    if sizes is not None:
+        values, targets = F.element_at(F.create_map(*[x for c in among for x in (F.lit(c), F.lit(int(sizes[c])))]), F.col("attr")), F.lit(17 if bounds is not None else int(sizes[target]))
+    return told.select("attr", ((F.col("joint_h") - F.col("value_h") - F.col("target_h")) / n + F.log(n) - (values - 1) * (targets - 1) / (2 * n)).alias("g"))
+
+
+def most_informative(true: DataFrame, target: str, among: Sequence[str], sigma: float = 0.0, seed: int = 0, bounds: tuple[float, float] | None = None, sizes: Mapping[str, int] | None = None) -> str | None:
+    """The attribute that tells most about the target; None if none tells more than chance would. With `sigma`, each
+    attribute's information gets noise of that scale before the highest is taken, and the sizes of the public domains must be given."""
+    if not among:
+        return None
+    if sigma and sizes is None:
+        raise ValueError("a private choice needs the sizes of the public domains")
+    told = information(true, target, among, bounds, sizes)
     if sigma:
-        gain = gain + F.lit(float(sigma)) * rng.normal(seed, f"parent.{target}", F.col("attr"))
-    found = told.select("attr", gain.alias("g")).filter("g > 0").orderBy(F.desc("g"), "attr").first()
+        told = told.withColumn("g", F.col("g") + F.lit(float(sigma)) * rng.normal(seed, f"parent.{target}", F.col("attr")))
+    found = told.filter("g > 0").orderBy(F.desc("g"), "attr").first()
     return found[0] if found else None

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tabloom.functions import rng
 from tabloom.operators.profile import histogram
+from tabloom.sources.shared import checkpoint
 
 #: Intervals of the unit range by which draws meet the distribution they fall into.
 BUCKETS = 1024
 
 
-def noisy_histogram(df: DataFrame, attr: str, sigma: float = 0.0, seed: int = 0, kind: str = "gauss") -> DataFrame:
-    """(value, n, noisy): independent noise for each value, clipped at 0. sigma is the scale for kind 'laplace'."""
+def noisy_histogram(df: DataFrame, attr: str, sigma: float = 0.0, seed: int = 0, kind: str = "gauss", domain: Sequence | None = None) -> DataFrame:
+    """(value, n, noisy): independent noise for each value, clipped at 0. sigma is the scale for kind 'laplace'.
+
+    With the public `domain`, each of its values gets noise, whether it occurs or not, and no other value is told; without, which values occur is told."""
     noise = rng.normal(seed, f"hist.{attr}", F.col("value")) * F.lit(float(sigma)) if kind == "gauss" else rng.laplace(seed, f"hist.{attr}", F.col("value"), float(sigma))
-    return histogram(df, attr).withColumn("noisy", F.greatest(F.col("n") + noise, F.lit(0.0)) if sigma else F.col("n").cast("double"))
+    counts = histogram(df, attr)
+    if domain is not None:
+        every = df.sparkSession.createDataFrame([(v,) for v in domain], f"value {dict(df.dtypes)[attr]}")
+        counts = every.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return counts.withColumn("noisy", F.greatest(F.col("n") + noise, F.lit(0.0)) if sigma else F.col("n").cast("double"))
 
 
 def full_histogram(df: DataFrame, columns: Sequence[str], domains: dict[str, Sequence[object]]) -> DataFrame:
@@ -29,6 +41,73 @@ def full_histogram(df: DataFrame, columns: Sequence[str], domains: dict[str, Seq
     return cells.join(found, list(columns), "left").select(*columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def permuted(i: F.Column, half: int, seed: int, rounds: int = 6) -> F.Column:
+    """A keyed permutation of the numbers below 4 ** half (a Feistel network)."""
+    low = F.lit((1 << half) - 1).cast("long")
+    halves = F.struct(F.shiftright(i, half).alias("l"), i.bitwiseAND(low).alias("r"))
+    turn = lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.xxhash64(s["r"], k, F.lit(seed)).bitwiseAND(low)).alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), halves, turn, lambda s: F.shiftleft(s["l"], half).bitwiseOR(s["r"]))
+
+
+@F.pandas_udf(DoubleType())
+def _upper_quantile(q: pd.Series) -> pd.Series:
+    """The standard normal's value that is exceeded with probability q."""
+    inverse = NormalDist().inv_cdf
+    return -q.map(inverse)
+
+
+def _numbered(df: DataFrame, at: int, column: str, domain: Sequence) -> DataFrame:
+    """With ``i{at}_``: the number of the column's value in its domain; rows of other values go."""
+    if isinstance(domain, range):
+        x = F.col(f"`{column}`").cast("long")
+        i = F.floor((x - F.lit(domain.start)) / F.lit(domain.step)).cast("long")
+        return df.withColumn(f"i{at}_", i).filter((F.col(f"i{at}_") >= 0) & (F.col(f"i{at}_") < len(domain)) & ((x - F.lit(domain.start)) % F.lit(domain.step) == 0))
+    known = df.sparkSession.createDataFrame([(k, v) for k, v in enumerate(domain)], f"i{at}_ long, w{at}_ {dict(df.dtypes)[column]}")
+    return df.join(known, F.col(f"`{column}`") == F.col(f"w{at}_")).drop(f"w{at}_")
+
+
+def sparse_private_histogram(df: DataFrame, domains: Mapping[str, Sequence], sigma: float, threshold: float, seed: int = 0) -> DataFrame:
+    """(columns..., noisy): what is left if every cell of the domains' product gets normal noise of scale `sigma` and only cells of `threshold` or more are told.
+
+    Cells that hold rows are noised one by one. Of the empty ones, each passes with the same small probability: how many pass is one binomial draw, which ones is told by a keyed permutation of all
+    cells (the first that are empty), and their noise comes from the normal's tail. So the result has exactly the law of noising
+    all cells, while the work is that of the rows and of the cells told, whatever the size of the domain (up to 2 ** 60 cells). Domains are sequences, or ranges of whole numbers; values outside don't count."""
+    spark, columns = df.sparkSession, list(domains)
+    sizes = [len(domains[c]) for c in columns]
+    cells = math.prod(sizes)
+    if cells > 1 << 60 or sigma <= 0 or cells == 0:
+        raise ValueError("needs noise and between 1 and 2 ** 60 cells")
+    strides = [math.prod(sizes[k + 1 :]) for k in range(len(sizes))]
+    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    for k, c in enumerate(columns):
+        rows = _numbered(rows, k, c, domains[c])
+    cell = sum((F.col(f"i{k}_") * F.lit(stride).cast("long") for k, stride in enumerate(strides)), F.lit(0).cast("long"))
+    held = checkpoint(rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")))
+    occupied = held.count()
+    told = held.select("cell", (F.col("n") + F.lit(float(sigma)) * rng.normal(seed, "sparse", F.col("cell"))).alias("noisy")).filter(F.col("noisy") >= threshold)
+    passes = 0.5 * math.erfc(threshold / sigma / math.sqrt(2))
+    survivors = int(np.random.default_rng([seed & (1 << 63) - 1, 0x5A]).binomial(cells - occupied, passes))
+    half = max(1, -(-(cells - 1).bit_length() // 2))
+    take = int(1.1 * (survivors + occupied) * (4**half / cells)) + 1000
+    while True:
+        take = min(take, 4**half)
+        empty = spark.range(take).select("id", permuted(F.col("id"), half, seed).alias("cell")).filter(F.col("cell") < cells).join(held.select("cell"), "cell", "left_anti")
+        empty = checkpoint(empty)
+        if take == 4**half or empty.count() >= survivors:
+            break
+        take *= 2
+    u = rng.uniform(seed, "sparse.tail", F.col("cell"))
+    risen = ranked(empty, "id").filter(F.col("rank_") < survivors).select("cell", (F.lit(float(sigma)) * _upper_quantile(F.lit(passes) * u)).alias("noisy"))
+    out = told.unionByName(risen)
+    for k, (c, size, stride) in enumerate(zip(columns, sizes, strides)):
+        out = out.withColumn(f"i{k}_", F.expr(f"(cell div {stride}L) % {size}L"))
+        if isinstance(domains[c], range):
+            out = out.withColumn(c, (F.lit(domains[c].start) + F.lit(domains[c].step) * F.col(f"i{k}_")).cast(dict(df.dtypes)[c]))
+        else:
+            out = out.join(spark.createDataFrame([(i, v) for i, v in enumerate(domains[c])], f"i{k}_ long, `{c}` {dict(df.dtypes)[c]}"), f"i{k}_")
+    return out.select(*[F.col(f"`{c}`") for c in columns], "noisy")
+
+
 def distribution(weights: DataFrame, value: str = "value", weight: str = "noisy", in_one: int = 100_000) -> DataFrame:
     """(value, p, lo, hi): shares and their running sums by value.
 
@@ -84,10 +163,10 @@ def conditional_draw(rows: DataFrame, cells: DataFrame, parents: Sequence[str],
     return keyed.join(dist, on, "left").drop("u_", "b_", "db_", "lo_", "hi_", *keys)
 
 
-def first_attribute(spark: SparkSession, true: DataFrame, attr: str, n: int, sigma: float = 0.0, seed: int = 0) -> DataFrame:
-    """(tid, attr): n rows drawn from the (noisy) histogram of the attribute."""
+def first_attribute(spark: SparkSession, true: DataFrame, attr: str, n: int, sigma: float = 0.0, seed: int = 0, domain: Sequence | None = None) -> DataFrame:
+    """(tid, attr): n rows drawn from the (noisy) histogram of the attribute, over its public domain if given."""
     rows = spark.range(n).withColumnRenamed("id", "tid")
-    return draw(rows, distribution(noisy_histogram(true, attr, sigma, seed)), attr, seed, f"first.{attr}")
+    return draw(rows, distribution(noisy_histogram(true, attr, sigma, seed, domain=domain if sigma else None)), attr, seed, f"first.{attr}")
 
 
 def bin_uniform(rows: DataFrame, bins: DataFrame, name: str, lo: float, width: float, seed: int, stream: str, tid: str = "tid") -> DataFrame:

@@ -52,7 +52,7 @@ def run(
     if weights:
         found = files.read_weights(weights, len(dcs))
     else:
-        sigma = learning.matrix_sigma(n, epsilon / 2, delta / 2) if epsilon else 0.0
+        sigma = learning.matrix_sigma(n, len(dcs), epsilon / 2, delta / 2) if epsilon else 0.0
         found = files.toggled(learning.learn_weights(true, dcs, 100, min(128, n), sigma=sigma, seed=settings.seed))
     say("%s: %d rows, %d attributes, weights %s", name, n, len(columns), found)
     if epsilon is None:

@@ -207,7 +207,7 @@ def test_noise_reaches_every_release(spark):
         assert all(any(r[0] == 77 for r in f) for f in fits)  # empty cells of the given domain are released, too
     p = [{(r.g, r.val): r.p for r in model.ConditionalHistogram("s", ("g",), sigma, 0.0, 1).fit(true).collect()} for sigma in (0.0, 1.0, 50.0)]
     assert all(a[k] != b[k] for a, b in itertools.combinations(p, 2) for k in a)
-    assert len({model.most_informative(true, "v", ["g", "s", "x"], 1e3, seed) for seed in range(12)}) > 1
+    assert len({model.most_informative(true, "v", ["g", "s", "x"], 1e3, seed, sizes={"v": 6, "g": 4, "s": 3, "x": 41}) for seed in range(12)}) > 1
 
 
 def test_private_run_tells_what_it_spent(spark):
