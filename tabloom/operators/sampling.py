@@ -234,9 +234,5 @@ def owner_draw(rows: DataFrame, true: DataFrame, key: str, owner: str, seed: int
     A set-based stand-in for drawing keys again and again until an earlier row's owner fits."""
     pairs = true.groupBy(F.col(f"`{key}`").alias("k_"), F.col(f"`{owner}`").alias("o_")).agg(F.count(F.lit(1)).alias("n_"))
     best = pairs.groupBy("k_").agg(F.max(F.struct("n_", "o_")).alias("m_")).select("k_", F.col("m_.o_").alias("o_"), F.col("m_.n_").cast("double").alias("n_"))
-    inside = Window.partitionBy("o_").orderBy("k_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("o_")
-    cdf = best.withColumn("hi_", F.sum("n_").over(inside) / F.sum("n_").over(whole)).withColumn("lo_", F.col("hi_") - F.col("n_") / F.sum("n_").over(whole))
-    u = rng.uniform(seed, f"owner.{key}", F.col(f"`{tid}`"))
-    joined = rows.withColumn("u_", u).join(cdf, (F.col(f"`{owner}`") == F.col("o_")) & (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_")), "left")
-    return joined.withColumn(key, F.col("k_")).drop("u_", "k_", "o_", "n_", "lo_", "hi_")
+    cells = best.select(F.col("o_").alias(owner), F.col("k_").alias("val"), (F.col("n_") / F.sum("n_").over(Window.partitionBy("o_"))).alias("p"))
+    return conditional_draw(rows, cells, [owner], key, seed, f"owner.{key}", tid)

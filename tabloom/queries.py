@@ -12,7 +12,7 @@ from tabloom.functions import privacy, probability, rng
 from tabloom.operators import constrained, dependency, evaluate, flows, learning, marginals, model, profile, sampling, transform, violations
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
-from tabloom.sources.shared import shared_folder
+from tabloom.sources.shared import checkpoint, shared_folder
 from tabloom.sources.tables import ORDER_WIDE_SQL, order_wide, read_csv, save_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +213,17 @@ def relevant_constraints(spark, sf_dir):
     return spark.createDataFrame(found, "attr string, dc int")
 
 
+_HELD = ", ".join(f"({i}, '{a}')" for i, t in enumerate(FDS) for a in dc(t).attributes)
+
+
+@query(f"WITH s AS ({ORACLES['attribute_sequence']}), held(dc, attr) AS (VALUES {_HELD}) SELECT arg_max(attr, pos) AS attr, CAST(dc AS INTEGER) AS dc FROM held JOIN s USING (attr) GROUP BY dc")
+def relevant_constraints_of_sequence(spark, sf_dir):
+    """Where each constraint is complete in the sequence that the table's domains give."""
+    order = profile.attribute_sequence(order_wide(spark, sf_dir), [dc(t) for t in FDS], COLUMNS, {"c_acctbal": 100, "o_totalprice": 100})
+    found = [(a, i) for k, a in enumerate(order) for i in seq.relevant([dc(t) for t in FDS], order[:k], a)]
+    return spark.createDataFrame(found, "attr string, dc int")
+
+
 @query(f"WITH {ORDER_WIDE_SQL} SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys FROM wide")
 def key_uniqueness(spark, sf_dir):
     return profile.uniqueness(order_wide(spark, sf_dir), ["c_custkey"])
@@ -309,6 +320,21 @@ def noisy_histogram_laplace(spark, sf_dir):
     return sampling.noisy_histogram(order_wide(spark, sf_dir), "n_name", 10.0, 7, "laplace").withColumn("noisy", F.round("noisy", 6))
 
 
+@query(f"""WITH {ORDER_WIDE_SQL} SELECT CAST(value AS INTEGER) AS value, n, round(greatest(n + {rng.normal_sql(7, 'hist.n_regionkey', 'value')} * 400.0, 0.0), 6) AS noisy
+FROM (SELECT d.value, count(tid) AS n FROM (SELECT unnest(range(9)) AS value) d LEFT JOIN wide ON n_regionkey = value GROUP BY 1)""")
+def noisy_histogram_of_domain(spark, sf_dir):
+    """Values of the public domain that don't occur are told as well."""
+    return sampling.noisy_histogram(order_wide(spark, sf_dir), "n_regionkey", 400.0, 7, domain=range(9)).withColumn("noisy", F.round("noisy", 6))
+
+
+@query()
+def sparse_histogram(spark, sf_dir):
+    """Customer, priority and status over a domain of 15 * 10 ** 12 cells."""
+    wide = order_wide(spark, sf_dir)
+    domains = {"c_custkey": range(10**12), "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "o_orderstatus": ["F", "O", "P"]}
+    return sampling.sparse_private_histogram(wide, domains, 1.0, 6.0, 7)
+
+
 _CDF = """h AS (SELECT {0} AS value, count(*) AS n FROM wide GROUP BY 1),
 s AS (SELECT value, n / sum(n) OVER () AS p FROM h),
 c AS (SELECT value, p, sum(p) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) AS hi FROM s),
@@ -643,6 +669,21 @@ def weights_closed_form(spark, sf_dir):
     return learning.closed_form(matrix, 20, 100, wide.count(), 1e-4, 2).withColumn("weight", F.round("weight", 9))
 
 
+@query(f"""WITH {ORDER_WIDE_SQL}, v AS (
+  SELECT t1.tid, 0 AS dc, count(*) AS n FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(TWO_IQ).sql()} GROUP BY t1.tid UNION ALL
+  SELECT t1.tid, 1 AS dc, count(*) AS n FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(EQ_ORDER).sql()} GROUP BY t1.tid),
+c AS (SELECT count(*) AS n FROM wide), ids AS (SELECT tid, row_number() OVER (ORDER BY tid) - 1 AS rank FROM wide),
+gaps AS (SELECT step, j, floor(ln({rng.uniform_sql(2, 'skip', "step || '|' || j")}) / ln(1 - 128 / n::DOUBLE)) + 1 AS gap FROM (SELECT unnest(range(891)) AS step), (SELECT unnest(range(400)) AS j), c),
+chosen AS (SELECT step, sum(gap) OVER (PARTITION BY step ORDER BY j ROWS UNBOUNDED PRECEDING) - 1 AS rank FROM gaps),
+factors AS (SELECT tid, sum(1e-4::DOUBLE / 2 * (1 + cos(pi() * step / 891::DOUBLE))) AS lr FROM chosen JOIN ids USING (rank) GROUP BY tid)
+SELECT CAST(dc AS INTEGER) AS dc, round(sum(lr * n), 9) AS weight FROM v JOIN factors USING (tid) GROUP BY dc""")
+def weights_skip_sampling(spark, sf_dir):
+    """891 steps of batches of 128 rows, as many as a published weight file tells."""
+    wide = order_wide(spark, sf_dir)
+    matrix = checkpoint(violations.violation_matrix(wide, [dc(TWO_IQ), dc(EQ_ORDER)]))
+    return learning.closed_form_skipping(matrix, 891, 128, wide.count(), 1e-4, 2).withColumn("weight", F.round("weight", 9))
+
+
 @query(f"""WITH {ORDER_WIDE_SQL}, v AS (
   SELECT 0 AS dc, count(*) AS v FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(TWO_IQ).sql()} UNION ALL
   SELECT 1 AS dc, count(*) AS v FROM wide t1 JOIN wide t2 ON t1.tid <> t2.tid AND {dc(EQ_ORDER).sql()})
@@ -669,14 +710,16 @@ ACCOUNTS = {
 _STEPS = ", ".join(f"('{name}', {q!r}::DOUBLE, {z!r}::DOUBLE, {n}, {delta!r}::DOUBLE)" for name, (steps, delta) in ACCOUNTS.items() for q, z, n in steps)
 
 
-@query(f"""WITH steps(run, q, z, n, delta) AS (VALUES {_STEPS}),
-orders AS (SELECT unnest(range(2, 65) || [{', '.join(map(str, privacy.ORDERS[63:]))}]) AS a),
+_ACCOUNT = f"""orders_ AS (SELECT unnest(range(2, 65) || [{', '.join(map(str, privacy.ORDERS[63:]))}]) AS a),
 terms AS (SELECT run, q, z, n, delta, a, lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + k * ln(q) + (a - k) * ln(1 - q) + (k * k - k) / (2 * z * z) AS t
-          FROM steps, orders, LATERAL (SELECT unnest(range(a + 1)) AS k) WHERE q < 1),
+          FROM steps, orders_, LATERAL (SELECT unnest(range(a + 1)) AS k) WHERE q < 1),
 sampled AS (SELECT run, n, delta, a, greatest(0, (max(t) + ln(sum(exp(t - m)))) / (a - 1)) AS rdp FROM (SELECT *, max(t) OVER (PARTITION BY run, q, z, a) AS m FROM terms) GROUP BY run, q, z, n, delta, a),
-whole AS (SELECT run, n, delta, a, a / (2 * z * z) AS rdp FROM steps, orders WHERE q = 1),
+whole AS (SELECT run, n, delta, a, a / (2 * z * z) AS rdp FROM steps, orders_ WHERE q = 1),
 total AS (SELECT run, delta, a, sum(n * rdp) AS rdp FROM (FROM sampled UNION ALL FROM whole) GROUP BY ALL)
-SELECT run, round(min(rdp + ln(1 - 1 / a) - (ln(delta) + ln(a)) / (a - 1)), 6) AS epsilon FROM total GROUP BY run""")
+SELECT run, round(min(rdp + ln(1 - 1 / a) - (ln(delta) + ln(a)) / (a - 1)), 6) AS epsilon FROM total GROUP BY run"""
+
+
+@query(f"WITH steps(run, q, z, n, delta) AS (VALUES {_STEPS}), {_ACCOUNT}")
 def privacy_accountant(spark, sf_dir):
     rows = [
         ("adult", privacy.training_epsilon(32561, 23, 1.1, 1600, 15, 1e-6)),
@@ -687,12 +730,22 @@ def privacy_accountant(spark, sf_dir):
     return spark.createDataFrame([(name, round(epsilon, 6)) for name, epsilon in rows], "run string, epsilon double")
 
 
+@query(f"""WITH c AS (SELECT count(*)::DOUBLE AS rows, 1 / power(10.0::DOUBLE, length(CAST(count(*) AS VARCHAR)) + 1) AS delta FROM orders),
+steps AS (SELECT 'training' AS run, 128 / rows AS q, 1.1::DOUBLE AS z, 12800 AS n, delta FROM c UNION ALL SELECT 'total', 128 / rows, 1.1, 12800, delta FROM c UNION ALL SELECT 'total', 1, 8, 1, delta FROM c), {_ACCOUNT}""")
+def privacy_of_orders(spark, sf_dir):
+    """Epsilon of training eight models on the orders, without and with one release of counts: sampling rate and delta come from the table."""
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    delta = privacy.delta_for(n)
+    rows = [("training", privacy.training_epsilon(n, 128, 1.1, 1600, 9, delta)), ("total", privacy.total_epsilon(n, 128, 1.1, 1600, 9, delta, [8.0]))]
+    return spark.createDataFrame([(name, round(e, 6)) for name, e in rows], "run string, epsilon double")
+
+
 @query("""WITH n AS (SELECT count(*) AS n FROM orders), d AS (SELECT n, 1 / power(10.0::DOUBLE, length(CAST(n AS VARCHAR)) + 1) AS delta FROM n)
-SELECT round(delta * 1e6, 9) AS delta_millionths, round(sqrt(2 * 2 * ln(1.25 / delta)) / 0.4, 9) AS sigma, round(n * sqrt(2 * ln(1.25 / delta)) / 0.2, 4) AS matrix_sigma FROM d""")
+SELECT round(delta * 1e6, 9) AS delta_millionths, round(sqrt(2 * 2 * ln(1.25 / delta)) / 0.4, 9) AS sigma, round(sqrt(2 * (n * n - n)) * sqrt(2 * ln(1.25 / delta)) / 0.2, 4) AS matrix_sigma FROM d""")
 def noise_scales(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     delta = privacy.delta_for(n)
-    row = (round(delta * 1e6, 9), round(privacy.gaussian_sigma(0.4, delta), 9), round(learning.matrix_sigma(n, 0.2, delta), 4))
+    row = (round(delta * 1e6, 9), round(privacy.gaussian_sigma(0.4, delta), 9), round(learning.matrix_sigma(n, 2, 0.2, delta), 4))
     return spark.createDataFrame([row], "delta_millionths double, sigma double, matrix_sigma double")
 
 
