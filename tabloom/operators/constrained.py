@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from tabloom.functions import privacy, rng
 from tabloom.functions.rng import keyed
-from tabloom.operators import dependency, sampling, transform
+from tabloom.operators import dependency, logistic, sampling, transform
 from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, information_sensitivity, most_informative
 from tabloom.operators.profile import attribute_roles, attribute_sequence, domains
 from tabloom.operators.tally import Tally
@@ -63,6 +63,11 @@ class Settings:
     page: int = 0
     #: Generate all attributes of at most two values that no constraint holds as one, then split it again.
     concat: bool = False
+    #: What an attribute of few values is drawn from, unless dependencies decide it: the "histogram" given its best parent, or the "logistic" model of all earlier attributes.
+    model: str = "histogram"
+    #: Passes over the table that train a logistic model, and noise of each one's gradient.
+    model_steps: int = 25
+    sigma_gradient: float = 0.0
     #: Public domains and bounds; what is not given is taken from the table, and counts as public.
     domains: Mapping[str, Sequence] = field(default_factory=dict)
     bounds: Mapping[str, tuple[float, float]] = field(default_factory=dict)
@@ -80,7 +85,7 @@ class Sequencer:
     def __init__(self, target: str, dcs: Sequence[DenialConstraint], weights: Sequence[float], settings: Settings, numeric: bool, first: int | None, parents: int = 0):
         self.target, self.dcs, self.weights, self.settings, self.numeric, self.first = target, list(dcs), list(weights), settings, numeric, first
         self.greedy = any(dc.is_fd for dc in dcs)
-        self.parents, self.shares, self.sorted = [f"k{i}_" for i in range(parents)], {}, {}
+        self.parents, self.shares, self.sorted, self.model = [f"k{i}_" for i in range(parents)], {}, {}, None
 
     def learn(self, told: pa.RecordBatch) -> None:
         """Shares of values, for the parents that this task's rows have and for the whole domain (kind 1)."""
@@ -100,6 +105,10 @@ class Sequencer:
         return self.sorted[key]
 
     def given(self, row: Mapping) -> tuple[list, np.ndarray]:
+        if self.model is not None:
+            p = self.model.value.shares(np.asarray(row["f_"], np.int64)[None, :])[0]
+            order = np.argsort(-p, kind="stable")
+            return [self.model.value.values[k] for k in order], p[order]
         return self.candidates(tuple(None if row[k] != row[k] else row[k] for k in self.parents))
 
     def load(self, seen: Sequence[Tally], row: Mapping, values: Sequence) -> np.ndarray:
@@ -237,6 +246,15 @@ def _parents_of(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence
     return tuple(dict.fromkeys(fds)) or ((near,) if near else ())
 
 
+def _learner(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence[DenialConstraint], settings: Settings) -> logistic.ConditionalLogistic | None:
+    """The model of all earlier attributes, if it is asked for and no dependency decides the target."""
+    if settings.model != "logistic" or not done or any(dc.is_fd and target in dc.of("<>") for dc in dcs):
+        return None
+    kinds = dict(true.dtypes)
+    bounds = {c: _bounds(true, c, settings) or (0.0, 0.0) for c in done if kinds[c] in ("double", "float")}
+    return logistic.ConditionalLogistic(target, tuple(done), steps=settings.model_steps, sigma=settings.sigma_gradient, seed=settings.seed, domains=settings.domains, bounds=bounds)
+
+
 def _one_hard_dependency(dcs: Sequence[DenialConstraint], weights: Sequence[float], target: str, parents: Sequence[str]) -> bool:
     """All that acts is hard and says that the parents decide the target: then the first row's choice, the best of its key, is everyone's."""
     return bool(dcs) and all(w >= HARD_LOAD and dc.is_fd and dc.plain and dc.of("<>") == (target,) and set(dc.of("=")) == set(parents) for dc, w in zip(dcs, weights))
@@ -256,13 +274,17 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
     `dcs` are those that become complete at the target. Without any, draws are joins and nothing is sequential."""
     done = [c for c in syn.columns if c != "tid"]
     lo, hi = (_bounds(true, target, settings) or (0.0, 0.0)) if numeric else (None, None)
+    learner = None if numeric or parents is not None else _learner(true, target, done, dcs, settings)
+    fitted = learner.fit(true) if learner else None
+    if fitted is not None:
+        parents = ()  # none is chosen
     parents = tuple(_parents_of(true, target, done, dcs, settings, (lo, hi) if numeric else None) if parents is None else parents)
     named, stream = [F.col(f"`{c}`") for c in syn.columns], f"fill.{target}"
     keys_of = [F.col(f"`{c}`").alias(f"k{i}_") for i, c in enumerate(parents)]
     if numeric:
         model = lambda by: ConditionalNormal(target, by, settings.sigma_model, settings.seed, settings.domains, (lo, hi)).fit(true)
-        fitted = model(parents).select(*keys_of, F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
-        rows = syn.join(fitted, _same(parents), "left").drop(*[f"k{i}_" for i in range(len(parents))])
+        found = model(parents).select(*keys_of, F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
+        rows = syn.join(found, _same(parents), "left").drop(*[f"k{i}_" for i in range(len(parents))])
         if len(parents) > 1:  # combinations that never occur
             whole = model(()).select(F.col("mu").alias("amu_"), F.col("sigma").alias("asd_"))
             rows = rows.join(F.broadcast(whole)).withColumns({"mu_": F.coalesce("mu_", "amu_"), "sigma_": F.coalesce("sigma_", "asd_")})
@@ -282,6 +304,11 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
             if rare:
                 rows = rows.join(F.broadcast(plain.best(plain.fit(true)).select(F.col("val").alias("a_")))).withColumn("v_", F.coalesce("v_", "a_"))
             return rows.select(*named, F.col("v_").alias(target))
+        if fitted is not None:
+            f = learner.features(dict(syn.dtypes))
+            if not dcs:
+                return logistic.drawn(syn, f, rng.uniform(settings.seed, f"{stream}.pick", F.col("tid")), fitted, target, dict(true.dtypes)[target]).select(*named, F.col(f"`{target}`"))
+            syn = syn.withColumn("f_", f)
         cells = checkpoint(model.fit(true))
         if not dcs:
             rows = sampling.conditional_draw(syn, cells, parents, target, settings.seed, f"{stream}.pick")
@@ -289,9 +316,12 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
                 rows = sampling.draw(rows, sampling.distribution(plain.fit(true), "val", "p"), "a_", settings.seed, f"{stream}.pick")
                 rows = rows.withColumn(target, F.coalesce(F.col(f"`{target}`"), F.col("a_")))
             return rows.select(*named, F.col(f"`{target}`"))
-    types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes) + f", `{target}` {'double' if numeric else dict(true.dtypes)[target]}"
-    keys, names, kept = sequence_keys(dcs, target), [*syn.columns, target], to_arrow_schema(StructType.fromDDL(types))
+    columns = [c for c in syn.columns if c == "tid" or c in done]
+    types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes if c in columns) + f", `{target}` {'double' if numeric else dict(true.dtypes)[target]}"
+    keys, names, kept = sequence_keys(dcs, target), [*columns, target], to_arrow_schema(StructType.fromDDL(types))
     work = Sequencer(target, dcs, weights, settings, numeric, syn.agg(F.min("tid")).first()[0], len(parents))
+    if fitted is not None:
+        work.model = syn.sparkSession.sparkContext.broadcast(fitted)
     alone = not any(dc.two_tuple for dc in dcs)  # each row is a sequence of its own
     if alone:
         keys = ["tid"]
@@ -395,16 +425,17 @@ class Release:
 def private_settings(rows: int, columns: int, epsilon: float, delta: float, settings: Settings = Settings()) -> tuple[Settings, Release]:
     """Noise for a run of `columns` attributes that spends at most (epsilon, delta), rows being exchanged.
 
-    Released are the first attribute's counts and, for each further attribute, the choice of its parent and its model. All get
+    Released are the first attribute's counts and, for each further attribute, the choice of its parent and its model, or each step of a logistic model's training. All get
     the same multiple of their sensitivity, the least that the accountant allows. The number of rows, the domains, the bounds, and
     with them roles and order, are public."""
-    releases = 1 + 2 * (columns - 1)
+    releases = 1 + max(2, settings.model_steps if settings.model == "logistic" else 0) * (columns - 1)
     multiplier = privacy.multiplier_for(epsilon, delta, releases)
     # a row leaves one cell and enters another; it changes a count, a sum and a sum of squares by one at most, each twice
     noisy = replace(
         settings,
         sigma_first=multiplier * math.sqrt(2),
         sigma_model=multiplier * math.sqrt(6),
+        sigma_gradient=multiplier * 2 * logistic.ConditionalLogistic.clip,
         sigma_choice=multiplier * math.sqrt(columns - 1 or 1) * information_sensitivity(rows),
     )
     return noisy, Release(privacy.composed_epsilon([(1.0, multiplier, releases)], delta), delta, multiplier, releases)
