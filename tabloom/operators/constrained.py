@@ -19,7 +19,7 @@ of the cells in the order of tid, each given all other rows as they then are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -39,6 +39,7 @@ from tabloom.operators.tally import Tally
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
 from tabloom.sources.shared import checkpoint
+from tabloom.sources.store import Store, content
 
 #: Candidates of a numeric attribute in one attempt, and attempts.
 DRAWS, TRIES, AR_TRIES = 20, 3, 300
@@ -376,10 +377,11 @@ def hard_dependency(syn: DataFrame, true: DataFrame, target: str, keys: Sequence
     return dependency.first_of_key(drawn, keys, target)
 
 
-def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], n: int | None = None, settings: Settings = Settings(), start: DataFrame | None = None) -> DataFrame:
+def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], n: int | None = None, settings: Settings = Settings(), start: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     """A synthetic table (tid and `columns`) of n rows, attribute by attribute in a constraint-aware order.
 
-    With `start` (tid and the first attributes) it continues from there. Each attribute is checkpointed, so plans stay short."""
+    With `start` (tid and the first attributes) it continues from there. Each attribute is checkpointed, so plans stay short; with a `store` it is kept there under all that decides it
+    (contents of the tables, constraints, weights, settings, attributes so far), so that the same run, started again, goes on at the attribute at which it was ended."""
     if len(weights) != len(dcs):
         raise ValueError("one weight for each constraint")
     true = checkpoint(true.select(*[F.col(f"`{c}`") for c in columns]).na.drop())
@@ -395,9 +397,15 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
         true = checkpoint(transform.concatenated(true, small, joint))
         order = [joint if c == small[-1] else c for c in order if c not in small[:-1]]
         numeric = [c for c in numeric if c not in small]
+    known = {"true": content(true), "columns": columns, "dcs": [str(dc) for dc in dcs], "weights": list(weights), "settings": repr(settings), "order": order, "start": None if start is None else content(start)} if store else {}
+
+    def kept(upto: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return store.get(known | {"n": n, "upto": upto}, make) if store else checkpoint(make())
+
     if start is None:
         n = true.count() if n is None else n
-        syn = sampling.first_attribute(true.sparkSession, true, order[0], n, settings.sigma_first, settings.seed, settings.domains.get(order[0])).select("tid", order[0])
+        first = lambda: sampling.first_attribute(true.sparkSession, true, order[0], n, settings.sigma_first, settings.seed, settings.domains.get(order[0])).select("tid", order[0])
+        syn = kept(order[0], first) if store else first()
     else:
         syn = start
         order = [c for c in syn.columns if c != "tid"] + [c for c in order if c not in syn.columns]
@@ -405,7 +413,7 @@ def synthesize(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequen
         if target in syn.columns:
             continue
         use = seq.relevant(dcs, [c for c in syn.columns if c != "tid"], target)
-        syn = checkpoint(fill_attribute(syn, true, target, [dcs[i] for i in use], [weights[i] for i in use], settings, target in numeric))
+        syn = kept(target, lambda: fill_attribute(syn, true, target, [dcs[i] for i in use], [weights[i] for i in use], settings, target in numeric))  # noqa: B023
     if len(small) > 1:
         syn = transform.split_again(syn, joint, small).withColumns({c: F.col(f"`{c}`").try_cast(kinds[c]) for c in small})
     return syn.select("tid", *[F.col(f"`{c}`") for c in columns])
@@ -441,8 +449,8 @@ def private_settings(rows: int, columns: int, epsilon: float, delta: float, sett
     return noisy, Release(privacy.composed_epsilon([(1.0, multiplier, releases)], delta), delta, multiplier, releases)
 
 
-def synthesize_private(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], epsilon: float, delta: float | None = None, settings: Settings = Settings()) -> tuple[DataFrame, Release]:
+def synthesize_private(true: DataFrame, dcs: Sequence[DenialConstraint], weights: Sequence[float], columns: Sequence[str], epsilon: float, delta: float | None = None, settings: Settings = Settings(), store: Store | None = None) -> tuple[DataFrame, Release]:
     """A table as `synthesize` makes it, all of whose models are noisy, and what that spent."""
     rows = true.select(*[F.col(f"`{c}`") for c in columns]).na.drop().count()
     noisy, spent = private_settings(rows, len(columns), epsilon, privacy.delta_for(rows) if delta is None else delta, settings)
-    return synthesize(true, dcs, weights, columns, rows, noisy), spent
+    return synthesize(true, dcs, weights, columns, rows, noisy, store=store), spent

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators import sampling, transform
-from tabloom.operators.marginals import average, marginal_report
+from tabloom.operators.marginals import average, lattice_report
 from tabloom.operators.profile import numeric_columns
 from tabloom.operators.violations import violation_report
 from tabloom.plans.constraint import DenialConstraint
@@ -162,8 +162,9 @@ def mean_over_models(report: DataFrame) -> DataFrame:
 def evaluate(true: DataFrame, synthetic: DataFrame, dcs: Sequence[DenialConstraint], columns: Sequence[str], targets: Sequence[Target] = ()) -> dict[str, DataFrame]:
     """All reports: violations, one- and two-way marginals with their averages, classifiers."""
     out = {"violations": violation_report(synthetic, dcs)}
+    told = checkpoint(lattice_report(true, synthetic, columns, min(2, len(columns))))
     for k in (1, 2):
-        out[f"marginal_{k}"] = marginal_report(true, synthetic, columns, k)
+        out[f"marginal_{k}"] = told.filter(F.col("size") == k).select("attrs", "tvd")
         out[f"marginal_{k}_average"] = average(out[f"marginal_{k}"])
     if targets:
         out["classifiers"] = classifier_report(true, synthetic, targets)

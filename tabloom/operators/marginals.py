@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import transform
 from tabloom.operators.profile import numeric_columns
+from tabloom.sources.shared import checkpoint
 
 
 def attribute_sets(columns: Sequence[str], k: int) -> list[tuple[str, ...]]:
@@ -44,6 +45,36 @@ def distances(both: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     return cells.join(F.broadcast(sizes)).groupBy("attrs").agg((F.sum(gap) / 2).alias("tvd"))
 
 
+def lattice(both: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """(size, attrs, cell, t, s): counts of the true and synthetic rows in every cell of every set of 1 to k attributes.
+
+    Rows are read, and expanded, once, for the sets of k attributes; the cells of smaller sets are sums of cells of one larger set each."""
+    counts = [F.count_if(~F.col("is_synthetic")).alias("t"), F.count_if(F.col("is_synthetic")).alias("s")]
+    level = checkpoint(_grouped(both, attribute_sets(columns, k), *counts).select(F.lit(k).alias("size"), "attrs", "cell", "t", "s"))
+    out = level
+    for size in range(k - 1, 0, -1):
+        below: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+        for small in attribute_sets(columns, size):  # with the last attribute that it lacks, so that sets are spread over the larger ones
+            more = [c for c in columns if c not in small][-1]
+            below.setdefault(tuple(c for c in columns if c in small or c == more), []).append(small)
+        parts = F.lit(None).cast("array<struct<attrs:string,cell:array<string>>>")
+        for large, smaller in below.items():
+            made = F.array(*[F.struct(F.lit(",".join(x)).alias("attrs"), F.array(*[F.col("cell")[large.index(c)] for c in x]).alias("cell")) for x in smaller])
+            parts = F.when(F.col("attrs") == ",".join(large), made).otherwise(parts)
+        rows = level.select(F.explode(parts).alias("x"), "t", "s").select("x.*", "t", "s")
+        level = checkpoint(rows.groupBy("attrs", "cell").agg(F.sum("t").alias("t"), F.sum("s").alias("s")).select(F.lit(size).alias("size"), "attrs", "cell", "t", "s"))
+        out = out.unionByName(level)
+    return out
+
+
+def lattice_report(true: DataFrame, synthetic: DataFrame, columns: Sequence[str], k: int, bins: int = 16) -> DataFrame:
+    """(size, attrs, tvd) of every 1 to k attributes, from one pass over the tables."""
+    cells = lattice(prepared(true, synthetic, columns, bins), columns, k)
+    sizes = cells.filter(F.col("attrs") == columns[0]).agg(F.sum("t").alias("nt"), F.sum("s").alias("ns"))  # the cells of any one set hold all rows
+    gap = F.abs(F.col("t") / F.nullif(F.col("nt"), F.lit(0)) - F.col("s") / F.nullif(F.col("ns"), F.lit(0)))
+    return cells.join(F.broadcast(sizes)).groupBy("size", "attrs").agg((F.sum(gap) / 2).alias("tvd"))
+
+
 def average(found: DataFrame) -> DataFrame:
     """(n_sets, avg_tvd)."""
     return found.agg(F.count(F.lit(1)).alias("n_sets"), F.avg("tvd").alias("avg_tvd"))

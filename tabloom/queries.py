@@ -284,6 +284,12 @@ for _k in (1, 2, 3):
     _tvd(_k)
 
 
+@query(" UNION ALL ".join(f"({_tvd_sql(k)} SELECT CAST({k} AS INTEGER) AS size, attrs, round(tvd, 9) AS tvd FROM d)" for k in (1, 2, 3)))
+def tvd_lattice(spark, sf_dir):
+    """Distances of all sets of one to three attributes, smaller ones rolled up from larger ones."""
+    return marginals.lattice_report(*_halves(spark, sf_dir), PREPARED, 3).withColumn("tvd", F.round("tvd", 9))
+
+
 @query(_tvd_sql(2) + " SELECT count(*) AS n_sets, round(avg(tvd), 9) AS avg_tvd FROM d")
 def tvd_average(spark, sf_dir):
     return marginals.average(marginals.marginal_report(*_halves(spark, sf_dir), PREPARED, 2)).withColumn("avg_tvd", F.round("avg_tvd", 9))
@@ -624,6 +630,12 @@ def synthesize_private(spark, sf_dir):
     return constrained.synthesize_private(order_wide(spark, sf_dir), [dc(t) for t in SYNTH_DCS], [1000.0, 0.5], SYNTH, 1.0, settings=settings)[0]
 
 
+@query()
+def synthesize_logistic(spark, sf_dir):
+    """Attributes without dependencies from a model of all earlier ones."""
+    return _synthetic(spark, sf_dir, model="logistic", model_steps=10)
+
+
 @query()
 def synthesize_continued(spark, sf_dir):
     wide = order_wide(spark, sf_dir)

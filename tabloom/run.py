@@ -13,6 +13,7 @@ from tabloom.operators import constrained, evaluate, learning
 from tabloom.operators.constrained import Settings
 from tabloom.plans import datasets
 from tabloom.sources import files, tables
+from tabloom.sources.store import Store
 
 
 def run(
@@ -27,12 +28,14 @@ def run(
     targets: Sequence[evaluate.Target] | None = None,
     random_order: bool = False,
     logs: str | None = None,
+    resume: str | None = None,
 ) -> dict[str, DataFrame]:
     """Synthesize the table at `data` (CSV or Parquet) and report on it. Returns the table as ``synthetic`` and the reports by name.
 
     What is known about the data set of this name (bins, order, targets) is used unless given. Without a weight file, weights are
     learnt from the violations; with `epsilon`, half of it goes to them and the run is private. The table is written below
-    `out`, in a folder whose name tells the settings; the log goes to `logs` (on the driver)."""
+    `out`, in a folder whose name tells the settings; the log goes to `logs` (on the driver).
+    With `resume`, a folder that all executors share, attributes are kept there, and a run that was ended goes on at its attribute."""
     log, started = (files.report_log(logs, name) if logs else None), time.time()
 
     def say(text: str, *values: object) -> None:
@@ -55,11 +58,12 @@ def run(
         sigma = learning.matrix_sigma(n, len(dcs), epsilon / 2, delta / 2) if epsilon else 0.0
         found = files.toggled(learning.learn_weights(true, dcs, 100, min(128, n), sigma=sigma, seed=settings.seed))
     say("%s: %d rows, %d attributes, weights %s", name, n, len(columns), found)
+    store = Store(spark, resume) if resume else None
     if epsilon is None:
-        made = constrained.synthesize(true, dcs, found, columns, n, settings)
+        made = constrained.synthesize(true, dcs, found, columns, n, settings, store=store)
     else:
         share = 1.0 if weights else 0.5
-        made, spent = constrained.synthesize_private(true, dcs, found, columns, epsilon * share, delta * share, settings)
+        made, spent = constrained.synthesize_private(true, dcs, found, columns, epsilon * share, delta * share, settings, store)
         say("%s: spent %s", name, spent)
     path = f"{out}/{tables.output_name(name, epsilon, {'sampler': settings.sampler, 'rand': random_order, 'seed': settings.seed})}"
     tables.save_table(made, path, columns=["tid", *columns])

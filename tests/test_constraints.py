@@ -142,9 +142,6 @@ def test_files(tmp_path):
     assert files.read_constraints(str(tmp_path / "c")) == dcs
     (tmp_path / "d").write_text("t0.a=t1.a and t0.b!=t1.b\n")
     assert files.import_discovered(str(tmp_path / "d"))[0].is_fd
-    cache, made = files.Cache(str(tmp_path / "k")), []
-    assert cache.get({"data": "x"}, lambda: made.append(1) or 7) == cache.get({"data": "x"}, lambda: made.append(1) or 7) == 7 and len(made) == 1
-    assert cache.get({"data": "y"}, lambda: 8) == 8
     log = files.report_log(str(tmp_path / "log"))
     log.info("done")
     assert "done" in (tmp_path / "log" / "run.log").read_text()
