@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.operators.dominance import BLOCK_ROWS, nearest_before
+from tabloom.sources.shared import checkpoint
+
 
 def first_of_key(df: DataFrame, keys: Sequence[str], value: str, tid: str = "tid", name: str | None = None) -> DataFrame:
     """Every row takes the value of the first row (by tid) of its key.
@@ -27,28 +30,19 @@ def running_first(df: DataFrame, keys: Sequence[str], value: str, tid: str = "ti
     return df.withColumn(name, F.first(F.col(f"`{value}`")).over(over))
 
 
-def nearest_earlier(df: DataFrame, keys: Sequence[str], by: str, value: str, tid: str = "tid") -> DataFrame:
+def nearest_earlier(df: DataFrame, keys: Sequence[str], by: str, value: str, tid: str = "tid", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """As-of bounds of each row among the rows before it (by tid) with its keys: ``below`` is the value at the greatest `by` not
-    above the row's, ``above`` that at the least `by` not below it; the earliest row wins ties; null if there is none."""
-    kinds = dict(df.dtypes)
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(tid, kind="stable")
-        known: list = []
-        first: dict = {}
-        below, above = [], []
-        for x, v in zip(pdf[by], pdf[value]):
-            at = bisect.bisect_right(known, x)
-            below.append(first[known[at - 1]] if at else None)
-            at = bisect.bisect_left(known, x)
-            above.append(first[known[at]] if at < len(known) else None)
-            if x not in first:
-                bisect.insort(known, x)
-                first[x] = v
-        return pdf.assign(below=pd.Series(below, pdf.index, dtype="object"), above=pd.Series(above, pdf.index, dtype="object"))
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", below {kinds[value]}, above {kinds[value]}"
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(scan, schema)
+    above the row's, ``above`` that at the least `by` not below it; the earliest row wins ties; null if there is none, or if the row has no `by`.
+
+    A key of very many rows is cut into blocks (`dominance.nearest_before`)."""
+    ks = [f"k{i}_" for i in range(len(keys))]
+    rows = df.select(F.col(f"`{tid}`").cast("long").alias("tid_"), *[F.col(f"`{k}`").alias(c) for k, c in zip(keys, ks)], F.col(f"`{by}`").alias("v_")).na.drop(subset=["tid_", "v_"])
+    rows, out = checkpoint(rows), df
+    values = df.select(F.col(f"`{tid}`").cast("long").alias("near"), F.col(f"`{value}`").alias("value_"))
+    for name, descending in (("below", False), ("above", True)):
+        found = nearest_before(rows, ks, descending, block_rows).join(values, "near").select(F.col("tid").alias("near_of_"), F.col("value_").alias(name))
+        out = out.join(found, F.col(f"`{tid}`").cast("long") == F.col("near_of_"), "left").drop("near_of_")
+    return out
 
 
 def monotone_fill(df: DataFrame, keys: Sequence[str], by: str, drawn: str, again: str, lo: float, hi: float, name: str, tid: str = "tid") -> DataFrame:

@@ -91,6 +91,31 @@ def count_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) ->
     return out
 
 
+def last_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) -> np.ndarray:
+    """For each query the point of the largest second code among those whose both codes are smaller; -1 if there is none."""
+    if not len(points[0]) or not len(queries[0]):
+        return np.full(len(queries[0]), -1, np.int64)
+    known, rank = np.unique(np.concatenate([points[0], queries[0]]), return_inverse=True)
+    r, q = rank[: len(points[0])], rank[len(points[0]) :]
+    low = min(int(points[1].min()), int(queries[1].min()))
+    y, z = points[1] - low, queries[1] - low
+    wide = max(int(y.max()), int(z.max())) + 1
+    best, found, level = np.full(len(q), -1, np.int64), np.full(len(q), -1, np.int64), 0
+    while len(known) > 1 << level:
+        a, b = np.flatnonzero(~(r >> level) & 1), np.flatnonzero((q >> level) & 1)
+        if len(a) and len(b):
+            inside = (r[a] >> (level + 1)) * wide + y[a]
+            order = np.argsort(inside, kind="stable")
+            start = (q[b] >> (level + 1)) * wide
+            at = np.searchsorted(inside[order], start + z[b], "left") - 1
+            near = np.maximum(at, 0)
+            code = np.where((at >= 0) & (inside[order][near] >= start), inside[order][near] - start, -1)
+            better = code > best[b]
+            best[b[better]], found[b[better]] = code[better], a[order][near[better]]
+        level += 1
+    return found
+
+
 def _codes(values: np.ndarray, query: np.ndarray, order: Order) -> np.ndarray:
     code = 2 * np.unique(values, return_inverse=True)[1].astype(np.int64)
     return (-code if order.descending else code) + (query != order.strict)
@@ -175,3 +200,74 @@ def _grid(rows: DataFrame, keys: list[str], at: list[str], per_row: bool) -> Dat
     kinds = dict(rows.dtypes)
     found = cells.groupBy(*keys, "one_").applyInArrow(told, ", ".join(f"{c} {kinds[c]}" for c in [*keys, *at]) + ", n long")
     return rows.filter("query_").join(found, [*keys, *at]).select(F.col("tid_").alias("tid"), "n")
+
+
+def nearest_before(rows: DataFrame, keys: Sequence[str], descending: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(tid, near): for each row of `rows` (`tid_`, the `keys`, a value `v_`) the row of an earlier tid whose value is the greatest not above its own (the least not
+    below it, if `descending`), the earliest of equals. Rows without such a row are absent.
+
+    Rows are cut into blocks by tid and by value; as for counts, each pair is met in one place: a block of tid, a block of values, or the grid, where cells hold their best
+    point and running maxima take the place of sums."""
+    keys, kind = list(keys), dict(rows.dtypes)["v_"]
+    rows = rows.withColumn("query_", F.explode(F.array(F.lit(False), F.lit(True))))
+    blocks = min(max(1, -(-rows.count() // block_rows)), int(CELLS**0.5))
+    value = F.col("v_").desc() if descending else F.col("v_").asc()
+    if blocks > 1:  # of equal values the earliest row is the last point, and queries follow
+        rows = checkpoint(rows.repartitionByRange(blocks, *keys, "tid_", F.desc("query_")).withColumn("b0_", F.spark_partition_id()))
+        rows = checkpoint(rows.repartitionByRange(blocks, *keys, value, "query_", F.desc("tid_")).withColumn("b1_", F.spark_partition_id()))
+    else:
+        rows = rows.withColumns({"b0_": F.lit(0), "b1_": F.lit(0)})
+    schema = f"tid long, near long, v {kind}"
+
+    def codes(t: pa.Table) -> np.ndarray:
+        code = np.unique(t.column("v_").to_pandas().to_numpy(), return_inverse=True)[1].astype(np.int64)
+        return -code if descending else code
+
+    def within(first: str):
+        def work(t: pa.Table) -> pa.Table:
+            query, code = t.column("query_").to_numpy().astype(bool), codes(t)
+            points, queries = np.flatnonzero(~query), np.flatnonzero(query)
+            order = np.lexsort((-t.column("tid_").to_numpy()[points], code[points]))
+            place = np.empty(len(points), np.int64)
+            place[order] = np.arange(len(points))
+            ends = np.searchsorted(code[points][order], code[queries], "right")
+            x = t.column(first).to_numpy().astype(np.int64)
+            near = last_before([x[points], place], [x[queries], ends])
+            at = np.flatnonzero(near >= 0)
+            found = pa.array(points[near[at]])
+            return pa.table({"tid": t.column("tid_").take(pa.array(queries[at])), "near": t.column("tid_").take(found), "v": t.column("v_").take(found)})
+
+        return work
+
+    parts = [rows.select(*keys, "tid_", "query_", "v_", "b0_").groupBy(*keys, "b0_").applyInArrow(within("tid_"), schema)]
+    if blocks > 1:
+        parts.append(rows.select(*keys, "tid_", "query_", "v_", "b0_", "b1_").groupBy(*keys, "b1_").applyInArrow(within("b0_"), schema))
+        point = lambda *c: F.when(~F.col("query_"), F.struct(*c))
+        best = F.min(point("v_", "tid_")) if descending else F.max(point("v_", (-F.col("tid_")).alias("n_")))
+        tid_of = F.col("m_.tid_") if descending else -F.col("m_.n_")
+        cells = rows.groupBy(*keys, "b0_", "b1_").agg(best.alias("m_")).select(*keys, "b0_", "b1_", tid_of.alias("tid_"), F.col("m_.v_").alias("v_")).withColumn("one_", F.lit(0))
+
+        def grid(t: pa.Table) -> pa.Table:
+            where = tuple(np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("b0_", "b1_"))
+            points = np.flatnonzero(t.column("tid_").is_valid().to_numpy(zero_copy_only=False))
+            some = t.take(pa.array(points))
+            order = np.lexsort((-some.column("tid_").to_numpy().astype(np.int64), codes(some)))
+            held = np.zeros([int(w.max()) + 2 for w in where], np.int64)
+            held[tuple(w[points[order]] + 1 for w in where)] = np.arange(1, len(points) + 1)
+            held = np.maximum.accumulate(np.maximum.accumulate(held, 0), 1)[where]
+            at = np.flatnonzero(held)
+            near = pa.array(points[order][held[at] - 1])
+            made = {c: t.column(c).take(pa.array(at)) for c in [*keys, "b0_", "b1_"]}
+            return pa.table({**made, "near": t.column("tid_").take(near), "v": t.column("v_").take(near)})
+
+        kinds = dict(rows.dtypes)
+        found = cells.groupBy(*keys, "one_").applyInArrow(grid, ", ".join(f"{c} {kinds[c]}" for c in [*keys, "b0_", "b1_"]) + f", near long, v {kind}")
+        both = F.lit(True)
+        for c in [*keys, "b0_", "b1_"]:
+            both = both & F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}"))
+        parts.append(rows.filter("query_").alias("r").join(found.alias("g"), both).select(F.col("r.tid_").alias("tid"), "near", "v"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    best = F.min(F.struct("v", "near"))["near"] if descending else -F.max(F.struct("v", (-F.col("near")).alias("n")))["n"]
+    return out.groupBy("tid").agg(best.alias("near"))
