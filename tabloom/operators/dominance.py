@@ -204,12 +204,13 @@ def _grid(rows: DataFrame, keys: list[str], at: list[str], per_row: bool) -> Dat
 
 def nearest_before(rows: DataFrame, keys: Sequence[str], descending: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(tid, near): for each row of `rows` (`tid_`, the `keys`, a value `v_`) the row of an earlier tid whose value is the greatest not above its own (the least not
-    below it, if `descending`), the earliest of equals. Rows without such a row are absent.
+    below it, if `descending`), the earliest of equals. Rows without such a row are absent. With a column `query_` a row is only a query or only a point.
 
     Rows are cut into blocks by tid and by value; as for counts, each pair is met in one place: a block of tid, a block of values, or the grid, where cells hold their best
     point and running maxima take the place of sums."""
     keys, kind = list(keys), dict(rows.dtypes)["v_"]
-    rows = rows.withColumn("query_", F.explode(F.array(F.lit(False), F.lit(True))))
+    if "query_" not in rows.columns:
+        rows = rows.withColumn("query_", F.explode(F.array(F.lit(False), F.lit(True))))
     blocks = min(max(1, -(-rows.count() // block_rows)), int(CELLS**0.5))
     value = F.col("v_").desc() if descending else F.col("v_").asc()
     if blocks > 1:  # of equal values the earliest row is the last point, and queries follow
@@ -227,6 +228,8 @@ def nearest_before(rows: DataFrame, keys: Sequence[str], descending: bool, block
         def work(t: pa.Table) -> pa.Table:
             query, code = t.column("query_").to_numpy().astype(bool), codes(t)
             points, queries = np.flatnonzero(~query), np.flatnonzero(query)
+            if not len(points):
+                return pa.table({"tid": t.column("tid_").slice(0, 0), "near": t.column("tid_").slice(0, 0), "v": t.column("v_").slice(0, 0)})
             order = np.lexsort((-t.column("tid_").to_numpy()[points], code[points]))
             place = np.empty(len(points), np.int64)
             place[order] = np.arange(len(points))

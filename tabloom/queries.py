@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import privacy, probability, rng
-from tabloom.operators import constrained, dependency, evaluate, flows, learning, marginals, model, profile, sampling, transform, violations
+from tabloom.operators import constrained, dependency, evaluate, flows, learning, marginals, model, profile, repair, sampling, transform, violations
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
 from tabloom.sources.shared import checkpoint, shared_folder
@@ -514,6 +514,13 @@ def dependency_repaired(spark, sf_dir):
     return dependency.repaired(order_wide(spark, sf_dir).select("tid", "c_custkey", "o_orderstatus"), ["c_custkey"], "o_orderstatus")
 
 
+@query()
+def repair_order_constraint(spark, sf_dir):
+    """Cells changed so that no two orders of a customer, and no order by itself, violate; the test holds that nothing is violated afterwards."""
+    wide = order_wide(spark, sf_dir).select("tid", "c_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    return repair.repair(wide, [dc(EQ_ORDER), dc(ONE_TUPLE)])[1]
+
+
 def _monotone(spark, sf_dir):
     wide = order_wide(spark, sf_dir)
     rows = wide.select("tid", "n_name", "o_totalprice", rng.uniform(9, "rate", F.col("tid")).alias("drawn_"), rng.uniform(9, "again", F.col("tid")).alias("again_"))
