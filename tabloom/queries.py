@@ -646,7 +646,7 @@ def synthesize_logistic(spark, sf_dir):
 @query()
 def synthesize_continued(spark, sf_dir):
     wide = order_wide(spark, sf_dir)
-    start = sampling.first_attribute(spark, wide, "n_name", 1000, 0.0, 4).select("tid", "n_name")
+    start = sampling.first_attribute(spark, wide, "n_name", wide.count(), 0.0, 4).select("tid", "n_name")
     return constrained.synthesize(wide, [dc(SYNTH_DCS[0])], [1000.0], ["n_name", "n_regionkey", "o_orderpriority"], start=start)
 
 
