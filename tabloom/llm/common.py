@@ -18,6 +18,8 @@ from tabloom.sources.shared import checkpoint  # noqa: F401  (used by the operat
 
 #: Rows of text that a vectorised kernel takes at once; bounds a Python worker's memory.
 KERNEL_BYTES = 4 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Words a worker remembers before it starts its vocabulary afresh.
 VOCABULARY = 400_000
 
@@ -148,12 +150,13 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.RecordBatch], dict]], column: str = "text") -> DataFrame:
-    """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, a few megabytes at a time.
+def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[], Callable[[list[bytes], pa.RecordBatch], dict]], column: str = "text", most: int = KERNEL_BYTES) -> DataFrame:
+    """`keep` columns of `docs` and the columns that a kernel makes of the whole texts, about `most` bytes at a time.
 
     `kernel()` is called once a task; what it returns gets the texts as UTF-8 bytes (null: empty) and their rows
     (the text last), and returns a list or array for each added column. A kept column of an added one's name is
-    replaced."""
+    replaced. Sets Spark's bound on the bytes of an Arrow batch for the session to BATCH_BYTES: batches of whole texts are what these tasks hold besides their kernels."""
+    docs.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     keep = [c for c in keep if c not in StructType.fromDDL(added).names]
     kept = docs.select(*keep).schema
     schema = StructType(kept.fields + StructType.fromDDL(added).fields)
@@ -164,9 +167,11 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, kernel: Callable[[],
         f = kernel()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for a, b, raw in text_slices(texts):
+            for a, b, raw in text_slices(texts, most):
                 made = f(raw, batch.slice(a, b - a))
                 columns = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(made[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        del f
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task beside others
 
     return docs.select(*keep, F.col(column).alias("tabloom_text_")).mapInArrow(run, schema)

@@ -27,6 +27,8 @@ from tabloom.llm.common import WordHashes, checkpoint, map_texts, rolling, row_s
 
 WINDOW, GRAM, FACTOR = 10, 5, 0x9E3779B97F4A7C15
 SLICE_BYTES = 8 << 20
+#: Bytes of document text that a worker takes at once.
+KERNEL = 1 << 20
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -142,15 +144,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], most:
     share, parts = docs.sparkSession.sparkContext.broadcast, benchmark_slices(benchmark, most)
     first, more = share(Index(next(parts, []))), next(parts, None)
     if more is None:
-        return map_texts(docs, keep, _ADDED, _kernel(first))
+        return map_texts(docs, keep, _ADDED, _kernel(first), most=KERNEL)
     # each further slice is a pass of its own over the rows with what they have so far
     kept = keep if "text" in keep else [*keep, "text"]
-    rows = checkpoint(map_texts(docs, kept, _ADDED, _kernel(first)))
+    rows = checkpoint(map_texts(docs, kept, _ADDED, _kernel(first), most=KERNEL))
     first.destroy()
     while more is not None:
         before = rows.drop("n_words", "n_hit").withColumnsRenamed({"hit_words": "hit_before_", "items": "items_before_"})
         now = share(Index(more))
-        rows = checkpoint(map_texts(before, [*kept, "hit_before_", "items_before_"], _ADDED, _kernel(now)).drop("hit_before_", "items_before_"))
+        rows = checkpoint(map_texts(before, [*kept, "hit_before_", "items_before_"], _ADDED, _kernel(now), most=KERNEL).drop("hit_before_", "items_before_"))
         now.destroy()
         more = next(parts, None)
     return rows.select(*keep, "n_words", "n_hit", "hit_words", "items")

@@ -24,10 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import VOCABULARY, checkpoint, held_out, map_texts, row_starts, table
+from tabloom.llm.common import checkpoint, held_out, map_texts, row_starts, table
 
 BITS, FIT_ROWS, FIT_BYTES, ROUNDS = 18, 2500, 256 << 20, 150
 START = -7.0
+#: Bytes of text that a worker scores at once.
+SLICE_BYTES = 1 << 20
+#: Tokens whose features or values a worker remembers before it starts afresh.
+TOKENS = 150_000
 _STRIP = b".,;:!?\"'()[]{}<>*#&%$-_"
 
 
@@ -43,10 +47,10 @@ def features(token: bytes) -> tuple[int, int, int, bool]:
 
 
 class Tokens(dict):
-    """Token to its features; forgets all when it has grown past VOCABULARY."""
+    """Token to its features; forgets all when it has grown past TOKENS."""
 
     def __missing__(self, token: bytes):
-        if len(self) >= VOCABULARY:
+        if len(self) >= TOKENS:
             self.clear()
         self[token] = value = features(token)
         return value
@@ -152,7 +156,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
         w[shared.value[0]] = shared.value[1]
         class Values(dict):  # real: what a token adds to a sentence; imaginary: 1 if it ends one
             def __missing__(self, token: bytes) -> complex:
-                if len(self) >= VOCABULARY:
+                if len(self) >= TOKENS:
                     self.clear()
                 a, b, c, end = features(token)
                 self[token] = out = complex(w[a] + w[b] + w[c], end)
@@ -182,7 +186,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
 
         return judge
 
-    return map_texts(docs, keep, "score double, predicted int, n_sentences long, offending array<struct<first:long,end:long,p:double>>", kernel)
+    return map_texts(docs, keep, "score double, predicted int, n_sentences long, offending array<struct<first:long,end:long,p:double>>", kernel, most=SLICE_BYTES)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
