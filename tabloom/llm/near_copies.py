@@ -4,7 +4,8 @@ Fingerprints within 2 bits find few texts of that similarity (most differ in 4 t
 nothing at such a radius, as unrelated texts lie 32 bits apart give or take 4. So the rest is found from MinHash bands. Candidates share one of ``BANDS`` band keys of ``ROWS`` MinHash values each (a pair at 0.8 is missed with probability
 5e-5, a closer one less often); a candidate counts only if the similarity of the real shingles confirms it. Buckets are
 first searched from pivots, one pair for each text and round, so that a large group of near copies becomes one component
-without its pairs being listed; then every pair of a bucket that is still in different components is compared.
+without its pairs being listed. Buckets that still hold several components (texts of one template, alike but less than 0.8, share many) are not paired: their texts are joined on the rarest of
+their shingles, with filters of length and position in the join's condition (`unlike_pairs`), which is exact for these texts and proposes few pairs that are not near copies.
 
 Defined results: words are those of `bytes.split`, ASCII case ignored; a text of fewer than five words has its whole
 sequence as the only shingle; null and empty texts are no near copies here.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm import simhash
@@ -24,6 +25,10 @@ from tabloom.llm.common import WordHashes, checkpoint, map_texts, mix, rolling
 from tabloom.llm.components import stars
 
 SHINGLE, BANDS, ROWS, PIVOTS, FACTOR = 5, 25, 5, 2, 0x9E3779B97F4A7C15
+#: Bytes of text that a worker sketches at once.
+SLICE_BYTES = 1 << 20
+#: Longs of parities of a text's shingles.
+PARITY = 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -108,11 +113,11 @@ def copy_links(entries: DataFrame, keyed: DataFrame) -> DataFrame:
         mixed = own.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key").alias("other"), F.col("c").alias("d"))).alias("p"))
         mixed = mixed.filter("lo <> hi").select("band", "p.*")
         if turn < PIVOTS:
-            pairs = own.join(mixed.hint("merge"), "band").filter("c <> d").groupBy("key").agg(F.min(F.struct("h", "other")).alias("p")).select("key", "p.other")
+            pairs = own.join(mixed.hint("merge"), "band").filter("c <> d").groupBy("key").agg(F.min(F.struct("h", "other")).alias("p")).select(F.least("key", "p.other").alias("a"), F.greatest("key", "p.other").alias("b")).distinct()
         else:
-            left = own.join(mixed.select("band").hint("merge"), "band")
-            pairs = left.join(left.select("band", F.col("key").alias("other"), F.col("c").alias("d")).hint("merge"), "band").filter("key < other and c <> d").select("key", "other")
-        pairs = checkpoint(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
+            open_ = checkpoint(own.join(mixed.select("band").hint("merge"), "band").select("key", "c").distinct())
+            pairs = unlike_pairs(open_, texts)
+        pairs = checkpoint(pairs)
         if pairs.isEmpty():
             break
         edges = checkpoint(edges.unionByName(_confirmed(pairs, texts)))
@@ -120,6 +125,45 @@ def copy_links(entries: DataFrame, keyed: DataFrame) -> DataFrame:
     return found
 
 
+def _hashed_shingles():
+    known = WordHashes(7)
+
+    def distinct(texts: list[bytes], _) -> dict:
+        out, parity = [], []
+        for text in texts:
+            words = text.translate(_LOWER).split()
+            grams = np.unique(mix(rolling(known.array(words), min(SHINGLE, len(words)), FACTOR))) if words else np.zeros(0, np.uint64)
+            out.append(grams.view(np.int64))
+            odd = np.bincount((grams >> np.uint64(40) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+            parity.append(np.packbits(odd.astype(bool)).view(np.int64))
+        return {"grams": out, "parity": parity}
+
+    return distinct
+
+
+def unlike_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the texts of `members` (key, component c) in different components: all that are near copies, and few others.
+
+    Shingles are ordered by how many texts hold them, rarest first. Near copies share a shingle among the first ninth of the shorter and the first fifth of the longer text, and behind the first
+    one that they share enough must be left in both to reach the similarity. What only one text holds takes a place in this order but no row. A template's shingles come last, so
+    texts that differ in more than a ninth don't even meet. Of those that meet, most that are not near copies fail by parities: each text has a bit for each hash of 512, set if an odd number of its
+    shingles have it; texts differ in no more bits than shingles, and near copies in at most a ninth of both their shingles. No filter loses a near copy."""
+    made = map_texts(texts.join(members.hint("merge"), "key").select("key", "c", "text"), ["key", "c"], "grams array<long>, parity array<long>", _hashed_shingles, most=SLICE_BYTES)
+    made = checkpoint(made)
+    held = made.select("key", "c", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    often = held.groupBy("g").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    shared = held.join(often.hint("merge"), "g")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("texts", "g"))
+    placed = shared.withColumn("rank", rank).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("key")) - F.col("rank") + 1)  # shingles from this one on
+    placed = placed.filter("5 * left >= 4 * n").select("key", "c", "n", "g", "left")
+    bits = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
+    placed = checkpoint(placed.join(made.select("key", *bits).hint("merge"), "key"))
+    x, y = placed.filter("9 * left >= 8 * n").alias("x"), placed.alias("y")
+    met = F.expr("x.g = y.g and x.c <> y.c and (x.n < y.n or (x.n = y.n and x.key < y.key)) and 5 * x.n >= 4 * y.n and 9 * least(x.left, y.left) >= 4 * (x.n + y.n)")
+    met &= F.expr("9 * (" + " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY)) + ") <= x.n + y.n")
+    return x.join(y.hint("merge"), met).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def _kernel():
     sketch = _sketcher()
     return lambda texts, batch: {"fp": simhash.fingerprints_of(texts).view(np.int64), **sketch(texts, batch)}
@@ -135,7 +179,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = ["k1_", "k2_"]
     keyed = docs.withColumns({"k1_": F.xxhash64("doc_id", "text"), "k2_": F.xxhash64("text")})
     slim = keyed.select("doc_id", *keys, "text")
-    made = checkpoint(map_texts(slim, ["doc_id", *keys], "fp long, bands array<long>", _kernel))
+    made = checkpoint(map_texts(slim, ["doc_id", *keys], "fp long, bands array<long>", _kernel, most=SLICE_BYTES))
     rows = simhash.with_components(checkpoint(made.select("doc_id", *keys, "fp")))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k2_", "k1_")
     kept = checkpoint(rows.groupBy("root").agg(F.min(first).alias("m")).select("m.doc_id", "m.k1_", "m.k2_"))

@@ -69,3 +69,17 @@ def test_keep_one_by_shuffle(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(near_copies, "BROADCAST_KEYS", 0)
     got = near_copies.keep_one(docs)
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == slow_keep([x[:2] for x in rows])
+
+
+def test_candidates_among_texts_of_one_template(spark):
+    """Texts that share a template, from alike to less than 0.8: every near copy is proposed, and few others are."""
+    r = random.Random(2)
+    template = [f"w{r.randrange(5000)}" for _ in range(300)]
+    texts = [" ".join(edited(r, template, n)) for n in [1, 2, 3, 4, 5, 6, 8, 10, 12, 15] * 12]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if near_copies.alike(sets[i], sets[j])}
+    members = spark.createDataFrame([(i, i) for i in range(len(texts))], "key long, c long")
+    got = {tuple(x) for x in near_copies.unlike_pairs(members, spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
+    assert want and want <= got and len(got - want) < len(want) / 2 < len(texts) ** 2 / 8
+    same = spark.createDataFrame([(i, 7) for i in range(len(texts))], "key long, c long")
+    assert near_copies.unlike_pairs(same, spark.createDataFrame(list(enumerate(texts)), "key long, text string")).count() == 0
