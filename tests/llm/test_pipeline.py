@@ -1,6 +1,7 @@
 """Stages and queries over a small folder of tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -61,7 +62,7 @@ def test_run(spark, folder):
 def test_queries_run(spark, folder, name):
     out = registry.QUERIES[name](spark, folder)
     got = out.toPandas()
-    if name != "op5_topk":
+    if name not in ("op5_topk", "op11_spelling"):  # a row for each query and neighbour, and for each word
         assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert name in entry.queries()
 
@@ -74,5 +75,7 @@ def test_queries_against_sql(spark, name):
     for t in ("documents", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = db.execute(registry.ORACLES[name]()).df()
-    key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(str).values))
+    # a column of whole numbers with nulls is one of fractions in the one and not in the other
+    plain = lambda v: "null" if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v)
+    key = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert sorted(got.columns) == sorted(want.columns) and key(got) == key(want)
