@@ -4,8 +4,8 @@ Rows are filled in the order of tid: a row's candidates are reweighted by what t
 rows (the earlier row as t1, the candidate as t2), times exp(-weight). Rows interact only through two-tuple constraints that
 become complete at the target; where all of these compare a common, already generated attribute for equality, rows of
 different values never meet, so each value is a sequence of its own and the sequences run in parallel. Only where no such attribute
-exists is the whole table one sequence. A sequence is streamed, sorted by tid: a task keeps tallies (order predicates: the values they compare), and rows only where
-the mcmc sampler redraws them. Rows carry no candidates: before its rows a task is told the shares of the combinations of parents among them.
+exists is the whole table one sequence. A sequence is streamed, sorted by tid: a task keeps tallies (order predicates: the values they compare), never rows;
+each turn of the mcmc sampler is a pass of its own over the filled rows. Rows carry no candidates: before its rows a task is told the shares of the combinations of parents among them.
 
 Where rows don't interact nothing is sequential: draws are joins on the model, the target of one hard dependency is
 its key's best value, and a number in a dependency is its model's mean. Every constraint acts: also those of one tuple, of constants and between different attributes. Candidates
@@ -181,35 +181,18 @@ class Sequencer:
         cdf = np.cumsum(q) / q.sum()
         return values[min(int(np.searchsorted(cdf, keyed(self.settings.seed, f"{stream}.pick", tid), "right")), len(values) - 1)]
 
-    def redrawn(self, tid: int) -> int:
-        """How often the mcmc sampler redraws a cell."""
-        steps = self.settings.steps
-        return int(steps) + (keyed(self.settings.seed, f"mcmc.{self.target}", tid) < steps - int(steps))
+    def stream(self, batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str], kept: pa.Schema, turn: int | None = None) -> Iterator[pa.RecordBatch]:
+        """What the task is told of the model, then rows sorted by keys and tid, filled; a sequence starts where the keys change.
 
-    def stream(self, batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str], kept: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """What the task is told of the model, then rows sorted by keys and tid, filled; a sequence starts where the keys change."""
-        mcmc, made = self.settings.sampler == "mcmc", "float64" if self.numeric else "object"
-        key, seen, held = None, [], []
+        In a `turn` of the mcmc sampler rows are filled already: of each sequence all rows come first, for the tallies, then once more those that are drawn again, in the order of tid,
+        each given all other rows as they then are."""
+        made, key, seen = "float64" if self.numeric else "object", None, []
 
         def frame(rows: list[Mapping], like: pd.DataFrame) -> pa.RecordBatch:
             out = {c: pd.Series([r[c] for r in rows], dtype=like[c].dtype) for c in names if c != self.target}
             whole = pd.DataFrame({**out, self.target: pd.Series([r[self.target] for r in rows], dtype=made)})[list(names)]
             return pa.RecordBatch.from_pandas(whole, schema=kept, preserve_index=False)
 
-        def ended() -> list[Mapping]:
-            """The cells of a finished sequence that are drawn again, pass by pass in the order of tid."""
-            for turn in range(max((self.redrawn(r["tid"]) for r in held), default=0)):
-                for row in held:
-                    if turn >= self.redrawn(row["tid"]):
-                        continue
-                    for tally in seen:
-                        tally.add(row, row[self.target], -1)
-                    row[self.target] = self.choose(seen, row, row["tid"], f"mcmc.{self.target}.{turn}")
-                    for tally in seen:
-                        tally.add(row, row[self.target])
-            return held
-
-        last = None
         for batch in batches:
             if not self.numeric:
                 told = batch.column("kind_").to_numpy() < 2
@@ -219,19 +202,22 @@ class Sequencer:
             if not batch.num_rows:
                 continue
             pdf = batch.to_pandas()
-            out, last = [], pdf
+            out = []
             for row in pdf.to_dict("records"):
                 at = tuple(row[k] for k in keys)
                 if at != key or not seen:
-                    out += ended()
-                    key, held, seen = at, [], [Tally(dc, self.target) for dc in self.dcs]
-                row[self.target] = self.choose(seen, row, row["tid"], f"fill.{self.target}", row["tid"] == self.first)
+                    key, seen = at, [Tally(dc, self.target) for dc in self.dcs]
+                if turn is None:
+                    row[self.target] = self.choose(seen, row, row["tid"], f"fill.{self.target}", row["tid"] == self.first)
+                elif row["phase_"]:
+                    for tally in seen:
+                        tally.add(row, row[self.target], -1)
+                    row[self.target] = self.choose(seen, row, row["tid"], f"mcmc.{self.target}.{turn}")
                 for tally in seen:
                     tally.add(row, row[self.target])
-                (held if mcmc and self.redrawn(row["tid"]) else out).append(row)
+                if turn is None or row["phase_"] or not row["again_"]:
+                    out.append(row)
             yield frame(out, pdf)
-        if held:
-            yield frame(ended(), last)
 
 
 def _parents_of(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence[DenialConstraint], settings: Settings, bounds: tuple[float, float] | None) -> tuple[str, ...]:
@@ -285,15 +271,19 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
     if numeric:
         model = lambda by: ConditionalNormal(target, by, settings.sigma_model, settings.seed, settings.domains, (lo, hi)).fit(true)
         found = model(parents).select(*keys_of, F.col("mu").alias("mu_"), F.col("sigma").alias("sigma_"))
-        rows = syn.join(found, _same(parents), "left").drop(*[f"k{i}_" for i in range(len(parents))])
-        if len(parents) > 1:  # combinations that never occur
-            whole = model(()).select(F.col("mu").alias("amu_"), F.col("sigma").alias("asd_"))
-            rows = rows.join(F.broadcast(whole)).withColumns({"mu_": F.coalesce("mu_", "amu_"), "sigma_": F.coalesce("sigma_", "asd_")})
+
+        def with_model(base: DataFrame) -> DataFrame:
+            rows = base.join(found, _same(parents), "left").drop(*[f"k{i}_" for i in range(len(parents))])
+            if len(parents) > 1:  # combinations that never occur
+                whole = model(()).select(F.col("mu").alias("amu_"), F.col("sigma").alias("asd_"))
+                rows = rows.join(F.broadcast(whole)).withColumns({"mu_": F.coalesce("mu_", "amu_"), "sigma_": F.coalesce("sigma_", "asd_")}).drop("amu_", "asd_")
+            return rows
+
+        rows = with_model(syn)
         depends = any(dc.is_fd for dc in dcs)  # a number in a dependency takes the mean
         if not dcs or depends:
             x = F.col("mu_") if depends else F.col("mu_") + F.col("sigma_") * rng.normal(settings.seed, stream, F.col("tid"))
             return rows.select(*named, F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi))).alias(target))
-        rows = rows.select(*named, "mu_", "sigma_", F.lit(float(lo)).alias("lo_"), F.lit(float(hi)).alias("hi_"))
     else:
         model = ConditionalHistogram(target, parents, settings.sigma_model, settings.alpha, settings.seed, settings.domains)
         plain = replace(model, parents=())
@@ -329,14 +319,30 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
     by = [F.col(f"`{k}`") for k in keys]
     # the number is given, so that adaptive execution does not merge partitions that are small but slow
     parts = int(syn.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
-    if not numeric:
-        # rows of equal parents go together if nothing else says where they go, a few salts apart
-        near = [F.xxhash64(*[F.col(f"`{c}`") for c in parents], F.pmod("tid", F.lit(SALTS)))] if alone else [F.xxhash64(*by)]
-        rows = _with_model(syn, F.pmod(*near, F.lit(parts)).cast("int") if keys else F.lit(0), parts, parents, cells, plain.fit(true), dict(true.dtypes)[target])
-        rows = rows.repartitionById(parts, "part_").sortWithinPartitions("kind_", *by, "tid")
-    elif not alone:
-        rows = rows.repartition(parts, *by).sortWithinPartitions(*by, "tid")
-    return rows.mapInArrow(lambda batches: work.stream(batches, keys, names, kept), types)
+    # rows of equal parents go together if nothing else says where they go, a few salts apart
+    near = [F.xxhash64(*[F.col(f"`{c}`") for c in parents], F.pmod("tid", F.lit(SALTS)))] if alone else [F.xxhash64(*by)]
+
+    def streamed(base: DataFrame, turn: int | None = None) -> DataFrame:
+        order = [*by, *(["phase_"] if turn is not None else []), "tid"]
+        if numeric:
+            rows = with_model(base).withColumns({"lo_": F.lit(float(lo)), "hi_": F.lit(float(hi))})
+            rows = rows if alone else rows.repartition(parts, *by).sortWithinPartitions(*order)
+        else:
+            rows = _with_model(base, F.pmod(*near, F.lit(parts)).cast("int") if keys else F.lit(0), parts, parents, cells, whole, dict(true.dtypes)[target])
+            rows = rows.repartitionById(parts, "part_").sortWithinPartitions("kind_", *order)
+        return rows.mapInArrow(lambda batches: work.stream(batches, keys, names, kept, turn), types)
+
+    whole = None if numeric else plain.fit(true)
+    out = streamed(syn)
+    sure = int(settings.steps) if settings.sampler == "mcmc" else 0
+    for turn in range(sure + (settings.sampler == "mcmc" and settings.steps > sure)):
+        # the last turn redraws a share of the cells
+        again = F.lit(True) if turn < sure else rng.uniform(settings.seed, f"mcmc.{target}", F.col("tid")) < F.lit(settings.steps - sure)
+        base = checkpoint(out).withColumn("again_", again)
+        if fitted is not None:
+            base = base.withColumn("f_", f)
+        out = streamed(base.withColumn("phase_", F.explode(F.when(F.col("again_"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))), turn)
+    return out
 
 
 #: Where rows go by their parents, the partitions that share a combination of parents.

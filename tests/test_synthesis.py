@@ -195,6 +195,35 @@ def test_mcmc_redraws_given_all_rows(spark):
     assert sorted(map(tuple, made.collect())) != sorted(map(tuple, plain.collect()))
 
 
+@pytest.mark.parametrize("k", [0, 3, 6, 9])
+def test_mcmc_is_the_plain_gibbs_sampler(spark, k):
+    """Every turn, row by row in the order of tid, against all other rows of the key."""
+    true = tables(spark, 150)
+    dcs, weights, settings = [dc(SHAPES[k]), dc(SHAPES[12])], [0.3, 0.5], Settings(seed=4, sampler="mcmc", steps=1.4)
+    syn = true.drop("v")
+    start = {r.tid: r.v for r in constrained.fill_attribute(syn, true, "v", dcs, weights, Settings(seed=4), parents=("g",)).collect()}
+    got = {r.tid: r.v for r in constrained.fill_attribute(syn, true, "v", dcs, weights, settings, parents=("g",)).collect()}
+    counts = Counter((r.g, r.v) for r in true.collect())
+    cells = {g: sorted(((n / sum(m for (h, _), m in counts.items() if h == g), v) for (h, v), n in counts.items() if h == g), reverse=True) for g in range(4)}
+    rows = {r.tid: {**r.asDict(), "v": start[r.tid]} for r in syn.collect()}
+    keys = constrained.sequence_keys(dcs, "v")
+    for turn in range(2):
+        for tid in sorted(rows):
+            if turn and keyed(4, "mcmc.v", tid) >= settings.steps - 1:
+                continue
+            row = rows[tid]
+            others = [r for t, r in rows.items() if t != tid and all(r[c] == row[c] for c in keys)]
+            values, p = [v for _, v in cells[row["g"]]], np.array([q for q, _ in cells[row["g"]]])
+            q = p * np.array([math.exp(-min(slow_load(dcs, weights, others, {**row, "v": v}), 700.0)) for v in values])
+            if any(c.is_fd for c in dcs):
+                row["v"] = values[int(np.argmax(q))]
+            else:
+                cdf = np.cumsum(q) / q.sum()
+                row["v"] = values[min(int(np.searchsorted(cdf, keyed(4, f"mcmc.v.{turn}.pick", tid), "right")), len(values) - 1)]
+    assert got == {t: r["v"] for t, r in rows.items()}
+    assert k == 3 or got != start  # a dependency's best values stay the best
+
+
 # --- privacy
 
 
