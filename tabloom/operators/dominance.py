@@ -91,14 +91,16 @@ def count_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) ->
     return out
 
 
-def last_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) -> np.ndarray:
-    """For each query the point of the largest second code among those whose both codes are smaller; -1 if there is none."""
+def last_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray], least: np.ndarray | None = None) -> np.ndarray:
+    """For each query the point of the largest second code among those whose both codes are smaller; -1 if there is none, or none whose second code is at least the query's `least`."""
     if not len(points[0]) or not len(queries[0]):
         return np.full(len(queries[0]), -1, np.int64)
     known, rank = np.unique(np.concatenate([points[0], queries[0]]), return_inverse=True)
     r, q = rank[: len(points[0])], rank[len(points[0]) :]
     low = min(int(points[1].min()), int(queries[1].min()))
-    y, z = points[1] - low, queries[1] - low
+    if least is not None:
+        low = min(low, int(least.min()))
+    y, z, floor = points[1] - low, queries[1] - low, (least - low if least is not None else np.zeros(len(q), np.int64))
     wide = max(int(y.max()), int(z.max())) + 1
     best, found, level = np.full(len(q), -1, np.int64), np.full(len(q), -1, np.int64), 0
     while len(known) > 1 << level:
@@ -109,7 +111,7 @@ def last_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) ->
             start = (q[b] >> (level + 1)) * wide
             at = np.searchsorted(inside[order], start + z[b], "left") - 1
             near = np.maximum(at, 0)
-            code = np.where((at >= 0) & (inside[order][near] >= start), inside[order][near] - start, -1)
+            code = np.where((at >= 0) & (inside[order][near] >= start + floor[b]), inside[order][near] - start, -1)
             better = code > best[b]
             best[b[better]], found[b[better]] = code[better], a[order][near[better]]
         level += 1
@@ -230,24 +232,35 @@ def nearest_before(rows: DataFrame, keys: Sequence[str], descending: bool, block
             points, queries = np.flatnonzero(~query), np.flatnonzero(query)
             if not len(points):
                 return pa.table({"tid": t.column("tid_").slice(0, 0), "near": t.column("tid_").slice(0, 0), "v": t.column("v_").slice(0, 0)})
-            order = np.lexsort((-t.column("tid_").to_numpy()[points], code[points]))
+            # the keys of a block are told apart by a part of the code: points lie by key, value and tid
+            key = t.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(code), np.int64)
+            code = code - code.min()
+            base = key * (int(code.max()) + 1)
+            order = np.lexsort((-t.column("tid_").to_numpy()[points], (base + code)[points]))
             place = np.empty(len(points), np.int64)
             place[order] = np.arange(len(points))
-            ends = np.searchsorted(code[points][order], code[queries], "right")
+            lying = (base + code)[points][order]
+            ends, begins = np.searchsorted(lying, (base + code)[queries], "right"), np.searchsorted(lying, base[queries], "left")
             x = t.column(first).to_numpy().astype(np.int64)
-            near = last_before([x[points], place], [x[queries], ends])
+            near = last_before([x[points], place], [x[queries], ends], begins)
             at = np.flatnonzero(near >= 0)
             found = pa.array(points[near[at]])
             return pa.table({"tid": t.column("tid_").take(pa.array(queries[at])), "near": t.column("tid_").take(found), "v": t.column("v_").take(found)})
 
         return work
 
-    parts = [rows.select(*keys, "tid_", "query_", "v_", "b0_").groupBy(*keys, "b0_").applyInArrow(within("tid_"), schema)]
+    parts = [rows.select(*keys, "tid_", "query_", "v_", "b0_").groupBy("b0_").applyInArrow(within("tid_"), schema)]
     if blocks > 1:
-        parts.append(rows.select(*keys, "tid_", "query_", "v_", "b0_", "b1_").groupBy(*keys, "b1_").applyInArrow(within("b0_"), schema))
+        parts.append(rows.select(*keys, "tid_", "query_", "v_", "b0_", "b1_").groupBy("b1_").applyInArrow(within("b0_"), schema))
         point = lambda *c: F.when(~F.col("query_"), F.struct(*c))
         best = F.min(point("v_", "tid_")) if descending else F.max(point("v_", (-F.col("tid_")).alias("n_")))
         tid_of = F.col("m_.tid_") if descending else -F.col("m_.n_")
+        if keys:  # only keys that more than one block of tid holds have such pairs: no more keys than blocks
+            wide = rows.groupBy(*[F.col(k).alias(f"w{k}") for k in keys]).agg(F.min("b0_").alias("lo_"), F.max("b0_").alias("hi_")).filter("lo_ < hi_")
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"w{k}"))
+            rows = rows.join(F.broadcast(wide), same, "left_semi")
         cells = rows.groupBy(*keys, "b0_", "b1_").agg(best.alias("m_")).select(*keys, "b0_", "b1_", tid_of.alias("tid_"), F.col("m_.v_").alias("v_")).withColumn("one_", F.lit(0))
 
         def grid(t: pa.Table) -> pa.Table:
