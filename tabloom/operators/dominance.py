@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tabloom.sources.shared import checkpoint
 
-#: Rows of a block, cells of the grid, ranks that are compared outright.
-BLOCK_ROWS, CELLS, PIECE = 65_536, 1 << 24, 256
+#: Rows of a block, cells of the grid (one task holds them all).
+BLOCK_ROWS, CELLS = 65_536, 1 << 21
+#: Within a task: rows that are compared by sets of bits, cells of a grid for each row, and at most.
+FEW, GRID_SHARE, GRID_CELLS = 8192, 32, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -63,31 +65,79 @@ def count_before(points: Sequence[np.ndarray], queries: Sequence[np.ndarray]) ->
         return np.searchsorted(np.sort(points[0]), queries[0], "left").astype(np.int64)
     if len(points) == 2:
         return dominated(queries[0], points[0], queries[1], points[1])
-    known, rank = np.unique(np.concatenate([points[0], queries[0]]), return_inverse=True)
-    r, q = rank[: len(points[0])], rank[len(points[0]) :]
-    out, level = np.zeros(len(q), np.int64), 0
-    if 4 * len(known) >= len(rank):  # few rows for each rank: neighbours are compared outright
-        level = PIECE.bit_length() - 1
-        by_r, by_q = np.argsort(r, kind="stable"), np.argsort(q, kind="stable")
-        cuts = np.arange(0, len(known) + PIECE, PIECE)
-        at_r, at_q = np.searchsorted(r[by_r], cuts), np.searchsorted(q[by_q], cuts)
-        for k in range(len(cuts) - 1):
-            a, b = by_r[at_r[k] : at_r[k + 1]], by_q[at_q[k] : at_q[k + 1]]
-            if len(a) and len(b):
-                ok = points[0][a][:, None] < queries[0][b][None, :]
-                for x, y in zip(points[1:], queries[1:]):
-                    ok &= x[a][:, None] < y[b][None, :]
-                out[b] += ok.sum(0)
-    low = min(int(points[1].min()), int(queries[1].min()))
-    wide = max(int(points[1].max()), int(queries[1].max())) - low + 2
-    while len(known) > 1 << level:  # of two halves of a node the lower has the points, the upper the queries
-        a, b = np.flatnonzero(~(r >> level) & 1), np.flatnonzero((q >> level) & 1)
-        if len(a) and len(b):
-            start = (q[b] >> (level + 1)) * wide
-            inside = [(r[a] >> (level + 1)) * wide + (points[1][a] - low), *(x[a] for x in points[2:])]
-            rest = [y[b] for y in queries[2:]]
-            out[b] += count_before(inside, [start + (queries[1][b] - low), *rest]) - count_before(inside, [start, *rest])
-        level += 1
+    query = np.repeat([False, True], [len(points[0]), len(queries[0])])
+    ranks = [np.unique(np.concatenate([p, q]), return_inverse=True) for p, q in zip(points, queries)]
+    return _met([r for _, r in ranks], [len(known) for known, _ in ranks], query)[query]
+
+
+def _order(codes: np.ndarray) -> np.ndarray:
+    """As a stable argsort; code and row are one number, as numbers are sorted much faster than places of numbers. Codes are few times the rows."""
+    bits = len(codes).bit_length()
+    return np.sort(codes << bits | np.arange(len(codes))) & (1 << bits) - 1
+
+
+def _places(codes: np.ndarray) -> np.ndarray:
+    """Each row's place in the order of the codes."""
+    out = np.empty(len(codes), np.int64)
+    out[_order(codes)] = np.arange(len(codes))
+    return out
+
+
+def _few_met(codes: Sequence[np.ndarray], widths: Sequence[int], query: np.ndarray) -> np.ndarray:
+    """`_met` for few rows: each order gives a query the set of the points before it, one bit for each point, and the sets are intersected."""
+    points = np.flatnonzero(~query)
+    bit = np.zeros((len(query), -(-len(points) // 64)), np.uint64)
+    bit[points, np.arange(len(points)) >> 6] = np.uint64(1) << (np.arange(len(points)) & 63).astype(np.uint64)
+    held = None
+    for code, width in zip(codes, widths):
+        order = _order(2 * code + ~query if width else code)
+        lies = ~query[order]
+        before = np.zeros((len(points) + 1, bit.shape[1]), np.uint64)
+        np.bitwise_or.accumulate(bit[order[lies]], axis=0, out=before[1:])
+        number = np.empty(len(query), np.int64)
+        number[order] = np.cumsum(lies)
+        sets = before[number[query]]
+        held = sets if held is None else np.bitwise_and(held, sets, out=held)
+    out = np.zeros(len(query), np.int64)
+    out[query] = np.bitwise_count(held).sum(1, dtype=np.int64)
+    return out
+
+
+def _met(codes: Sequence[np.ndarray], widths: Sequence[int], query: np.ndarray) -> np.ndarray:
+    """For each row that is a query the points that come before it in every order, as `counts_before` finds them: by blocks in each order and a grid.
+
+    An order of width 0 has places, different for all rows; one of another width has numbers of blocks below it. An order of no more numbers than the grid
+    has cells along it needs no blocks of its own, as a point of the same number is not before."""
+    size, total, out = len(query), int(query.sum()), np.zeros(len(query), np.int64)
+    if not total or total == size:
+        return out
+    if size <= FEW:
+        return _few_met(codes, widths, query)
+    room, cells, told = min(GRID_SHARE * size, GRID_CELLS), [0] * len(codes), sorted(range(len(codes)), key=lambda j: widths[j] or size)
+    for n, j in enumerate(told):  # what narrow orders leave is shared by the others
+        cells[j] = min(widths[j] or size, max(2, int(room ** (1 / (len(told) - n)))))
+        room = max(1.0, room / cells[j])
+    codes, blocks, wide = list(codes), [], []
+    for j, n in enumerate(cells):
+        if widths[j] and widths[j] <= n:
+            blocks.append(codes[j])
+            continue
+        wide.append(j)
+        codes[j] = _places(2 * codes[j] + ~query if widths[j] else codes[j])
+        blocks.append(codes[j] * n // size)
+    grid = np.zeros([n + 1 for n in cells], np.int32 if size < 1 << 31 else np.int64)
+    np.add.at(grid, tuple(b[~query] + 1 for b in blocks), 1)
+    for axis in range(len(cells)):
+        np.cumsum(grid, axis=axis, out=grid)
+    out[query] = grid[tuple(b[query] for b in blocks)]
+    del grid
+    for j in wide:
+        order = _order(blocks[j])
+        ends = np.searchsorted(blocks[j][order], np.arange(cells[j] + 1))
+        kinds = [cells[i] if i < j or i not in wide else 0 for i in range(len(codes))]
+        for a, b in zip(ends[:-1], ends[1:]):
+            sel = order[a:b]
+            out[sel] += _met([(codes if n == 0 else blocks)[i][sel] for i, n in enumerate(kinds)], kinds, query[sel])
     return out
 
 
@@ -166,6 +216,8 @@ def counts_before(rows: DataFrame, keys: Sequence[str], orders: Sequence[Order],
     parts = []
     for i in range(width if blocks > 1 else 1):
         held = rows.select(*keys, "tid_", "query_", *[f"b{j}_" for j in range(i + 1)], *[f"v{j}_" for j in range(i, width)])
+        if blocks > 1:  # about one block for each task
+            held = held.repartition(blocks, *keys, f"b{i}_")
         parts.append(held.groupBy(*keys, f"b{i}_").applyInArrow(within(i), "tid long, n long"))
     if blocks > 1:
         parts.append(_grid(rows, keys, [f"b{i}_" for i in range(width)], per_row))

@@ -156,3 +156,15 @@ def test_tables(spark, tmp_path):
     assert sorted(r.tid for r in tables.with_tid(df).collect()) == [0, 1]
     assert tables.output_name("adult", 1.0, {"ar": True, "mcmc": 0}) == "adult_eps1_ar1_mcmc0"
     assert tables.load_view(df, "v_").count() == spark.sql("select * from v_").count()
+
+
+def test_blocks_in_a_task_and_a_small_grid(monkeypatch):
+    """Counts in three to five orders by blocks, grid and sets of bits are those of all pairs; one task's grid stays far below a table's rows."""
+    monkeypatch.setattr(dominance, "FEW", 64)
+    rng = np.random.default_rng(3)
+    for width in (3, 4, 5):
+        for many in (3, 40, 10**6):
+            points, queries = ([rng.integers(0, many if j else 5, n) for j in range(width)] for n in (700, 900))
+            want = np.logical_and.reduce([p[:, None] < q[None, :] for p, q in zip(points, queries)]).sum(0)
+            assert (dominance.count_before(points, queries) == want).all()
+    assert dominance.CELLS <= 1 << 21
