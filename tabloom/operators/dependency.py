@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,29 +50,40 @@ def monotone_fill(df: DataFrame, keys: Sequence[str], by: str, drawn: str, again
     """`name` from proposals in `drawn`, never decreasing in `by` within the keys.
 
     Rows are taken by tid. A row whose `by` was seen takes the value given then; a proposal outside what earlier rows allow is
-    replaced by the point at `again` (a uniform in [0, 1)) between the bounds. Earlier rows decide later ones, so a key is one sequence."""
+    replaced by the point at `again` (a uniform in [0, 1)) between the bounds. Earlier rows decide later ones, so a key is one sequence, streamed:
+    a task keeps the different values of `by` of one key, never its rows."""
     kinds = dict(df.dtypes)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(tid, kind="stable")
-        known: list = []
-        given: dict = {}
-        out = []
-        for x, v, u in zip(pdf[by], pdf[drawn], pdf[again]):
-            if x in given:
-                out.append(given[x])
-                continue
-            at = bisect.bisect_left(known, x)
-            low = given[known[at - 1]] if at else lo
-            high = given[known[at]] if at < len(known) else hi
-            value = v if low <= v <= high else low + u * (high - low)
-            bisect.insort(known, x)
-            given[x] = value
-            out.append(value)
-        return pdf.assign(**{name: pd.Series(out, pdf.index, dtype="float64")})
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known, given = None, [], {}
+        for batch in batches:
+            out = []
+            held = [batch.column(c).to_pylist() for c in keys]
+            for i, (x, v, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in (by, drawn, again)))):
+                at = tuple("nan" if h[i] != h[i] else h[i] for h in held)
+                if at != key:
+                    key, known, given = at, [], {}
+                v, u = math.nan if v is None else v, math.nan if u is None else u
+                if x is None or x != x:  # bound by no row, and binds none
+                    out.append(v if lo <= v <= hi else lo + u * (hi - lo))
+                    continue
+                if x in given:
+                    out.append(given[x])
+                    continue
+                at = bisect.bisect_left(known, x)
+                low = given[known[at - 1]] if at else lo
+                high = given[known[at]] if at < len(known) else hi
+                value = v if low <= v <= high else low + u * (high - low)
+                known.insert(at, x)
+                given[x] = value
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double"
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).applyInPandas(scan, schema)
+    by_key = [F.col(f"`{k}`") for k in keys]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if keys else 1
+    rows = df.repartition(parts, *by_key) if keys else df.repartition(1)
+    return rows.sortWithinPartitions(*by_key, F.col(f"`{tid}`")).mapInArrow(scan, schema)
 
 
 def repaired(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -142,3 +142,12 @@ def test_profile(df):
     assert profile.domains(df) == {"tid": 200, "k": 5, "v": 2, "c": 3, "x": 17}
     assert profile.attribute_sequence(df, [dc("t1&t2&EQ(t1.k,t2.k)&IQ(t1.v,t2.v)")], ["c", "x", "k", "v"]) == ["k", "v", "c", "x"]
     assert profile.uniqueness(df, ["k"]).first() == (200, 5)
+
+
+def test_monotone_fill_streams_its_keys(spark):
+    """No key's rows are gathered in a task, and a row without a number neither binds others nor is bound."""
+    rows = spark.createDataFrame([(1, "a", None, 0.9, 0.5), (2, "a", 2.0, 0.95, 0.5), (3, "a", 1.0, 0.97, 0.5), (4, "b", 1.0, 0.99, 0.5), (5, None, 1.0, 0.2, 0.5)], "tid long, k string, x double, drawn double, again double")
+    made = dependency.monotone_fill(rows, ["k"], "x", "drawn", "again", 0.0, 1.0, "rate")
+    assert {r.tid: r.rate for r in made.collect()} == {1: 0.9, 2: 0.95, 3: 0.475, 4: 0.99, 5: 0.2}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
