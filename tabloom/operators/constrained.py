@@ -35,7 +35,7 @@ from tabloom.functions.rng import keyed
 from tabloom.operators import dependency, logistic, sampling, transform
 from tabloom.operators.model import ConditionalHistogram, ConditionalNormal, information_sensitivity, most_informative
 from tabloom.operators.profile import attribute_roles, attribute_sequence, domains
-from tabloom.operators.tally import Tally
+from tabloom.operators.tally import Counts, Tally
 from tabloom.plans import sequence as seq
 from tabloom.plans.constraint import DenialConstraint
 from tabloom.sources.shared import checkpoint
@@ -45,6 +45,8 @@ from tabloom.sources.store import Store, content
 DRAWS, TRIES, AR_TRIES = 20, 3, 300
 #: A load beyond this leaves nothing of a probability.
 HARD_LOAD = 700.0
+#: Rows of a block whose values are guessed at once, cells (rows by values of the target), guesses; values beyond which rows are taken one by one. Below every number that is drawn.
+BLOCK, BLOCK_CELLS, GUESSES, WIDE, LEAST = 8192, 1 << 18, 16, 4096, 0.5 / 4503599627370496.0
 
 
 @dataclass(frozen=True)
@@ -220,6 +222,158 @@ class Sequencer:
             yield frame(out, pdf)
 
 
+class BlockSequencer(Sequencer):
+    """The same draws for constraints of = and <> only, many rows at once.
+
+    A row's value depends on earlier rows by counts alone. So the values of a block of rows are guessed, what each row would then draw is worked out for all of them at once, and that is the
+    next guess. A row before the first one that changed had its true earlier rows, and so has that one; once none changes, all are what they are one after another. Blocks grow while few guesses suffice and
+    shrink else."""
+
+    def learn(self, told: pa.RecordBatch) -> None:
+        super().learn(told)
+        self.values = list(dict.fromkeys(v for some in self.shares.values() for _, v in some))
+        self.index, self.lists, self.counts = {v: i for i, v in enumerate(self.values)}, {}, None
+
+    def listed(self, key: tuple | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pages of candidates (places of values, shares) as `pages` gives them."""
+        if key not in self.lists:
+            values, p = self.candidates(key)
+            at, size = np.array([self.index[v] for v in values], np.int64), (self.settings.sampler != "ar" and self.settings.page) or len(values)
+            pages = [(at[a : a + size], p[a : a + size]) for a in range(0, min(len(at), size * TRIES), size)]
+            self.lists[key] = [(at, p)] if key is None else pages + self.listed(None)
+        return self.lists[key]
+
+    def uniforms(self, stream: str, rows: np.ndarray) -> np.ndarray:
+        """Numbers of these rows of the batch, each worked out once."""
+        known = self.drawn_.setdefault(stream, np.full(len(self.tids), np.nan))
+        for i in rows[np.isnan(known[rows])]:
+            known[i] = keyed(self.settings.seed, stream, self.tids[i])
+        return known[rows]
+
+    def _by_page(self, rows: np.ndarray, page: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions in `rows`, places of values, shares), together those whose page is of one length."""
+        lists = [pages[page] if page < len(pages) else None for pages in self.given_]
+        sizes = np.array([-1 if x is None else len(x[0]) for x in lists])[self.parent_[rows]]
+        for size in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == size)
+            used, which = np.unique(self.parent_[rows[at]], return_inverse=True)
+            yield at, np.array([lists[k][0] for k in used])[which], np.array([lists[k][1] for k in used])[which]
+
+    def _picked(self, places: np.ndarray, q: np.ndarray, rows: np.ndarray, stream: str, best: bool) -> np.ndarray:
+        lead = np.full(len(rows), best and self.greedy) | (best & (self.leads_[rows]))
+        k = np.argmax(q, axis=1)
+        if not lead.all():
+            rest = np.flatnonzero(~lead)
+            cdf = np.cumsum(q[rest], axis=1) / q[rest].sum(1)[:, None]
+            k[rest] = np.minimum((cdf <= self.uniforms(f"{stream}.pick", rows[rest])[:, None]).sum(1), q.shape[1] - 1)
+        return places[np.arange(len(rows)), k]
+
+    def chosen(self, load: np.ndarray, rows: np.ndarray, stream: str) -> np.ndarray:
+        """Places of the values that these rows draw, as `choose`."""
+        out, one = np.full(len(rows), -1, np.int64), self.settings.sampler == "ar"
+        if one and len(rows):
+            self.accepted(load, rows, stream, out)
+        for page in range(max(map(len, self.given_))):
+            open_ = np.flatnonzero(out < 0)
+            for at, places, p in self._by_page(rows[open_], page):
+                at = open_[at]
+                q = p * np.exp(-np.minimum(np.take_along_axis(load[at], places, 1), HARD_LOAD))
+                some = q.sum(1) > 1e-300
+                out[at[some]] = self._picked(places[some], q[some], rows[at[some]], stream, not one)
+        open_ = np.flatnonzero(out < 0)
+        for at, places, p in self._by_page(rows[open_], 0):
+            out[open_[at]] = self._picked(places, p, rows[open_[at]], stream, not one)
+        return out
+
+    def accepted(self, load: np.ndarray, rows: np.ndarray, stream: str, out: np.ndarray) -> None:
+        """Fills in what is drawn and accepted; rows that refuse all are left."""
+        for at, places, p in self._by_page(rows, 0):
+            chance, cdf = np.exp(-np.minimum(np.take_along_axis(load[at], places, 1), HARD_LOAD)), np.cumsum(p, axis=1) / p.sum(1)[:, None]
+            open_ = np.flatnonzero(chance.max(1) > LEAST)  # else each number that is drawn refuses
+            for attempt in range(AR_TRIES):
+                if not len(open_):
+                    break
+                of = rows[at[open_]]
+                k = np.minimum((cdf[open_] <= self.uniforms(f"{stream}.ar{attempt}", of)[:, None]).sum(1), p.shape[1] - 1)
+                yes = self.uniforms(f"{stream}.accept{attempt}", of) < chance[open_, k]
+                out[at[open_[yes]]] = places[open_[yes], k[yes]]
+                open_ = open_[~yes]
+
+    def settle(self, a: int, b: int, asks: np.ndarray, old: np.ndarray | None, value: np.ndarray, stream: str) -> int:
+        """Values of rows a to b of the batch, as far as they are sure; returns how many."""
+        size, wide = b - a, len(self.values)
+        line, rows = np.arange(size), a + np.flatnonzero(asks[a:b])
+        before = None
+        if old is not None:
+            before = np.zeros((size, wide), np.int64)
+            before[rows - a, old[rows]] = -1
+        for c in self.counts:
+            c.block(a, b)
+        guess, moved, sure = (None if old is None else old[a:b].copy()), None, 0
+        for turn in range(GUESSES):
+            moved = np.zeros((size, wide), np.int64) if before is None else before.copy()
+            if guess is not None:
+                moved[line, guess] += 1
+            load = np.zeros((size, wide))
+            for c, w in zip(self.counts, self.weights):
+                load += w * c.violations(moved, before)
+            now = np.zeros(size, np.int64) if old is None else old[a:b].copy()
+            now[rows - a] = self.chosen(load[rows - a], rows, stream)
+            if guess is not None:
+                other = np.flatnonzero(now != guess)
+                sure = int(other[0]) + 1 if len(other) else size
+            else:
+                sure = 1
+            guess = now
+            if sure == size:
+                break
+        value[a : a + sure] = guess[:sure]
+        moved = np.zeros((size, wide), np.int64) if before is None else before
+        moved[line, guess] += 1
+        for c in self.counts:
+            c.accept(moved, sure)
+        self.size = min(BLOCK, self.size * 2) if sure == size and turn < GUESSES // 2 else max(8, self.size // 2) if sure < size else self.size
+        return sure
+
+    def stream(self, batches: Iterator[pa.RecordBatch], keys: Sequence[str], names: Sequence[str], kept: pa.Schema, turn: int | None = None) -> Iterator[pa.RecordBatch]:
+        held, self.size = None, 64
+        for batch in batches:
+            told = batch.column("kind_").to_numpy() < 2
+            if told.any():
+                self.learn(batch.filter(pa.array(told)))
+            batch = batch.filter(pa.array(~told))
+            if not batch.num_rows:
+                continue
+            size = batch.num_rows
+            if self.counts is None:
+                self.counts = [Counts(dc, self.target, len(self.values)) for dc in self.dcs]
+            columns = {c: batch.column(c).to_pandas().to_numpy() for c in {*keys, *self.parents, *(a for c in self.counts for a in c.used)}}
+            self.tids, self.drawn_ = batch.column("tid").to_pylist(), {}
+            parent = np.zeros(size, np.int64)
+            for k in self.parents:
+                code = pd.factorize(columns[k])[0] + 1
+                parent = np.unique(parent * (int(code.max()) + 1) + code, return_inverse=True)[1]
+            _, first, self.parent_ = np.unique(parent, return_index=True, return_inverse=True)
+            self.given_ = [self.listed(tuple(None if columns[k][i] is None or columns[k][i] != columns[k][i] else columns[k][i] for k in self.parents)) for i in first]
+            self.leads_ = (batch.column("tid").to_numpy() == self.first) if turn is None else np.zeros(size, bool)
+            asks, old, stream = np.ones(size, bool), None, f"fill.{self.target}"
+            if turn is not None:
+                asks, stream = batch.column("phase_").to_numpy() == 1, f"mcmc.{self.target}.{turn}"
+                old = np.array([self.index[v] for v in batch.column(self.target).to_pylist()], np.int64)
+            for c in self.counts:
+                c.begin(columns, size)
+            value, at, most = np.zeros(size, np.int64), 0, max(8, BLOCK_CELLS // len(self.values))
+            while at < size:
+                at += self.settle(at, min(size, at + self.size, at + most), asks, old, value, stream)
+            ends = [tuple(columns[k][i] for k in keys) for i in (0, -1)]
+            for c in self.counts:
+                c.end(keys, None if held == ends[0] == ends[1] else ends[1])
+            held = ends[1]
+            made = pa.array([self.values[k] for k in value], kept.field(self.target).type)
+            out = pa.RecordBatch.from_arrays([made if c == self.target else batch.column(c).cast(kept.field(c).type) for c in names], schema=kept)
+            yield out if turn is None else out.filter(pa.array(asks | ~batch.column("again_").to_numpy(zero_copy_only=False)))
+
+
 def _parents_of(true: DataFrame, target: str, done: Sequence[str], dcs: Sequence[DenialConstraint], settings: Settings, bounds: tuple[float, float] | None) -> tuple[str, ...]:
     """What decides the target by a dependency, else the attribute that tells most about it (not a fraction: it has no repeated values)."""
     kinds = dict(true.dtypes)
@@ -310,7 +464,8 @@ def fill_attribute(syn: DataFrame, true: DataFrame, target: str, dcs: Sequence[D
     columns = [c for c in syn.columns if c == "tid" or c in done]
     types = ", ".join(f"`{c}` {t}" for c, t in syn.dtypes if c in columns) + f", `{target}` {'double' if numeric else dict(true.dtypes)[target]}"
     keys, names, kept = sequence_keys(dcs, target), [*columns, target], to_arrow_schema(StructType.fromDDL(types))
-    work = Sequencer(target, dcs, weights, settings, numeric, syn.agg(F.min("tid")).first()[0], len(parents))
+    counted = not numeric and fitted is None and all(Counts.fits(dc, target) for dc in dcs) and cells.select("val").distinct().limit(WIDE + 1).count() <= WIDE
+    work = (BlockSequencer if counted else Sequencer)(target, dcs, weights, settings, numeric, syn.agg(F.min("tid")).first()[0], len(parents))
     if fitted is not None:
         work.model = syn.sparkSession.sparkContext.broadcast(fitted)
     alone = not any(dc.two_tuple for dc in dcs)  # each row is a sequence of its own

@@ -15,6 +15,7 @@ import operator
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 
 from tabloom.plans.constraint import DenialConstraint, Predicate
 
@@ -219,3 +220,81 @@ class Tally:
         if self.second:
             out *= np.array([all(self._holds(p, row, v) for p in self.second) for v in values])
         return out
+
+
+class Counts:
+    """Violations of a constraint of = and <> for many rows at once: those with the rows before a block, and those with earlier rows of the block, whose values are guesses.
+
+    A batch of rows is told by `begin`, its blocks by `block`; `accept` adds rows for good, and `end` forgets what other sequences hold."""
+
+    @staticmethod
+    def fits(dc: DenialConstraint, target: str) -> bool:
+        equal, unequal = set(dc.of("=")), set(dc.of("<>"))
+        return dc.symmetric and dc.two_tuple and not equal & unequal and target in equal | unequal
+
+    def __init__(self, dc: DenialConstraint, target: str, width: int):
+        equal, unequal = sorted(set(dc.of("=")) - {target}), sorted(set(dc.of("<>")) - {target})
+        self.used, self.width, self.agrees = equal + unequal, width, target in dc.of("=")
+        self.parts = [((-1) ** k, (*equal, *some)) for k in range(len(unequal) + 1) for some in itertools.combinations(unequal, k)]
+        self.held: list[dict] = [{} for _ in self.parts]
+
+    def begin(self, columns: Mapping[str, np.ndarray], rows: int) -> None:
+        codes = {a: pd.factorize(columns[a])[0] for a in self.used}
+        whole = np.ones(rows, bool)
+        for code in codes.values():
+            whole &= code >= 0
+        self.groups = []
+        for (_, fixed), held in zip(self.parts, self.held):
+            at = np.zeros(rows, np.int64)
+            for a in fixed:
+                at = at * (int(codes[a].max(initial=0)) + 1) + np.maximum(codes[a], 0)
+                at = np.unique(at, return_inverse=True)[1]
+            at[~whole] = -1
+            some, first = np.unique(at, return_index=True)
+            first = first[some >= 0]
+            known = np.full(int(at.max(initial=-1)) + 1, -1, np.int64)
+            known[some[some >= 0]] = np.arange(len(first))
+            gid = np.where(at >= 0, known[at] if len(known) else at, -1)
+            names = [tuple(columns[a][i] for a in fixed) for i in first]
+            base = np.zeros((len(names), self.width), np.int64)
+            for i, name in enumerate(names):
+                if name in held:
+                    base[i] = held[name]
+            self.groups.append((gid, names, base))
+
+    def block(self, a: int, b: int) -> None:
+        self.at, self.sorted = (a, b), []
+        for gid, _, _ in self.groups:
+            order = np.argsort(gid[a:b], kind="stable")
+            order = order[np.searchsorted(gid[a:b][order], 0) :]
+            own = gid[a:b][order]
+            self.sorted.append((order, own, np.searchsorted(own, own, "left")))
+
+    def violations(self, moved: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """For each row of the block and each value. `moved`: by how much each row changes the number of rows of each value; `before`: what it changes before its own value is asked for."""
+        out = np.zeros(moved.shape, np.int64)
+        for (sign, _), (_, _, base), (order, own, start) in zip(self.parts, self.groups, self.sorted):
+            if not len(order):
+                continue
+            step = moved[order]
+            run = np.cumsum(step, axis=0) - step
+            run += base[own] - run[start]
+            if before is not None:
+                run += before[order]
+            out[order] += sign * (run if self.agrees else run.sum(1, keepdims=True) - run)
+        return out
+
+    def accept(self, moved: np.ndarray, rows: int) -> None:
+        a = self.at[0]
+        for gid, _, base in self.groups:
+            at = np.flatnonzero(gid[a : a + rows] >= 0)
+            np.add.at(base, gid[a : a + rows][at], moved[:rows][at])
+
+    def end(self, keys: Sequence[str], last: tuple | None) -> None:
+        """`last`: values of the keys in the last row; None if all rows are of the sequence that was held."""
+        for i, ((_, fixed), (_, names, base)) in enumerate(zip(self.parts, self.groups)):
+            known = {**self.held[i], **dict(zip(names, base))}
+            if last is not None and keys:
+                at = [fixed.index(k) for k in keys]
+                known = {n: c for n, c in known.items() if tuple(n[j] for j in at) == last}
+            self.held[i] = known
