@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,6 +14,40 @@ from tabloom.operators.dominance import BLOCK_ROWS, nearest_before
 from tabloom.sources.shared import checkpoint
 
 
+#: Numbers in one of the lists of `Steps`, at most.
+LIST = 2048
+
+
+class Steps:
+    """Different numbers in order, each with its value, in short lists: a new one moves few others, however many there are."""
+
+    def __init__(self):
+        self.first, self.at, self.value = [], [], []
+
+    def taken(self, x, lo: float, hi: float, make: Callable[[float, float], float]) -> float:
+        """The value of x; a new x gets what `make` gives for the values next below and next above (`lo` and `hi` if there is none)."""
+        if not self.first:
+            self.first, self.at, self.value = [x], [[x]], [[make(lo, hi)]]
+            return self.value[0][0]
+        i = max(bisect.bisect_right(self.first, x) - 1, 0)
+        at, value = self.at[i], self.value[i]
+        j = bisect.bisect_left(at, x)
+        if j < len(at) and at[j] == x:
+            return value[j]
+        high = value[j] if j < len(at) else self.value[i + 1][0] if i + 1 < len(self.at) else hi
+        made = make(value[j - 1] if j else lo, high)
+        at.insert(j, x)
+        value.insert(j, made)
+        self.first[i] = at[0]
+        if len(at) > LIST:
+            half = LIST // 2
+            self.first.insert(i + 1, at[half])
+            self.at.insert(i + 1, at[half:])
+            self.value.insert(i + 1, value[half:])
+            del at[half:], value[half:]
+        return made
+
+
 def first_of_key(df: DataFrame, keys: Sequence[str], value: str, tid: str = "tid", name: str | None = None) -> DataFrame:
     """Every row takes the value of the first row (by tid) of its key.
 
@@ -55,28 +89,19 @@ def monotone_fill(df: DataFrame, keys: Sequence[str], by: str, drawn: str, again
     kinds = dict(df.dtypes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, known, given = None, [], {}
+        key, known = None, Steps()
         for batch in batches:
             out = []
             held = [batch.column(c).to_pylist() for c in keys]
             for i, (x, v, u) in enumerate(zip(*(batch.column(c).to_pylist() for c in (by, drawn, again)))):
                 at = tuple("nan" if h[i] != h[i] else h[i] for h in held)
                 if at != key:
-                    key, known, given = at, [], {}
+                    key, known = at, Steps()
                 v, u = math.nan if v is None else v, math.nan if u is None else u
                 if x is None or x != x:  # bound by no row, and binds none
                     out.append(v if lo <= v <= hi else lo + u * (hi - lo))
                     continue
-                if x in given:
-                    out.append(given[x])
-                    continue
-                at = bisect.bisect_left(known, x)
-                low = given[known[at - 1]] if at else lo
-                high = given[known[at]] if at < len(known) else hi
-                value = v if low <= v <= high else low + u * (high - low)
-                known.insert(at, x)
-                given[x] = value
-                out.append(value)
+                out.append(known.taken(x, lo, hi, lambda low, high: v if low <= v <= high else low + u * (high - low)))  # noqa: B023
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + f", `{name}` double"
