@@ -42,17 +42,19 @@ def degrees(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str) -> DataFra
 
 
 def vertex_cover(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str = "tid") -> DataFrame:
-    """(tid): rows without which nothing is violated."""
+    """(tid): rows without which nothing is violated.
+
+    Rounds pass on what the constraints compare, and only rows that are in conflict: one that isn't never will be, as rows only go."""
     cover = df.sparkSession.createDataFrame([], "tid long")
-    left = df
+    left = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([tid, *(a for dc in dcs for a in dc.attributes)])])
     while True:
         found = checkpoint(degrees(left, dcs, tid))
         most = found.agg(F.max("n")).first()[0]
         if not most:
             return cover
-        gone = found.filter(F.col("n") * 2 >= most).select("tid")
-        cover = checkpoint(cover.unionByName(gone))
-        left = checkpoint(left.join(gone.withColumnRenamed("tid", "gone_"), F.col(f"`{tid}`").cast("long") == F.col("gone_"), "left_anti"))
+        cover = checkpoint(cover.unionByName(found.filter(F.col("n") * 2 >= most).select("tid")))
+        stays = found.filter(F.col("n") * 2 < most).select(F.col("tid").alias("stays_"))
+        left = checkpoint(left.join(stays, F.col(f"`{tid}`").cast("long") == F.col("stays_"), "left_semi"))
 
 
 def _on_equal_rows(dc: DenialConstraint) -> bool:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import repair, violations
 from tabloom.plans.constraint import DenialConstraint
@@ -53,3 +54,13 @@ def test_one_bad_row_is_the_one_that_changes(spark):
     made, _ = repair.repair(df, [dc("t1&t2&LT(t1.x,t2.x)&GT(t1.y,t2.y)")])
     got = {r.tid: (r.x, r.y) for r in made.collect()}
     assert all(got[i] == (i, float(i)) for i in range(50)) and got[99] == (49, 49.0)
+
+
+def test_cover_passes_on_conflicts_only(spark, monkeypatch):
+    """Rounds after the first one read the compared attributes of the rows in conflict, not the table."""
+    seen, real = [], repair.degrees
+    monkeypatch.setattr(repair, "degrees", lambda df, dcs, tid: (seen.append((df.columns, df.count())), real(df, dcs, tid))[1])
+    rows = spark.createDataFrame([(i, i // 4 if i < 400 else -i, i % 3, "x" * 50) for i in range(1000)], "tid long, k long, v long, other string")
+    left = rows.join(repair.vertex_cover(rows, [dc("t1&t2&EQ(t1.k,t2.k)&IQ(t1.v,t2.v)")]), "tid", "left_anti")
+    assert left.groupBy("k").agg(F.countDistinct("v").alias("n")).filter("n > 1").isEmpty()
+    assert seen[0] == (["tid", "k", "v"], 1000) and len(seen) > 1 and all(c == ["tid", "k", "v"] and n <= 400 for c, n in seen[1:])
