@@ -13,7 +13,7 @@ sequence as the only shingle; null and empty texts are no near copies here.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tabloom.llm import simhash
 from tabloom.llm.common import WordHashes, checkpoint, map_texts, mix, rolling
 from tabloom.llm.components import stars
+from tabloom.sources.shared import Scratch
 
 SHINGLE, BANDS, ROWS, PIVOTS, FACTOR = 5, 25, 5, 2, 0x9E3779B97F4A7C15
 #: Bytes of text that a worker sketches at once.
@@ -101,27 +102,33 @@ def copy_links(entries: DataFrame, keyed: DataFrame) -> DataFrame:
     """(node, root) of text keys in components of near copies, but for the roots.
 
     `entries`: (key, band) of the texts that take part; `keyed`: (key, text), from which the candidates' texts are read."""
-    entries = checkpoint(entries)
+    first, scratch = Scratch(keyed.sparkSession), Scratch(keyed.sparkSession)
+    entries = first.keep(entries)
     shared = entries.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("band")
-    members = checkpoint(entries.join(shared.hint("merge"), "band").distinct())
-    texts = checkpoint(keyed.join(_small(members.select("key").distinct()), "key").dropDuplicates(["key"]))
+    members = scratch.keep(entries.join(shared.hint("merge"), "band").distinct())
+    first.drop()
+    texts = scratch.keep(keyed.join(_small(members.select("key").distinct()), "key").dropDuplicates(["key"]))
     edges = keyed.sparkSession.createDataFrame([], "a long, b long")
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for turn in range(PIVOTS + 1):
         own = members.join(found.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("c"))
-        own = checkpoint(own)
+        now = Scratch(keyed.sparkSession)  # goes with the turn
+        own = now.keep(own)
         mixed = own.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), F.col("key").alias("other"), F.col("c").alias("d"))).alias("p"))
         mixed = mixed.filter("lo <> hi").select("band", "p.*")
         if turn < PIVOTS:
             pairs = own.join(mixed.hint("merge"), "band").filter("c <> d").groupBy("key").agg(F.min(F.struct("h", "other")).alias("p")).select(F.least("key", "p.other").alias("a"), F.greatest("key", "p.other").alias("b")).distinct()
         else:
-            open_ = checkpoint(own.join(mixed.select("band").hint("merge"), "band").select("key", "c").distinct())
-            pairs = unlike_pairs(open_, texts)
+            open_ = now.keep(own.join(mixed.select("band").hint("merge"), "band").select("key", "c").distinct())
+            pairs = unlike_pairs(open_, texts, now.keep)
         pairs = checkpoint(pairs)
         if pairs.isEmpty():
+            now.drop()
             break
         edges = checkpoint(edges.unionByName(_confirmed(pairs, texts)))
+        now.drop()
         found = stars(edges)
+    scratch.drop()
     return found
 
 
@@ -141,7 +148,7 @@ def _hashed_shingles():
     return distinct
 
 
-def unlike_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+def unlike_pairs(members: DataFrame, texts: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """Candidate pairs (a, b) of the texts of `members` (key, component c) in different components: all that are near copies, and few others.
 
     Shingles are ordered by how many texts hold them, rarest first. Near copies share a shingle among the first ninth of the shorter and the first fifth of the longer text, and behind the first
@@ -149,7 +156,7 @@ def unlike_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     texts that differ in more than a ninth don't even meet. Of those that meet, most that are not near copies fail by parities: each text has a bit for each hash of 512, set if an odd number of its
     shingles have it; texts differ in no more bits than shingles, and near copies in at most a ninth of both their shingles. No filter loses a near copy."""
     made = map_texts(texts.join(members.hint("merge"), "key").select("key", "c", "text"), ["key", "c"], "grams array<long>, parity array<long>", _hashed_shingles, most=SLICE_BYTES)
-    made = checkpoint(made)
+    made = keep(made)
     held = made.select("key", "c", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     often = held.groupBy("g").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     shared = held.join(often.hint("merge"), "g")
@@ -157,7 +164,7 @@ def unlike_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
     placed = shared.withColumn("rank", rank).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("key")) - F.col("rank") + 1)  # shingles from this one on
     placed = placed.filter("5 * left >= 4 * n").select("key", "c", "n", "g", "left")
     bits = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
-    placed = checkpoint(placed.join(made.select("key", *bits).hint("merge"), "key"))
+    placed = keep(placed.join(made.select("key", *bits).hint("merge"), "key"))
     x, y = placed.filter("9 * left >= 8 * n").alias("x"), placed.alias("y")
     met = F.expr("x.g = y.g and x.c <> y.c and (x.n < y.n or (x.n = y.n and x.key < y.key)) and 5 * x.n >= 4 * y.n and 9 * least(x.left, y.left) >= 4 * (x.n + y.n)")
     met &= F.expr("9 * (" + " + ".join(f"bit_count(x.p{i} ^ y.p{i})" for i in range(PARITY)) + ") <= x.n + y.n")
@@ -179,7 +186,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = ["k1_", "k2_"]
     keyed = docs.withColumns({"k1_": F.xxhash64("doc_id", "text"), "k2_": F.xxhash64("text")})
     slim = keyed.select("doc_id", *keys, "text")
-    made = checkpoint(map_texts(slim, ["doc_id", *keys], "fp long, bands array<long>", _kernel, most=SLICE_BYTES))
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.keep(map_texts(slim, ["doc_id", *keys], "fp long, bands array<long>", _kernel, most=SLICE_BYTES))
     rows = simhash.with_components(checkpoint(made.select("doc_id", *keys, "fp")))
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k2_", "k1_")
     kept = checkpoint(rows.groupBy("root").agg(F.min(first).alias("m")).select("m.doc_id", "m.k1_", "m.k2_"))
@@ -196,6 +204,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     counts = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     stays = counts.join(kept.withColumn("stays", F.lit(True)).hint("merge"), keys, "left")
     moved = checkpoint(stays.filter("stays is null or n > 1").select(*keys, F.col("stays").isNotNull().alias("again")))
+    scratch.drop()
     out = keyed.join(_small(moved.select(*keys)), keys, "left_anti")
     again = moved.filter("again").select(*keys)
     if not again.isEmpty():

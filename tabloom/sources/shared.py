@@ -43,3 +43,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class Scratch:
+    """Tables in the shared folder (Parquet, so compressed) that go before the run ends: a checkpoint stays until then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_path(self.spark, "scratch"))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        """Nothing that is still to be computed may read the tables."""
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []

@@ -83,3 +83,24 @@ def test_candidates_among_texts_of_one_template(spark):
     assert want and want <= got and len(got - want) < len(want) / 2 < len(texts) ** 2 / 8
     same = spark.createDataFrame([(i, 7) for i in range(len(texts))], "key long, c long")
     assert near_copies.unlike_pairs(same, spark.createDataFrame(list(enumerate(texts)), "key long, text string")).count() == 0
+
+
+def test_tables_between_steps_go(spark, monkeypatch):
+    """What is written while groups are sought is removed before the documents are returned."""
+    from pathlib import Path
+
+    from tabloom.sources.shared import Scratch
+
+    kept, real = [], Scratch.keep
+
+    def keep(self, df):
+        out = real(self, df)
+        kept.append(Path(self.paths[-1].removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:20], f"own{i}", *words[21:]])) for i in range(6)] + [(9, "another text of its own kind")]
+    out = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(kept) > 3 and not any(p.exists() for p in kept)
+    assert sorted(r[0] for r in out.select("doc_id").collect()) == [0, 9]
