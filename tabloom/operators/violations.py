@@ -37,6 +37,8 @@ def _pairs_of(count: F.Column, mode: str) -> F.Column:
 
 #: Constraints that one pass of grouping sets counts: each row is expanded once for each set.
 PASS = 8
+#: Rows that a task of such a pass counts at most: its groups are as many for each set.
+GROUP_ROWS = 1 << 17
 
 
 def equal_group_pairs(df: DataFrame, items: Sequence[tuple[Sequence[str], Sequence[Sequence[str]], Sequence[int]]], mode: str) -> DataFrame:
@@ -199,13 +201,15 @@ def violation_report(df: DataFrame, dcs: Sequence[DenialConstraint], tid: str =
     df = checkpoint(df.select(*_named(used)))  # read by every pass
     size = df.agg(F.count(F.lit(1)).alias("rows_"))
     lone, grouped = [i for i, dc in enumerate(dcs) if shape(dc) == "one_tuple"], [i for i, dc in enumerate(dcs) if shape(dc) == "counts"]
-    counts = []
+    counts, spread = [], df
+    if grouped and (parts := -(-df.count() // GROUP_ROWS)) > 1:  # files may be few and large
+        spread = df.repartition(parts, F.col(f"`{tid}`"))
     if lone:  # all of them in one scan
         hits = df.alias("t1").agg(*[F.count_if(dcs[i].column("t1", "t2")).alias(f"n{i}") for i in lone])
         counts.append(hits.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n_vio")) for i in lone])).alias("x")).select("x.*"))
     for a in range(0, len(grouped), PASS):
         part = grouped[a : a + PASS]
-        told = equal_group_pairs(df, [_item(dcs[i]) for i in part], mode)
+        told = equal_group_pairs(spread, [_item(dcs[i]) for i in part], mode)
         counts.append(told.select(F.element_at(F.array(*[F.lit(i) for i in part]), F.col("item") + 1).alias("i"), F.col("n").alias("n_vio")))
     for i, dc in enumerate(dcs):
         if i not in lone and i not in grouped:

@@ -28,3 +28,17 @@ def test_features_hold_every_value(spark):
         found = [r.features for r in part.collect()]
         assert width == 71 and all(v.size == 71 for v in found)
         assert len({tuple(v.toArray()[1:]) for v in found}) == 70 and all(v.toArray()[1:].sum() == 1 for v in found)
+
+
+def test_report_counts_few_rows_in_a_task(spark, monkeypatch):
+    """Groups are counted in tasks of bounded size, whatever the partitions of the table."""
+    from tabloom.operators import violations
+    from tabloom.plans.constraint import DenialConstraint
+
+    seen, real = [], violations.equal_group_pairs
+    monkeypatch.setattr(violations, "GROUP_ROWS", 100, raising=False)
+    monkeypatch.setattr(violations, "equal_group_pairs", lambda df, items, mode: (seen.append(df.rdd.getNumPartitions()), real(df, items, mode))[1])
+    rows = spark.range(1000).selectExpr("id AS tid", "id % 7 AS a", "id % 3 AS b").coalesce(1)
+    told = violations.violation_report(rows, [DenialConstraint.parse("t1&t2&EQ(t1.a,t2.a)&IQ(t1.b,t2.b)")]).first()
+    assert seen == [10]
+    assert told.n_vio == sum(i % 7 == j % 7 and i % 3 != j % 3 for i in range(1000) for j in range(i + 1, 1000))
