@@ -220,14 +220,14 @@ def counts_before(rows: DataFrame, keys: Sequence[str], orders: Sequence[Order],
             held = held.repartition(blocks, *keys, f"b{i}_")
         parts.append(held.groupBy(*keys, f"b{i}_").applyInArrow(within(i), "tid long, n long"))
     if blocks > 1:
-        parts.append(_grid(rows, keys, [f"b{i}_" for i in range(width)], per_row))
+        parts.append(_grid(rows, keys, [f"b{i}_" for i in range(width)], per_row, blocks))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _grid(rows: DataFrame, keys: list[str], at: list[str], per_row: bool) -> DataFrame:
+def _grid(rows: DataFrame, keys: list[str], at: list[str], per_row: bool, blocks: int) -> DataFrame:
     """Pairs whose blocks differ in every order: each cell with queries sums the points of all cells below it in every order."""
     cells = rows.groupBy(*keys, *at).agg(F.count_if(F.col("query_")).alias("q_"), F.count_if(~F.col("query_")).alias("r_")).withColumn("one_", F.lit(0))
 
@@ -253,7 +253,12 @@ def _grid(rows: DataFrame, keys: list[str], at: list[str], per_row: bool) -> Dat
 
     kinds = dict(rows.dtypes)
     found = cells.groupBy(*keys, "one_").applyInArrow(told, ", ".join(f"{c} {kinds[c]}" for c in [*keys, *at]) + ", n long")
-    return rows.filter("query_").join(found, [*keys, *at]).select(F.col("tid_").alias("tid"), "n")
+    rows = rows.filter("query_").select("tid_", *keys, *at)
+    if len(at) == 1:  # few cells of many rows: a block has one for each of its keys
+        found = F.broadcast(found)
+    else:  # many cells, so their rows are spread evenly
+        rows, found = rows.repartition(blocks, *keys, *at), found.repartition(blocks, *keys, *at)
+    return rows.join(found, [*keys, *at]).select(F.col("tid_").alias("tid"), "n")
 
 
 def nearest_before(rows: DataFrame, keys: Sequence[str], descending: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -37,7 +37,7 @@ def _pairs_of(count: F.Column, mode: str) -> F.Column:
 
 #: Constraints that one pass of grouping sets counts: each row is expanded once for each set.
 PASS = 8
-#: Rows that a task of such a pass counts at most: its groups are as many for each set.
+#: Rows that a task of such a pass counts at most: its groups are as many for each set. Also rows whose counts one task adds up.
 GROUP_ROWS = 1 << 17
 
 
@@ -113,15 +113,16 @@ def _pair_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, per_r
     keys, test = names[: len(equal)], {"=": "=", "<>": "<>", "<": "<", ">": ">", "<=": "<=", ">=": ">="}
     parts = []
     if keys:
-        sizes = rows.groupBy(*keys).count().withColumnRenamed("count", "size_")
-        rows = checkpoint(rows.join(sizes, keys))
-        small = rows.filter(F.col("size_") <= 2 * join_rows)
+        # a key of many rows is never one task: such keys are few, and told to all tasks
+        large = checkpoint(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size_")).filter(F.col("size_") > 2 * join_rows).select(*keys, F.lit(True).alias("large_")))
+        rows = checkpoint(rows.join(F.broadcast(large), keys, "left"))
+        small = rows.filter("large_ is null").drop("large_")
         on = F.expr("l.tid_ < r.tid_" if mode == "tid_ordered" else "l.tid_ <> r.tid_")
         for c, op in [*((c, "=") for c in keys), *((f"u{i}_", "<>") for i in range(len(other))), *((f"v{i}_", test[op]) for i, (_, op, _) in enumerate(order))]:
             on = on & F.expr(f"l.{c} {op} r.{c}")
         met = small.filter("query_").alias("l").join(small.filter("not query_").alias("r"), on)
         parts.append(met.groupBy(F.col("l.tid_").alias("tid")).agg(F.count(F.lit(1)).alias("n")) if per_row else met.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n"))
-        rows = rows.filter(F.col("size_") > 2 * join_rows).drop("size_")
+        rows = rows.filter("large_").drop("large_")
     # of a query t1 < t2 the points are larger: they come before it in descending order
     orders = [Order(op[0] == "<", len(op) == 1) for _, op, _ in order]
     if mode == "tid_ordered" or not orders:
@@ -132,8 +133,10 @@ def _pair_counts(df: DataFrame, dc: DenialConstraint, tid: str, mode: str, per_r
             found = counts_before(rows.select("tid_", "query_", *keys, *[f"u{i}_" for i in some], *[f"v{i}_" for i in range(len(orders))]), [*keys, *[f"u{i}_" for i in some]], orders, per_row, block_rows)
             parts.append(found.select("tid", (F.col("n") * (-1) ** k).alias("n")))
     if mode == "ordered":  # a row is no partner of its own
-        alone = df.alias("t").filter(_holds(dc.predicates)).select(id_)
-        alone = alone.join(rows.filter("query_").select("tid_"), "tid_", "left_semi").select(F.col("tid_").alias("tid"), F.lit(-1).cast("long").alias("n"))
+        alone = df.alias("t").filter(_holds(dc.predicates)).select(id_, *[a.column("t", "t").alias(c) for c, (a, _) in zip(keys, equal)])
+        if keys:
+            alone = alone.join(F.broadcast(large), keys, "left_semi")
+        alone = alone.select(F.col("tid_").alias("tid"), F.lit(-1).cast("long").alias("n"))
         parts.append(alone if per_row else alone.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit(0).cast("long").alias("tid"), "n"))
     out = parts[0]
     for p in parts[1:]:
@@ -173,7 +176,10 @@ def row_violations(df: DataFrame, dc: DenialConstraint, tid: str = "tid", join_r
             found = found.join(sizes, keys) if keys else found.join(F.broadcast(sizes))
             total = total + F.lit(g) * (F.col(f"c{i}") - 1)
         return ids.join(found.select("tid", total.alias("n")), "tid", "left").select("tid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    summed = _pair_counts(df, dc, tid, "ordered", True, join_rows, block_rows).groupBy("tid").agg(F.sum("n").alias("n"))
+    counts, parts = _pair_counts(df, dc, tid, "ordered", True, join_rows, block_rows), -(-ids.count() // GROUP_ROWS)
+    if parts > 1:
+        ids, counts = ids.repartition(parts, "tid"), counts.repartition(parts, "tid")
+    summed = counts.groupBy("tid").agg(F.sum("n").alias("n"))
     return ids.join(summed, "tid", "left").select("tid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import dominance, violations
 from tabloom.plans import sequence as seq
@@ -168,3 +169,23 @@ def test_blocks_in_a_task_and_a_small_grid(monkeypatch):
             want = np.logical_and.reduce([p[:, None] < q[None, :] for p, q in zip(points, queries)]).sum(0)
             assert (dominance.count_before(points, queries) == want).all()
     assert dominance.CELLS <= 1 << 21
+
+
+def test_a_key_of_many_rows_is_not_one_task(spark, monkeypatch):
+    """Rows of one key stay in the partitions they are read in, whether joins may broadcast or not."""
+    seen = []
+    counted = violations.counts_before
+    monkeypatch.setattr(violations, "counts_before", lambda rows, *a: seen.append(rows) or counted(rows, *a))
+    data = spark.range(0, 4000, 1, 4).selectExpr("id as tid", "1 as k", "id % 7 as x", "id % 5 as y")
+    kept = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for c in kept:
+        spark.conf.set(c, "-1")
+    try:
+        got = violations.row_violations(data, dc("t1&t2&EQ(t1.k,t2.k)&LT(t1.x,t2.y)"), join_rows=10).agg(F.sum("n")).first()[0]
+        sizes = [r[0] for r in seen[0].groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    x, y = np.arange(4000) % 7, np.arange(4000) % 5
+    assert got == (x[:, None] < y[None, :]).sum() - (x < y).sum()
+    assert sum(sizes) == 8000 and max(sizes) <= 2000
