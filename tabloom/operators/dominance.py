@@ -216,8 +216,8 @@ def counts_before(rows: DataFrame, keys: Sequence[str], orders: Sequence[Order],
     parts = []
     for i in range(width if blocks > 1 else 1):
         held = rows.select(*keys, "tid_", "query_", *[f"b{j}_" for j in range(i + 1)], *[f"v{j}_" for j in range(i, width)])
-        if blocks > 1:  # about one block for each task
-            held = held.repartition(blocks, *keys, f"b{i}_")
+        if blocks > 1:  # one block for each task: by a hash some tasks would get several
+            held = held.repartitionById(blocks, f"b{i}_")
         parts.append(held.groupBy(*keys, f"b{i}_").applyInArrow(within(i), "tid long, n long"))
     if blocks > 1:
         parts.append(_grid(rows, keys, [f"b{i}_" for i in range(width)], per_row, blocks))

@@ -189,3 +189,12 @@ def test_a_key_of_many_rows_is_not_one_task(spark, monkeypatch):
     x, y = np.arange(4000) % 7, np.arange(4000) % 5
     assert got == (x[:, None] < y[None, :]).sum() - (x < y).sum()
     assert sum(sizes) == 8000 and max(sizes) <= 2000
+
+
+def test_one_block_is_one_task(spark, df, monkeypatch):
+    seen, group = [], type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *c: (seen.append(self) if c and c[-1] in ("b0_", "b1_") and "query_" in self.columns else None) or group(self, *c))
+    rows = spark.range(0, 400, 1, 4).selectExpr("id as tid", "id * 37 % 101 as x")
+    assert violations.count_violations(rows, dc("t1&t2&LT(t1.x,t2.x)"), block_rows=50).first()[0] == sum(a * 37 % 101 < b * 37 % 101 for a in range(400) for b in range(a + 1, 400))
+    held = group(seen[0], F.spark_partition_id()).agg(F.count_distinct("b0_").alias("n"))
+    assert [r.n for r in held.collect()] == [1] * 16
